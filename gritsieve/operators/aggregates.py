@@ -35,8 +35,8 @@ def kurtosis(c: Column) -> Column:
 
 def long_values(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     """(column, value) rows of the named columns, values cast to one type."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("value")) for c in columns]
-    return df.select(F.explode(F.array(*pairs)).alias("cell")).select("cell.column", "cell.value")
+    typed = df.select(*[F.col(c).cast(kind).alias(c) for c in columns])
+    return typed.unpivot([], list(columns), "column", "value")
 
 
 def frequencies(df: DataFrame, columns: Sequence[str], kind: str = "string") -> DataFrame:

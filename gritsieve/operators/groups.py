@@ -66,7 +66,7 @@ def with_group_facts(
     df: DataFrame, keys: Sequence[str], facts: dict[str, Column], nulls_equal: bool = True
 ) -> DataFrame:
     """Add aggregates over each row's key group to the row."""
-    grouped = df if nulls_equal else df.dropna(subset=list(keys))
+    grouped = df if nulls_equal else df.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     summary = grouped.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[c.alias(name) for name, c in facts.items()]
     )
