@@ -74,6 +74,8 @@ def scott_density(df: DataFrame, col: str, size: int = GRID) -> DataFrame:
     """Density with the bandwidth sample deviation times n^(-1/5)."""
     values = column_values(df, col)
     facts = summarise(values)
+    if facts.sd == 0:
+        raise ValueError("a constant column has no bandwidth")
     return _density(values, facts, facts.sd * facts.n**-0.2, size)
 
 
