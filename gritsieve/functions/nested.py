@@ -12,6 +12,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from gritsieve.functions.text import strip
 
@@ -47,7 +48,7 @@ def _parse(c: Column, opening: str, schema: str) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _literal_json(texts: pd.Series) -> pd.Series:
     """JSON text of a Python list or dict literal; null for anything else."""
 

@@ -51,6 +51,11 @@ def same_text(c: Column, word: str) -> Column:
     return F.lower(c) == F.lit(word.lower())
 
 
+def _with(value: Column, f) -> Column:
+    """f(value) with the value computed once, where plain nesting would repeat it many times."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _pad(c: Column, width: int, justify: str) -> Column:
     room = F.greatest(F.length(c), F.lit(width))
     if justify == LEFT:
@@ -65,43 +70,31 @@ def _pad(c: Column, width: int, justify: str) -> Column:
 
 def format_string(c: Column, size: int, width: int, justify: str = LEFT) -> Column:
     """Cut a text to ``size`` characters, ending in an ellipsis, and pad it to ``width``."""
-    flat = F.translate(c, "\n\t", "  ")
-    short = F.when(
-        F.length(flat) > size, F.concat(F.substring(flat, 1, size - 1), F.lit(ELLIPSIS))
-    ).otherwise(flat)
-    return F.when(is_string(c), _pad(short, width, justify)).otherwise(F.lit(" " * width))
 
+    def shape(t: Column) -> Column:
+        flat = F.translate(t, "\n\t", "  ")
+        cut = F.concat(F.substring(flat, 1, size - 1), F.lit(ELLIPSIS))
+        padded = _with(F.when(F.length(flat) > size, cut).otherwise(flat), lambda short: _pad(short, width, justify))
+        return F.when(is_string(t), padded).otherwise(F.lit(" " * width))
 
-def _exponent(x: Column) -> Column:
-    """Decimal exponent of a non-zero number, safe beside powers of ten."""
-    size = F.abs(x)
-    guess = F.floor(F.log10(size))
-    return (
-        F.when(size < F.pow(F.lit(10.0), guess), guess - 1)
-        .when(size >= F.pow(F.lit(10.0), guess + 1), guess + 1)
-        .otherwise(guess)
-    )
+    return _with(c, shape)
 
 
 def format_engineering(c: Column) -> Column:
-    """``1.235e9`` form: three decimals and an exponent divisible by three.
+    """``1.235e9`` form: three decimals, ties to even, and an exponent divisible by three.
 
     Numbers of exponent zero keep all their digits; null becomes an empty text.
     """
     x = c.cast("double")
-    power = _exponent(x)
-    third = power - F.pmod(power, F.lit(3))
-    # tiny numbers: dividing twice keeps the scale inside the double range
-    half = F.floor(third / 2)
-    scaled = x / F.pow(F.lit(10.0), half) / F.pow(F.lit(10.0), third - half)
-    plain = F.regexp_replace(x.cast("string"), r"\.0\z", "")
-    return (
-        F.when(x.isNull(), F.lit(""))
-        .when(F.isnan(x), F.lit("NaN"))
-        .when(F.abs(x) == float("inf"), x.cast("string"))
-        .when((x == 0) | (power == 0), plain)
-        .otherwise(F.format_string("%.3fe%d", scaled, third))
-    )
+    science = F.format_string("%.16e", x)
+    power = F.substring_index(science, "e", -1).try_cast("int")
+    extra = F.pmod(power, F.lit(3))
+    factor = F.when(extra == 0, 1).when(extra == 1, 10).otherwise(100).cast("decimal(3,0)")
+    mantissa = F.substring_index(science, "e", 1).try_cast("decimal(20,16)") * factor
+    shown = F.concat(F.bround(mantissa, 3).cast("string"), F.lit("e"), (power - extra).cast("string"))
+    special = F.when(F.isnan(x), F.lit("NaN")).otherwise(F.regexp_replace(x.cast("string"), r"\.0\z", ""))
+    # no exponent at all: NaN and the infinities
+    return F.when(x.isNull(), F.lit("")).when((x == 0) | (F.coalesce(power, F.lit(0)) == 0), special).otherwise(shown)
 
 
 def number_text(c: Column, dtype: DataType) -> Column:
