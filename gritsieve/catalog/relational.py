@@ -261,9 +261,9 @@ def flt_10(spark, folder):
 
 
 # -- joins -------------------------------------------------------------------------------
-@query("jn_1", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("jn_1", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def jn_1(spark, folder):
-    buyers = read_table(spark, folder, "orders").select(c("o_custkey").alias("c_custkey"))
+    buyers = read_table(spark, folder, "orders").where("o_totalprice > 400000").select(c("o_custkey").alias("c_custkey"))
     return rel.without_keys(read_table(spark, folder, "customer").select("c_custkey", "c_name"), buyers, "c_custkey")
 
 

@@ -61,13 +61,18 @@ def distinct_and_mode(df: DataFrame, columns: Sequence[str], kind: str = "double
     )
 
 
+NUMERIC_FACTS = (
+    "count", "missing", "mean", "median", "std", "variance", "skewness", "kurtosis", "min", "max", "range", "q25", "q75", "iqr",
+)
+_QUANTILE_FACTS = {"median", "q25", "q75", "iqr"}
+
+
 def numeric_facts(c: Column, quantile: dict[float, Column]) -> dict[str, Column]:
     low, high = F.min(c), F.max(c)
-    return {
+    facts = {
         "count": F.count(c),
         "missing": F.count_if(c.isNull()),
         "mean": F.avg(c),
-        "median": quantile[0.5],
         "std": F.stddev_samp(c),
         "variance": F.var_samp(c),
         "skewness": skewness(c),
@@ -75,23 +80,26 @@ def numeric_facts(c: Column, quantile: dict[float, Column]) -> dict[str, Column]
         "min": low.cast("double"),
         "max": high.cast("double"),
         "range": (high - low).cast("double"),
-        "q25": quantile[0.25],
-        "q75": quantile[0.75],
-        "iqr": quantile[0.75] - quantile[0.25],
     }
+    if quantile:
+        q25, q50, q75 = (quantile[q] for q in (0.25, 0.5, 0.75))
+        facts |= {"median": q50, "q25": q25, "q75": q75, "iqr": q75 - q25}
+    return facts
 
 
-def numeric_stats(df: DataFrame, columns: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """One row of statistics per numeric column, from one pass over the table."""
+def numeric_stats(
+    df: DataFrame, columns: Sequence[str], facts: Sequence[str] = NUMERIC_FACTS, direct_rows: int = DIRECT_ROWS
+) -> DataFrame:
+    """One row of the named statistics per numeric column, from one pass over the table."""
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     typed = typed.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
-    quantiles = quantile_columns(typed, columns, (0.25, 0.5, 0.75), direct_rows)
-    facts = []
+    shares = (0.25, 0.5, 0.75) if _QUANTILE_FACTS & set(facts) else ()
+    quantiles = quantile_columns(typed, columns, shares, direct_rows) if shares else {}
+    rows = []
     for c in columns:
-        own = numeric_facts(F.col(c), {q: quantiles[c, q] for q in (0.25, 0.5, 0.75)})
-        facts.append(F.struct(F.lit(c).alias("column"), *[v.alias(k) for k, v in own.items()]))
-    wide = typed.agg(F.array(*facts).alias("facts"))
-    return wide.select(F.inline("facts"))
+        own = numeric_facts(F.col(c), {q: quantiles[c, q] for q in shares})
+        rows.append(F.struct(F.lit(c).alias("column"), *[own[name].alias(name) for name in facts]))
+    return typed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def abs_zscores(df: DataFrame, col: str, out: str = "abs_z") -> DataFrame:
@@ -102,9 +110,8 @@ def abs_zscores(df: DataFrame, col: str, out: str = "abs_z") -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return numeric_stats(df, columns).select(
-        "column", "count", "mean", "std", "min", "q25", F.col("median").alias("q50"), "q75", "max"
-    )
+    stats = numeric_stats(df, columns, ("count", "mean", "std", "min", "q25", "median", "q75", "max"))
+    return stats.withColumnRenamed("median", "q50")
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
