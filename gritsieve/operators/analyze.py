@@ -64,6 +64,9 @@ register_analysis("bayesian_mixture", mixture.bayesian_curve)
 register_analysis("self_organising_map", clusters.self_organising_map, "center", _marks("weight", "unit"))
 
 
+BUILT_IN = tuple(_ANALYSES)
+
+
 def analyze(df: DataFrame, col: str, methods: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """Result table of every named analysis (default: all)."""
     names = list(methods) if methods is not None else analyses()
