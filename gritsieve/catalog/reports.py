@@ -50,7 +50,7 @@ _NAMED = "json_extract_string(e, '$.id') AS id, json_extract_string(e, '$.name')
     "qry_3",
     over_messy(
         f", {_ITEMS} SELECT id, name, CAST(round(avg(try_cast(revenue AS DECIMAL(38,6)))) AS BIGINT) AS average "
-        f"FROM (SELECT revenue, {_NAMED} FROM parts WHERE regexp_full_match(revenue, {_PLAIN})) GROUP BY id, name"
+        f"FROM (SELECT revenue, CAST(e AS VARCHAR) AS item, {_NAMED} FROM parts WHERE regexp_full_match(revenue, {_PLAIN})) GROUP BY item, id, name"
     ),
 )
 def qry_3(spark, folder):

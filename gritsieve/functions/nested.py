@@ -19,6 +19,7 @@ from gritsieve.functions.text import strip
 TEXT_SCHEMA = "struct<v:array<string>,e:int>"
 RECORDS_SCHEMA = "struct<v:array<array<map<string,string>>>,e:int>"
 DICT_SCHEMA = "struct<v:array<map<string,string>>,e:int>"
+LIST_SCHEMA = "struct<v:array<array<string>>,e:int>"
 
 
 def literal_tokens_to_json(c: Column) -> Column:
@@ -34,9 +35,14 @@ def escape_inner_apostrophes(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(?<=\w)'(?=\w)", r"\\u0027")
 
 
+def _only_if(value: Column, test) -> Column:
+    """The value if it passes the test, else null; computed once, however often the test looks at it."""
+    return F.get(F.filter(F.array(value), test), F.lit(0))
+
+
 def _parse_one(c: Column, schema: str) -> Column:
     wrapped = F.from_json(F.concat(F.lit('{"v":['), c, F.lit('],"e":1}')), schema)
-    return F.when((wrapped["e"] == 1) & (F.size(wrapped["v"]) == 1), wrapped["v"][0])
+    return _only_if(wrapped, lambda w: (w["e"] == 1) & (F.size(w["v"]) == 1))["v"][0]
 
 
 def _parse(c: Column, opening: str, schema: str) -> Column:
@@ -103,8 +109,9 @@ def extract_records(c: Column, python_fallback: bool = False) -> Column:
     """array<map<string,string>> of a non-empty list whose elements are all dicts."""
     if python_fallback:
         c = extract_object(c, True)
-    rows = _parse(c, r"\[", RECORDS_SCHEMA)
-    return F.when((F.size(rows) > 0) & F.forall(rows, lambda r: r.isNotNull()), rows)
+    return _only_if(
+        _parse(c, r"\[", RECORDS_SCHEMA), lambda rows: (F.size(rows) > 0) & F.forall(rows, lambda r: r.isNotNull())
+    )
 
 
 def is_records(c: Column) -> Column:
@@ -121,11 +128,11 @@ def typed_records(c: Column, fields: dict[str, str]) -> Column:
 
 def list_elements(c: Column) -> Column:
     """array<string> of a list's elements as canonical JSON text; the empty list stays empty."""
-    return F.from_json(F.when(object_kind(c) == "array", extract_object(c)), "array<string>")
+    return _parse(c, r"\[", LIST_SCHEMA)
 
 
 def list_length(c: Column) -> Column:
-    return F.size(F.when(object_kind(c) == "array", list_elements(c)))
+    return F.size(list_elements(c))
 
 
 def to_json_text(c: Column) -> Column:

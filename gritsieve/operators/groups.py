@@ -7,6 +7,7 @@ positions and running totals work on blocks whose totals are small.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -14,6 +15,8 @@ from operator import and_
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gritsieve.session import ensure_checkpoint_dir
+
 SALTS = 1024
 
 
@@ -123,16 +126,20 @@ def position_in_group(
 
 
 def running_total(
-    df: DataFrame, order: str, value: str, out: str = "running_total", label: Column | None = None
+    df: DataFrame, order: str, value: str, out: str = "running_total"
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to the row's integer ``order``, ties included.
 
     With S the square root of the order's span, blocks of S consecutive orders are summed on
     their own and at most S block totals are accumulated, so no task sees the whole table.
+    The input is read three times, so it is checkpointed first.
     """
-    span = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi"))).scalar()
-    width = F.greatest(F.ceil(F.sqrt(span["hi"] - span["lo"] + 1)), F.lit(1))
-    rows = df.withColumn("__block", F.floor((F.col(order) - span["lo"]) / width))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.checkpoint()
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    lo, hi = lo or 0, hi or 0
+    width = math.isqrt(hi - lo) + 1
+    rows = rows.withColumn("__block", F.floor((F.col(order) - lo) / width))
     inside = Window.partitionBy("__block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
     earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     totals = (

@@ -8,6 +8,7 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -15,11 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions.scalars import drop_nan, normal_pdf
 from gritsieve.operators.histogram import GRID, column_values, grid_points, summarise
-from gritsieve.operators.points import points
+from gritsieve.operators.points import micro_clusters, points
 
 COMPONENTS = 3
 TOLERANCE = 1e-3
 VARIANCE_FLOOR = 1e-6
+START_POINTS = 1000
 
 
 @dataclass(frozen=True)
@@ -58,71 +60,127 @@ def _ordered(weights, means, sds, log_likelihood: float) -> Mixture:
     )
 
 
-def _vectors(weighted: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["x"], outputCol="features").transform(weighted)
+# Iterations build their expressions as SQL text: one call each instead of one per operator.
 
+Sums = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _kmeans(data: DataFrame, k: int, seed: int) -> list[float]:
-    model = KMeans(k=k, seed=seed, featuresCol="features", weightCol="w").fit(data)
-    return sorted(float(c[0]) for c in model.clusterCenters())
 
+def _normal_log(fixed: float, mean: float, variance: float) -> str:
+    """A constant plus the exponent of a normal density of x."""
+    gap = f"(x - {float(mean)!r}D)"
+    return f"({float(fixed)!r}D - {gap} * {gap} / {float(2 * variance)!r}D)"
 
-def _hard_shares(x: Column, centers: list[float]) -> list[Column]:
-    """Responsibilities that give each value wholly to its nearest center."""
-    cuts = [(a + b) / 2 for a, b in zip(centers, centers[1:])]
-    cluster = reduce(add, [(x > cut).cast("int") for cut in cuts], F.lit(0))
-    return [(cluster == i).cast("double") for i in range(len(centers))]
 
+def _log_sum(logs: list[str]) -> str:
+    top = f"greatest({', '.join(logs)})" if len(logs) > 1 else logs[0]
+    return f"{top} + ln({' + '.join(f'exp({part} - {top})' for part in logs)})"
 
-def _component_sums(data: DataFrame, shares: list[Column], score: Column, origin: float):
-    """Size, mean and variance of each component and the summed score, by one aggregate."""
-    gap, w = F.col("x") - origin, F.col("w")
-    sums = [F.sum(score * w).alias("score")]
-    for i, r in enumerate(shares):
-        sums += [F.sum(r * w).alias(f"n{i}"), F.sum(r * w * gap).alias(f"s{i}"), F.sum(r * w * gap * gap).alias(f"q{i}")]
-    row = data.agg(*sums).first()
-    n, s, q = (np.array([row[f"{name}{i}"] for i in range(len(shares))]) for name in "nsq")
-    n = np.maximum(n, 1e-15)
-    return n, origin + s / n, np.maximum(q / n - (s / n) ** 2, 0.0) + VARIANCE_FLOOR, row["score"]
 
+def _start_centers(table: pd.DataFrame, k: int, seed: int) -> list[float]:
+    """k-means of a bounded summary, seeded by weighted distance."""
+    x, w = table["x"].to_numpy(), table["w"].to_numpy()
+    rng = np.random.default_rng(seed)
+    centers = [rng.choice(x, p=w / w.sum())]
+    while len(centers) < min(k, len(x)):
+        far = w * np.min([(x - c) ** 2 for c in centers], axis=0)
+        if far.sum() == 0:
+            break
+        centers.append(rng.choice(x, p=far / far.sum()))
+    centers = np.sort(np.array(centers, dtype=float))
+    for _ in range(100):
+        nearest = np.searchsorted((centers[1:] + centers[:-1]) / 2, x)
+        held = np.bincount(nearest, w, len(centers))
+        moved = np.sort(np.where(held > 0, np.bincount(nearest, w * x, len(centers)) / np.maximum(held, 1e-300), centers))
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return [float(c) for c in centers]
 
-def _log_sum(logs: list[Column]) -> Column:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    return top + F.log(reduce(add, [F.exp(part - top) for part in logs]))
 
+def _component_sums(
+    data: DataFrame, starts: list[list[str]], hard: list[list[float]] | None, origin: float
+) -> list[tuple[Sums, float]]:
+    """Size, mean and variance of each component and the summed score, of all starts by one job.
 
-def _iterate(data: DataFrame, centers: list[float], origin: float, rows: int, logs_of, max_iter: int):
-    """Alternate expectation and maximisation from hard-assigned centers.
-
-    ``logs_of(n, mean, variance)`` gives each component's weighted log density as a function
-    of x. An iteration is one job over the weighted points and only three sums per component
-    reach the driver, so the plan never grows. Stops when the mean score per row changes less
-    than the tolerance; returns the last sums and the score they were made with.
+    A start is given by its components' log densities, or at first by ``hard`` centers that
+    take each value wholly.
+    """
+    step = data.selectExpr("x", "w", f"x - {origin!r}D AS gap")
+    counts = [len(s) for s in (hard or starts)]
+    if hard:
+        shares = []
+        for j, centers in enumerate(hard):
+            cuts = [f"int(x > {(a + b) / 2!r}D)" for a, b in zip(centers, centers[1:])]
+            step = step.selectExpr("*", f"{' + '.join(cuts) or '0'} AS own{j}", f"0D AS score{j}")
+            shares += [f"double(own{j} = {i}) * w AS r{j}_{i}" for i in range(len(centers))]
+    else:
+        step = step.selectExpr("*", *[f"{part} AS log{j}_{i}" for j, logs in enumerate(starts) for i, part in enumerate(logs)])
+        names = [[f"log{j}_{i}" for i in range(k)] for j, k in enumerate(counts)]
+        step = step.selectExpr("*", *[f"{_log_sum(logs)} AS score{j}" for j, logs in enumerate(names)])
+        shares = [f"exp(log{j}_{i} - score{j}) * w AS r{j}_{i}" for j, k in enumerate(counts) for i in range(k)]
+    sums = [f"sum(score{j} * w) AS score{j}" for j in range(len(counts))]
+    for j, k in enumerate(counts):
+        for i in range(k):
+            r = f"r{j}_{i}"
+            sums += [f"sum({r}) AS n{j}_{i}", f"sum({r} * gap) AS s{j}_{i}", f"sum({r} * gap * gap) AS q{j}_{i}"]
+    row = step.selectExpr("gap", "w", *[f"score{j}" for j in range(len(counts))], *shares).selectExpr(*sums).first()
+    found = []
+    for j, k in enumerate(counts):
+        n, s, q = (np.array([row[f"{name}{j}_{i}"] for i in range(k)]) for name in "nsq")
+        n = np.maximum(n, 1e-15)
+        variance = np.maximum(q / n - (s / n) ** 2, 0.0) + VARIANCE_FLOOR
+        found.append(((n, origin + s / n, variance), row[f"score{j}"]))
+    return found
+
+
+def _iterate(
+    data: DataFrame, starts: list[list[float]], origin: float, rows: int, logs_of, max_iter: int
+) -> tuple[Sums, float]:
+    """Alternate expectation and maximisation from hard-assigned centers; the best of all starts.
+
+    ``logs_of(n, mean, variance)`` gives each component's weighted log density of x. An
+    iteration is one job over the weighted points, shared by all starts that still move, and
+    only three sums per component reach the driver, so the plan never grows. A start rests
+    when its mean score per row changes less than the tolerance.
     """
-    x = F.col("x")
-    state = _component_sums(data, _hard_shares(x, centers), F.lit(0.0), origin)[:3]
-    last = None
+    states = [sums for sums, _ in _component_sums(data, [], starts, origin)]
+    scores: list[float | None] = [None] * len(states)
+    moving = list(range(len(states)))
     for _ in range(max_iter):
-        logs = logs_of(*state)(x)
-        whole = _log_sum(logs)
-        *sums, score = _component_sums(data, [F.exp(part - whole) for part in logs], whole, origin)
-        state = sums
-        if last is not None and abs(score - last) < TOLERANCE * rows:
-            return state, score
-        last = score
-    return state, last
+        logs = [logs_of(*states[j]) for j in moving]
+        still = []
+        for j, (sums, score) in zip(moving, _component_sums(data, logs, None, origin)):
+            if scores[j] is None or abs(score - scores[j]) >= TOLERANCE * rows:
+                still.append(j)
+            states[j], scores[j] = sums, score
+        moving = still
+        if not moving:
+            break
+    best = max(range(len(states)), key=lambda j: scores[j])
+    return states[best], scores[best]
 
 
 def _normal_logs(rows: int):
     def of(n, mean, variance):
         fixed = np.log(n / rows) - 0.5 * np.log(2 * np.pi * variance)
-        return lambda x: [
-            float(f) - F.pow(x - float(m), 2) / float(2 * v) for f, m, v in zip(fixed, mean, variance)
-        ]
+        return [_normal_log(*part) for part in zip(fixed, mean, variance)]
 
     return of
 
 
+def _fit(df: DataFrame, col: str, k: int, seeds: range, logs_for, max_iter: int, max_points: int | None):
+    """Prepare weighted points and starts and iterate; ``logs_for(facts)`` makes ``logs_of``."""
+    values = column_values(df, col)
+    facts = summarise(values)
+    data = points(values, facts, max_points).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        table = micro_clusters(values, facts, START_POINTS).toPandas().sort_values("x", ignore_index=True)
+        starts = [_start_centers(table, k, seed) for seed in seeds]
+        return facts, *_iterate(data, starts, facts.mean, facts.n, logs_for(facts), max_iter)
+    finally:
+        data.unpersist()
+
+
 def fit_mixture(
     df: DataFrame,
     col: str,
@@ -134,23 +192,13 @@ def fit_mixture(
 ) -> Mixture:
     """Maximum-likelihood mixture started from k-means; of several restarts the likeliest.
 
-    Equal values enter as one weighted point.
+    The starting centers come from a bounded summary, the fit itself from all rows. Equal values enter as one weighted point.
     """
-    values = column_values(df, col)
-    facts = summarise(values)
-    data = _vectors(points(values, facts, max_points)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for i in range(restarts):
-            centers = _kmeans(data, k, seed + i)
-            (n, mean, variance), score = _iterate(
-                data, centers, facts.mean, facts.n, _normal_logs(facts.n), max_iter
-            )
-            if best is None or score > best.log_likelihood:
-                best = _ordered(n / n.sum(), mean, np.sqrt(variance), score)
-        return best
-    finally:
-        data.unpersist()
+    seeds = range(seed, seed + restarts)
+    _, (n, mean, variance), score = _fit(
+        df, col, k, seeds, lambda facts: _normal_logs(facts.n), max_iter, max_points
+    )
+    return _ordered(n / n.sum(), mean, np.sqrt(variance), score)
 
 
 def parameters(df: DataFrame, mixture: Mixture) -> DataFrame:
@@ -199,11 +247,12 @@ def kmeans_centers(
     """(cluster, center) in order of value."""
     values = column_values(df, col)
     weighted = points(values, summarise(values) if max_points else None, max_points)
-    data = _vectors(weighted).persist(StorageLevel.MEMORY_AND_DISK)
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(weighted).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        centers = _kmeans(data, k, seed)
+        model = KMeans(k=k, seed=seed, featuresCol="features", weightCol="w").fit(data)
     finally:
         data.unpersist()
+    centers = sorted(float(c[0]) for c in model.clusterCenters())
     return df.sparkSession.createDataFrame(list(enumerate(centers)), "cluster int, center double")
 
 
@@ -249,7 +298,7 @@ class _Posterior:
             _digamma(a) - both + log_rest, means, variances, freedom, precision, weights / weights.sum()
         )
 
-    def log_parts(self, x: Column) -> list[Column]:
+    def log_parts(self) -> list[str]:
         """Expected log density of each component, weight included."""
         fixed = (
             self.log_weights
@@ -257,31 +306,21 @@ class _Posterior:
             - 0.5 * np.log(self.freedom)
             + 0.5 * (math.log(2) + _digamma(0.5 * self.freedom) - 1 / self.precision)
         )
-        return [
-            float(f) - F.pow(x - float(m), 2) / float(2 * v)
-            for f, m, v in zip(fixed, self.means, self.variances)
-        ]
+        return [_normal_log(*part) for part in zip(fixed, self.means, self.variances)]
 
 
 def fit_variational(
     df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42, max_iter: int = 100, max_points: int | None = None
 ) -> _Posterior:
-    """Variational mixture with Dirichlet-process weights, started from k-means."""
-    values = column_values(df, col)
-    facts = summarise(values)
-    prior = facts.mean, max(facts.sd**2, VARIANCE_FLOOR)
-    data = _vectors(points(values, facts, max_points)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centers = _kmeans(data, k, seed)
-        logs_of = lambda *sums: _Posterior.update(*sums, *prior).log_parts
-        sums, _ = _iterate(data, centers, facts.mean, facts.n, logs_of, max_iter)
-        return _Posterior.update(*sums, *prior)
-    finally:
-        data.unpersist()
+    """Variational mixture with Dirichlet-process weights."""
+    prior = lambda facts: (facts.mean, max(facts.sd**2, VARIANCE_FLOOR))
+    logs_for = lambda facts: lambda *sums: _Posterior.update(*sums, *prior(facts)).log_parts()
+    facts, sums, _ = _fit(df, col, k, range(seed, seed + 1), logs_for, max_iter, max_points)
+    return _Posterior.update(*sums, *prior(facts))
 
 
 def bayesian_curve(df: DataFrame, col: str, k: int = COMPONENTS, size: int = GRID, **fit) -> DataFrame:
     """(i, x, density) of the variational mixture."""
     posterior = fit_variational(df, col, k, **fit)
     facts = summarise(column_values(df, col))
-    return grid_points(df, facts, size).withColumn("density", F.exp(_log_sum(posterior.log_parts(F.col("x")))))
+    return grid_points(df, facts, size).selectExpr("i", "x", f"exp({_log_sum(posterior.log_parts())}) AS density")
