@@ -105,7 +105,8 @@ def position_in_group(
     """
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.dropna(subset=list(keys)).withColumn("__order", F.col(order).cast("double"))
-    marks = rows.stat.approxQuantile("__order", [i / blocks for i in range(1, blocks)], 0.1 / blocks)
+    shares = [i / blocks for i in range(1, blocks)]
+    marks = rows.stat.approxQuantile("__order", shares, 0.1 / blocks) if shares else []
     splits = [float("-inf"), *sorted(set(marks)), float("inf")]
     if len(splits) == 2:
         rows = rows.withColumn("__block", F.lit(0.0))
