@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gritsieve.schema import SemanticSchema, register_type
 from gritsieve.functions.scalars import extract_category
-from gritsieve.sources.files import read_table
+from gritsieve.sources.files import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -154,7 +154,7 @@ MESSY_CTE = f"messy AS (SELECT {', '.join(f'{e} AS {n}' for n, e in MESSY.items(
 
 
 def messy(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "orders").selectExpr(*[f"{e} AS {n}" for n, e in MESSY.items()])
+    return spread(read_table(spark, folder, "orders").selectExpr(*[f"{e} AS {n}" for n, e in MESSY.items()]), "row_id")
 
 
 def over_messy(sql: str) -> str:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
+from gritsieve.functions.binding import bind, only_if
 from gritsieve.functions.text import strip
 
 TEXT_SCHEMA = "struct<v:array<string>,e:int>"
@@ -24,34 +25,36 @@ LIST_SCHEMA = "struct<v:array<array<string>>,e:int>"
 
 def literal_tokens_to_json(c: Column) -> Column:
     """Python's ``\\xNN`` escapes and bare None/True/False in JSON notation."""
-    c = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    fixed = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
     for word, token in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = F.regexp_replace(c, rf"([:\[,]\s*){word}(?=\s*[,\]}}])", f"$1{token}")
-    return c
+        fixed = F.regexp_replace(fixed, rf"([:\[,]\s*){word}(?=\s*[,\]}}])", f"$1{token}")
+    # few texts need it, and looking is cheaper
+    marked = c.contains("\\x") | c.contains("None") | c.contains("True") | c.contains("False")
+    return F.when(marked, fixed).otherwise(c)
 
 
 def escape_inner_apostrophes(c: Column) -> Column:
-    """Apostrophes between two word characters are part of a name, not a quote."""
-    return F.regexp_replace(c, r"(?U)(?<=\w)'(?=\w)", r"\\u0027")
+    """Apostrophes between two word characters are part of a name, not a quote.
 
-
-def _only_if(value: Column, test) -> Column:
-    """The value if it passes the test, else null; computed once, however often the test looks at it."""
-    return F.get(F.filter(F.array(value), test), F.lit(0))
+    Text that needs no repair keeps its meaning: a quoting apostrophe has punctuation or a
+    blank on one side, and within double quotes the escape stands for the same character.
+    """
+    return F.regexp_replace(c, r"(?U)'(?=\w)(?<=\w')", r"\\u0027")
 
 
 def _parse_one(c: Column, schema: str) -> Column:
     wrapped = F.from_json(F.concat(F.lit('{"v":['), c, F.lit('],"e":1}')), schema)
-    return _only_if(wrapped, lambda w: (w["e"] == 1) & (F.size(w["v"]) == 1))["v"][0]
+    return only_if(wrapped, lambda w: (w["e"] == 1) & (F.size(w["v"]) == 1))["v"][0]
 
 
 def _parse(c: Column, opening: str, schema: str) -> Column:
-    """Parse as written, else after the apostrophe repair."""
-    s = strip(c)
-    candidate = literal_tokens_to_json(F.when(s.rlike(rf"^{opening}"), s))
-    return F.coalesce(
-        _parse_one(candidate, schema), _parse_one(escape_inner_apostrophes(candidate), schema)
-    )
+    """Parse the stripped text with Python's notation and inner apostrophes made JSON."""
+
+    def read(s: Column) -> Column:
+        ready = escape_inner_apostrophes(literal_tokens_to_json(s))
+        return F.when(s.rlike(rf"^{opening}"), _parse_one(ready, schema))
+
+    return bind(strip(c), read)
 
 
 @F.pandas_udf(StringType())
@@ -109,7 +112,7 @@ def extract_records(c: Column, python_fallback: bool = False) -> Column:
     """array<map<string,string>> of a non-empty list whose elements are all dicts."""
     if python_fallback:
         c = extract_object(c, True)
-    return _only_if(
+    return only_if(
         _parse(c, r"\[", RECORDS_SCHEMA), lambda rows: (F.size(rows) > 0) & F.forall(rows, lambda r: r.isNotNull())
     )
 

@@ -9,12 +9,10 @@ from pyspark.sql import Column, functions as F
 from gritsieve.functions.text import strip
 
 # Accepted texts, as patterns.
-DIGITS = r"^\d+\z"
-DIGITS_POINT_ZEROS = r"^(\d+)\.0+\z"
-SIGNED_DIGITS = r"^[+-]?\d+\z"
-SIGNED_DIGITS_POINT_ZEROS = r"^([+-]?\d+)\.0+\z"
-FLOAT_TEXT = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\z"
-YMD_TEXT = r"^\d{4}-\d{2}-\d{2}\z"
+INTEGER_TEXT = r"^([0-9]+)(?:\.0+)?\z"
+SIGNED_INTEGER_TEXT = r"^([+-]?[0-9]+)(?:\.0+)?\z"
+FLOAT_TEXT = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\z"
+YMD_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 YMD_FORMAT = "yyyy-MM-dd"
 FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
 STATUS_LABELS = ("Rumored", "Planned", "In Production", "Post Production", "Released", "Canceled")
@@ -22,10 +20,7 @@ STATUS_LABELS = ("Rumored", "Planned", "In Production", "Post Production", "Rele
 
 def extract_integer(c: Column, signed: bool = False) -> Column:
     """Digits, or digits followed by a zero fraction; anything else is null."""
-    whole, zeros = (SIGNED_DIGITS, SIGNED_DIGITS_POINT_ZEROS) if signed else (DIGITS, DIGITS_POINT_ZEROS)
-    s = strip(c)
-    trimmed = F.nullif(F.regexp_extract(s, zeros, 1), F.lit(""))
-    return F.coalesce(trimmed, F.when(s.rlike(whole), s)).try_cast("bigint")
+    return F.regexp_extract(strip(c), SIGNED_INTEGER_TEXT if signed else INTEGER_TEXT, 1).try_cast("bigint")
 
 
 def is_integer(c: Column) -> Column:
@@ -34,8 +29,7 @@ def is_integer(c: Column) -> Column:
 
 def extract_float(c: Column) -> Column:
     """Decimal, exponent and infinity texts; the text ``nan`` is a missing value."""
-    s = strip(c)
-    return F.when(s.rlike(FLOAT_TEXT), s).try_cast("double")
+    return F.regexp_extract(strip(c), FLOAT_TEXT, 0).try_cast("double")
 
 
 def is_float(c: Column) -> Column:
@@ -47,8 +41,8 @@ def to_numeric(c: Column, precision: int = 38, scale: int = 6) -> Column:
 
 
 def extract_boolean(c: Column) -> Column:
-    s = F.lower(strip(c))
-    return F.when(s == "true", F.lit(True)).when(s == "false", F.lit(False))
+    word = F.lower(strip(c))
+    return F.when(word == "true", F.lit(True)).when(word == "false", F.lit(False))
 
 
 def is_boolean(c: Column, exact: bool = False) -> Column:
@@ -59,8 +53,7 @@ def is_boolean(c: Column, exact: bool = False) -> Column:
 
 
 def extract_date(c: Column) -> Column:
-    s = strip(c)
-    day = F.try_to_date(F.when(s.rlike(YMD_TEXT), s), YMD_FORMAT)
+    day = F.regexp_extract(strip(c), YMD_TEXT, 0).try_cast("date")
     return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), day)
 
 

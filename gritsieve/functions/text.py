@@ -17,21 +17,22 @@ from pyspark.sql.types import (
     VariantType,
 )
 
-# Unicode white space plus the four ASCII separators count as blank;
-# the mark that ends a shortened text.
-BLANK = r"[\s\x1c-\x1f]"
+from gritsieve.functions.binding import bind
+
+# The characters that count as blank; the mark that ends a shortened text.
+BLANK = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 ELLIPSIS = "…"
 
 LEFT, CENTER, RIGHT = "left", "center", "right"
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing Unicode white space.
-
-    The look-behind lets the trailing branch start only at the head of a blank run, so long
-    inner runs cost linear time.
-    """
-    return F.regexp_replace(c, rf"(?U)^{BLANK}+|(?<!{BLANK}){BLANK}+\z", "")
+    """Remove leading and trailing blanks, Unicode ones included."""
+    return F.btrim(c, F.lit(BLANK))
 
 
 def extract_string(c: Column) -> Column:
@@ -51,11 +52,6 @@ def same_text(c: Column, word: str) -> Column:
     return F.lower(c) == F.lit(word.lower())
 
 
-def _with(value: Column, f) -> Column:
-    """f(value) with the value computed once, where plain nesting would repeat it many times."""
-    return F.transform(F.array(value), f)[0]
-
-
 def _pad(c: Column, width: int, justify: str) -> Column:
     room = F.greatest(F.length(c), F.lit(width))
     if justify == LEFT:
@@ -74,10 +70,10 @@ def format_string(c: Column, size: int, width: int, justify: str = LEFT) -> Colu
     def shape(t: Column) -> Column:
         flat = F.translate(t, "\n\t", "  ")
         cut = F.concat(F.substring(flat, 1, size - 1), F.lit(ELLIPSIS))
-        padded = _with(F.when(F.length(flat) > size, cut).otherwise(flat), lambda short: _pad(short, width, justify))
+        padded = bind(F.when(F.length(flat) > size, cut).otherwise(flat), lambda short: _pad(short, width, justify))
         return F.when(is_string(t), padded).otherwise(F.lit(" " * width))
 
-    return _with(c, shape)
+    return bind(c, shape)
 
 
 def format_engineering(c: Column) -> Column:

@@ -94,10 +94,15 @@ def numeric_stats(
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     typed = typed.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
     shares = (0.25, 0.5, 0.75) if _QUANTILE_FACTS & set(facts) else ()
-    quantiles = quantile_columns(typed, columns, shares, direct_rows) if shares else {}
+    found = None
+    if shares:
+        # apart from the other aggregates, which compile to one loop
+        quantiles = quantile_columns(typed, columns, shares, direct_rows)
+        picks = [quantiles[c, q].alias(f"q{i}_{j}") for i, c in enumerate(columns) for j, q in enumerate(shares)]
+        found = typed.agg(*picks).first()
     rows = []
-    for c in columns:
-        own = numeric_facts(F.col(c), {q: quantiles[c, q] for q in shares})
+    for i, c in enumerate(columns):
+        own = numeric_facts(F.col(c), {q: F.lit(found[f"q{i}_{j}"]).cast("double") for j, q in enumerate(shares)})
         rows.append(F.struct(F.lit(c).alias("column"), *[own[name].alias(name) for name in facts]))
     return typed.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 

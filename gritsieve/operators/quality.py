@@ -10,11 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from gritsieve.operators.aggregates import all_valid, null_counts
 from gritsieve.schema import SemanticSchema, extract_columns, semantic_type, semantic_types
 
-LONG_REJECT = "array<struct<column:string,semantic_type:string,value:string>>"
-
-
-def _rejects_of_row(df: DataFrame, schema: SemanticSchema):
-    """Array of the row's non-null cells that fail their column's type."""
+def _long_rejects(df: DataFrame, schema: SemanticSchema, *keep) -> DataFrame:
+    """One row per non-null cell that fails its column's type."""
     cells = []
     for c in schema.known(df):
         kind = schema.column_type(c)
@@ -22,19 +19,18 @@ def _rejects_of_row(df: DataFrame, schema: SemanticSchema):
         cell = F.struct(F.lit(c).alias("column"), F.lit(kind).alias("semantic_type"), F.col(c).alias("value"))
         cells.append(F.when(bad, cell))
     if not cells:
-        return F.array().cast(LONG_REJECT)
-    return F.filter(F.array(*cells), lambda x: x.isNotNull())
+        cells = [F.lit(None).cast("struct<column:string,semantic_type:string,value:string>")]
+    return df.select(*keep, F.explode(F.array(*cells)).alias("cell")).where("cell is not null")
 
 
 def cell_rejects(df: DataFrame, schema: SemanticSchema, row_id: str) -> DataFrame:
     """One row per invalid cell: (row_id, column, semantic_type, value)."""
-    bad = df.select(F.col(row_id).alias("row_id"), F.explode(_rejects_of_row(df, schema)).alias("cell"))
-    return bad.select("row_id", "cell.*")
+    return _long_rejects(df, schema, F.col(row_id).alias("row_id")).select("row_id", "cell.*")
 
 
 def distinct_rejects(df: DataFrame, schema: SemanticSchema) -> DataFrame:
     """Each distinct bad value of each column with its number of rows."""
-    bad = df.select(F.explode(_rejects_of_row(df, schema)).alias("cell")).select("cell.*")
+    bad = _long_rejects(df, schema).select("cell.*")
     return bad.groupBy("column", "semantic_type", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -42,29 +38,28 @@ def validation_summary(df: DataFrame, schema: SemanticSchema) -> DataFrame:
     """Per column: status, and numbers of non-null, invalid and distinct bad cells.
 
     Every column has exactly one status: 'valid', 'invalid' or 'unregistered'. Cells are
-    counted in one aggregate over all columns.
+    read once for the numbers of values and once for the rejects.
     """
-    facts = []
-    for c in df.columns:
-        kind = schema.columns.get(c)
-        bad = F.col(c).isNotNull() & ~semantic_type(kind).is_valid(F.col(c)) if kind else F.lit(False)
-        facts.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.lit(kind).cast("string").alias("semantic_type"),
-                F.count(c).alias("n_values"),
-                F.count_if(bad).alias("n_invalid"),
-            )
+    facts = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(schema.columns.get(c)).cast("string").alias("semantic_type"),
+            F.count(c).alias("n_values"),
         )
+        for c in df.columns
+    ]
     counts = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
-    distinct = distinct_rejects(df, schema).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct_bad"))
+    bad = distinct_rejects(df, schema).groupBy("column").agg(
+        F.sum("n_rows").alias("n_invalid"), F.count(F.lit(1)).alias("n_distinct_bad")
+    )
     status = (
         F.when(F.col("semantic_type").isNull(), "unregistered")
         .when(F.col("n_invalid") > 0, "invalid")
         .otherwise("valid")
     )
-    return counts.join(distinct, "column", "left").select(
-        "column", "semantic_type", status.alias("status"), "n_values", "n_invalid",
+    return counts.join(bad, "column", "left").select(
+        "column", "semantic_type", status.alias("status"), "n_values",
+        F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
         F.coalesce("n_distinct_bad", F.lit(0)).alias("n_distinct_bad"),
     )
 

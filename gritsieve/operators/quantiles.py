@@ -100,10 +100,11 @@ def quantile_columns(
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(columns):
         rows = sizes[i]
+        if rows <= direct_rows:
+            together = F.percentile(F.col(c), F.array(*map(F.lit, shares)))
+            result |= {(c, share): together[j] for j, share in enumerate(shares)}
+            continue
         for share in shares:
-            if rows <= direct_rows:
-                result[c, share] = F.percentile(F.col(c), share)
-                continue
             position = share * (rows - 1)
             ends = [targets.setdefault((c, r), _Target(c, r, rows)) for r in (math.floor(position), math.ceil(position))]
             pairs[c, share] = (ends[0], ends[1], position - math.floor(position))

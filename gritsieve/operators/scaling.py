@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from gritsieve.operators.aggregates import numeric_stats
 from gritsieve.operators.relational import within_threshold
@@ -13,8 +13,8 @@ from gritsieve.schema import SemanticSchema, physical_numeric_columns
 VARIANTS = ("original", "clamped", "clamped_minmax", "dropped", "dropped_minmax")
 
 
-def _fit(df: DataFrame, columns: Sequence[str]) -> Column:
-    """All columns' means, deviations and ranges as one scalar subquery, in one pass."""
+def _fit(df: DataFrame, columns: Sequence[str]) -> Row:
+    """All columns' means, deviations and ranges: one row, from one pass."""
     facts = []
     for i, c in enumerate(columns):
         facts += [
@@ -23,11 +23,7 @@ def _fit(df: DataFrame, columns: Sequence[str]) -> Column:
             F.min(c).alias(f"min{i}"),
             F.max(c).alias(f"max{i}"),
         ]
-    return df.agg(F.struct(*facts)).scalar()
-
-
-def _or_one(c: Column) -> Column:
-    return F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0))
+    return df.agg(*facts).first()
 
 
 def _as_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,7 +35,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     columns = list(columns or physical_numeric_columns(df))
     numbers = _as_numbers(df, columns)
     fit = _fit(numbers, columns)
-    scaled = {c: (F.col(c) - fit[f"mean{i}"]) / _or_one(fit[f"sd{i}"]) for i, c in enumerate(columns)}
+    scaled = {c: (F.col(c) - fit[f"mean{i}"]) / (fit[f"sd{i}"] or 1.0) for i, c in enumerate(columns) if fit[f"sd{i}"] is not None}
     return numbers.withColumns(scaled)
 
 
@@ -49,7 +45,9 @@ def minmax_scale(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     numbers = _as_numbers(df, columns)
     fit = _fit(numbers, columns)
     scaled = {
-        c: (F.col(c) - fit[f"min{i}"]) / _or_one(fit[f"max{i}"] - fit[f"min{i}"]) for i, c in enumerate(columns)
+        c: (F.col(c) - fit[f"min{i}"]) / ((fit[f"max{i}"] - fit[f"min{i}"]) or 1.0)
+        for i, c in enumerate(columns)
+        if fit[f"min{i}"] is not None
     }
     return numbers.withColumns(scaled)
 

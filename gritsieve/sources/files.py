@@ -58,6 +58,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by a key if the table has fewer splits than there are cores.
+
+    For costly work per row on a table stored in few row groups; a table with enough splits
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     """Header CSV, nulls empty; nested columns become JSON text."""
     nested = (ArrayType, MapType, StructType, VariantType)
