@@ -9,7 +9,7 @@ from gritsieve.operators import aggregates as agg, duplicates, profile, scaling
 from gritsieve.operators.histogram import histogram
 from gritsieve.operators.preview import grid
 from gritsieve.operators.quality import distinct_rejects
-from gritsieve.sources.files import read_table
+from gritsieve.sources.files import read_table, spread
 
 c = F.col
 
@@ -59,7 +59,7 @@ def unique_sql(x: str, table: str) -> str:
 
 
 def _lines(spark, folder, *columns):
-    return read_table(spark, folder, "lineitem").select(*columns)
+    return spread(read_table(spark, folder, "lineitem"), "l_orderkey").select(*columns)
 
 
 # -- aggregates --------------------------------------------------------------------------
@@ -324,7 +324,7 @@ _FIT = "(SELECT avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(v
 
 
 def _scored(spark, folder):
-    return read_table(spark, folder, "events").select("event_id", "value")
+    return spread(read_table(spark, folder, "events").select("event_id", "value"), "event_id")
 
 
 _REVENUE = f"(SELECT row_id, {float_sql('revenue')} AS x FROM messy) t, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM (SELECT {float_sql('revenue')} AS x FROM messy)) f"

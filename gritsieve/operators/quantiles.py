@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DIRECT_ROWS = 5_000_000
+DIRECT_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -48,17 +48,26 @@ class _Target:
 
 def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
     """One sketch pass and one counting pass that shrink every open target's enclosure."""
+    # targets of one column and enclosure share a sketch
+    sharing: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        sharing.setdefault((t.column, t.low, t.high), []).append(t)
+    margin = 2.0 / accuracy
     sketches = []
-    for i, t in enumerate(targets):
-        at = (t.rank - t.below) / max(t.rows - 1, 1)
-        margin = 2.0 / accuracy
-        span = F.array(F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0)))
-        sketches.append(F.percentile_approx(F.when(t.inside(), F.col(t.column)), span, accuracy).alias(f"s{i}"))
-    found = df.agg(*sketches).first()
+    for i, group in enumerate(sharing.values()):
+        places = [(t.rank - t.below) / max(t.rows - 1, 1) for t in group]
+        spans = [F.lit(x) for p in places for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+        values = F.when(group[0].inside(), F.col(group[0].column))
+        sketches.append(F.percentile_approx(values, F.array(*spans), accuracy).alias(f"s{i}"))
+    row = df.agg(*sketches).first()
+    found = {}
+    for i, group in enumerate(sharing.values()):
+        for j, t in enumerate(group):
+            found[id(t)] = row[f"s{i}"][2 * j : 2 * j + 2]
 
     counts = []
     for i, t in enumerate(targets):
-        c, (a, b) = F.col(t.column), found[f"s{i}"]
+        c, (a, b) = F.col(t.column), found[id(t)]
         inside = t.inside()
         counts += [
             F.count_if(inside & (c < a)).alias(f"lt_a{i}"),
@@ -68,7 +77,7 @@ def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
         ]
     n = df.agg(*counts).first()
     for i, t in enumerate(targets):
-        a, b = (float(v) for v in found[f"s{i}"])
+        a, b = found[id(t)]
         place = t.rank - t.below
         lt_a, eq_a, lt_b, eq_b = (n[f"{name}{i}"] for name in ("lt_a", "eq_a", "lt_b", "eq_b"))
         if place < lt_a:
