@@ -298,7 +298,7 @@ def jn_3(spark, folder):
 def jn_4(spark, folder):
     df = messy(spark, folder)
     dimension, bridge = rel.normalise(df, "row_id", "items", {"id": "bigint", "name": "string"}, "id")
-    return df.select("row_id", "status").join(bridge, "row_id").join(dimension, "id").select("row_id", "status", "id", "name")
+    return rel.denormalise(df.select("row_id", "status"), bridge, dimension, "row_id", "id").select("row_id", "status", "id", "name")
 
 
 @query("jn_5", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem), 4) AS above_mean FROM lineitem")

@@ -73,7 +73,8 @@ def analyze(df: DataFrame, col: str, methods: Sequence[str] | None = None) -> di
     unknown = [n for n in names if n not in _ANALYSES]
     if unknown:
         raise ValueError(f"unknown analyses: {unknown}")
-    return {name: _ANALYSES[name](df, col) for name in names}
+    with mixture.shared_fits():
+        return {name: _ANALYSES[name](df, col) for name in names}
 
 
 def analyze_one(df: DataFrame, col: str, index: int) -> DataFrame:

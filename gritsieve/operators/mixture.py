@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -194,11 +195,31 @@ def fit_mixture(
 
     The starting centers come from a bounded summary, the fit itself from all rows. Equal values enter as one weighted point.
     """
+    wanted = (id(df), col, k, seed, restarts, max_iter, max_points)
+    if _SHARED is not None and wanted in _SHARED:
+        return _SHARED[wanted]
     seeds = range(seed, seed + restarts)
     _, (n, mean, variance), score = _fit(
         df, col, k, seeds, lambda facts: _normal_logs(facts.n), max_iter, max_points
     )
-    return _ordered(n / n.sum(), mean, np.sqrt(variance), score)
+    found = _ordered(n / n.sum(), mean, np.sqrt(variance), score)
+    if _SHARED is not None:
+        _SHARED[wanted] = found
+    return found
+
+
+_SHARED: dict[tuple, Mixture] | None = None
+
+
+@contextmanager
+def shared_fits():
+    """Within the block, fits of the same frame object with the same settings are made once."""
+    global _SHARED
+    _SHARED = {}
+    try:
+        yield
+    finally:
+        _SHARED = None
 
 
 def parameters(df: DataFrame, mixture: Mixture) -> DataFrame:

@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions import nested, scalars
+from gritsieve.operators.groups import lookup
 
 
 # -- projections -------------------------------------------------------------------------
@@ -88,11 +89,13 @@ def within_threshold(df: DataFrame, cols: Sequence[str], threshold: float) -> Da
 # -- joins -------------------------------------------------------------------------------
 
 def without_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(keys, on, "left_anti")
+    """Rows whose key is not among the keys, which may repeat."""
+    return df.join(keys.distinct(), on, "left_anti")
 
 
 def with_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
-    return df.join(keys, on, "left_semi")
+    """Rows whose key is among the keys, which may repeat."""
+    return df.join(keys.distinct(), on, "left_semi")
 
 
 def explode_list(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -103,16 +106,25 @@ def explode_list(df: DataFrame, col: str, out: str) -> DataFrame:
 def normalise(
     df: DataFrame, key: str, col: str, fields: dict[str, str], item_key: str
 ) -> tuple[DataFrame, DataFrame]:
-    """Split a record-list column into a dimension and a (key, item key) bridge table."""
+    """Split a record-list column into a dimension and a (key, item key) bridge table.
+
+    The dimension has one row per item key and the number of records that name it.
+    """
     items = df.select(key, F.explode(nested.typed_records(F.col(col), fields)).alias("item"))
-    dimension = (
-        items.groupBy(F.col(f"item.{item_key}").alias(item_key))
-        .agg(*[F.min(f"item.{f}").alias(f) for f in fields if f != item_key])
+    dimension = items.groupBy(F.col(f"item.{item_key}").alias(item_key)).agg(
+        *[F.min(f"item.{f}").alias(f) for f in fields if f != item_key], F.count(F.lit(1)).alias("n_records")
     )
     bridge = items.select(key, F.col(f"item.{item_key}").alias(item_key)).distinct()
     return dimension, bridge
 
 
+def denormalise(df: DataFrame, bridge: DataFrame, dimension: DataFrame, key: str, item_key: str) -> DataFrame:
+    """One row per row and item, with the item's fields; an item in very many rows cannot skew it."""
+    fields = [c for c in dimension.columns if c not in (item_key, "n_records")]
+    named = lookup(bridge.where(F.col(item_key).isNotNull()), dimension, [item_key], fields, "n_records", nulls_equal=False)
+    return df.join(named, key)
+
+
 # -- sorts, limits, sets -----------------------------------------------------------------
 
 def sorted_by(df: DataFrame, key: Column, descending: bool = False) -> DataFrame:
