@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
+
+
+def row_digest(*columns: Column) -> Column:
+    """256-bit digest of the columns, for grouping long texts by a short key."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def _group_keys(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """What to group equal rows by: of text columns a digest, so that whole texts are not shuffled."""
+    if all(isinstance(df.schema[c].dataType, StringType) for c in columns):
+        return [row_digest(*map(F.col, columns)).alias("__digest")]
+    return [F.col(c) for c in columns]
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """How many rows repeat an earlier one; nulls are equal."""
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(*_group_keys(df, columns or df.columns)).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def _firsts(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """The order values of each group's first row."""
-    return df.groupBy(*columns).agg(F.min(order).alias(order)).select(order)
+    return df.groupBy(*_group_keys(df, columns)).agg(F.min(order).alias(order)).select(order)
 
 
 def drop_exact_duplicates(
@@ -72,8 +85,3 @@ def remove_duplicates(
     if mode == "drop_first":
         return df.join(find_duplicates(df, order, keys).select(order), order, "left_anti")
     raise ValueError(f"unknown mode: {mode}")
-
-
-def row_digest(*columns: Column) -> Column:
-    """256-bit digest of the columns, for grouping long texts by a short key."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

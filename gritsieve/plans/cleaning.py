@@ -11,6 +11,7 @@ from gritsieve.operators.duplicates import drop_exact_duplicates, repeated_rows
 from gritsieve.operators.quality import blank_columns, null_out_invalid, sparse_columns
 from gritsieve.operators.scaling import autoscale
 from gritsieve.schema import SemanticSchema
+from gritsieve.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -27,12 +28,14 @@ def clean(df: DataFrame, schema: SemanticSchema, order: str, max_missing: float
     """Clean an all-text table.
 
     ``order`` is a unique row number: it decides which copy of equal rows is kept and
-    identifies rejected cells. Null counts of all columns come from one job, the only one
-    before the result is used; every later step is part of the result's plan.
+    identifies rejected cells. The table without duplicates is read by the null counts, the
+    scaler's fit, the result and the rejects, so it is checkpointed once. Validation and
+    scaling are part of the result's plan.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     data = [c for c in df.columns if c != order]
     duplicates = repeated_rows(df, order, data)
-    unique = drop_exact_duplicates(df, order, data)
+    unique = drop_exact_duplicates(df, order, data).checkpoint()
     nulls = null_counts(unique)
     gone = set(blank_columns(unique, nulls)) | set(sparse_columns(unique, max_missing, nulls))
     dropped = [c for c in data if c in gone]
