@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import reduce, wraps
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gritsieve.session import ensure_checkpoint_dir
 
+ROOT = str(Path(__file__).resolve().parents[2])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +25,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can express it, its check."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            find_package(spark)
+            return f(spark, folder)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return f
@@ -30,6 +38,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package even if the driver was started in another folder."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
