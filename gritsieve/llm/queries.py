@@ -1,6 +1,6 @@
 """The queries of this folder; importing a module registers its query."""
 
-from gritsieve.llm import balance, licenses, planes, segment_bpe, topk, warc  # noqa: F401
+from gritsieve.llm import balance, langid, licenses, planes, segment_bpe, topk, warc  # noqa: F401
 from gritsieve.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
