@@ -10,51 +10,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from itertools import islice
 
-END_OF_HEAD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-TAIL = b".,"
-
 
 class ChunkIds:
     """The ids of chunks as bytes, computed in batches and remembered up to ``limit`` entries.
 
-    ``encode`` takes a list of texts and gives each one's ids as bytes; it must treat the parts
-    of a chunk before and after a last run of full stops and commas alike when that run follows
-    an ASCII letter or digit, and must not tell upper from lower ASCII case unless the chunk
-    holds one of ``cased``. When full, the younger half is forgotten: words met early are the
-    frequent ones.
+    ``encode`` takes a list of chunks and gives each one's ids as bytes; it must not tell upper
+    from lower ASCII case in texts that hold none of ``cased``. When full, the younger half is
+    forgotten: chunks met early are the frequent ones.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], cased: tuple[bytes, ...] = (), limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], cased: tuple[bytes, ...] = (), limit: int = 800_000):
         self.encode, self.cased, self.limit = encode, cased, limit
         self.chunks: dict[bytes, bytes] = {}
-        self.heads: dict[bytes, bytes] = {}
-
-    def _forget(self, known: dict[bytes, bytes]) -> None:
-        if len(known) > self.limit:
-            for chunk in list(islice(reversed(known), len(known) - self.limit // 2)):
-                del known[chunk]
-
-    def _head(self, chunk: bytes) -> tuple[bytes, bytes]:
-        if any(c in chunk for c in self.cased):
-            return chunk, b""
-        head = chunk.rstrip(TAIL)
-        if not head or head[-1] not in END_OF_HEAD:
-            head = chunk
-        return head.lower(), chunk[len(head) :]
-
-    def of_words(self, words: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of chunks."""
-        self._forget(self.chunks)
-        self._forget(self.heads)
-        new = {c for ws in words for c in ws if c not in self.chunks}
-        parts = {c: self._head(c) for c in new}
-        heads = list({p for pair in parts.values() for p in pair if p and p not in self.heads})
-        self.heads.update(zip(heads, self.encode([h.decode() for h in heads])))
-        known = self.heads
-        self.chunks.update((c, known[h] + known[t] if t else known[h]) for c, (h, t) in parts.items())
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+
+    def _forget(self) -> None:
+        if len(self.chunks) > self.limit:
+            for chunk in list(islice(reversed(self.chunks), len(self.chunks) - self.limit // 2)):
+                del self.chunks[chunk]
 
     def of_texts(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts; null counts as empty."""
-        return self.of_words([(t or "").encode().split() for t in texts])
+        self._forget()
+        words = []
+        for text in texts:
+            data = (text or "").encode()
+            words.append((data if any(sign in data for sign in self.cased) else data.lower()).split())
+        flat = [c for ws in words for c in ws]
+        ids = list(map(self.chunks.get, flat))
+        missing = {c for c, found in zip(flat, ids) if found is None}
+        if missing:
+            new = list(missing)
+            self.chunks.update(zip(new, self.encode([c.decode() for c in new])))
+            learnt = self.chunks.__getitem__
+            ids = [learnt(c) if found is None else found for c, found in zip(flat, ids)]
+        out, at = [], 0
+        for ws in words:
+            out.append(b"".join(ids[at : at + len(ws)]))
+            at += len(ws)
+        return out
