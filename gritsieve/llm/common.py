@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce, wraps
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,5 +112,54 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def bitmap_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bit ``h >>> (64 - bits)`` set for each value of the long column ``h``: 2**bits bits whatever the table's size."""
+    place = F.shiftrightunsigned("h", 64 - bits)
+    masks = (
+        hashes.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[masks["word"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which unsigned hashes may be among those of the bitmap; none of them is missed."""
+    bit = hashes >> np.uint64(64 - bits)
+    return ((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def in_groups(df: DataFrame, keys: list[str], f: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply ``f`` to the rows of each key; groups must be bounded, as f holds one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [batch.column(batch.schema.names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(len(batch), bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            first = tuple(c[0] for c in columns)
+            new[0] = last is not None and first != last
+            last = tuple(c[-1] for c in columns)
+            at = 0
+            for cut in np.flatnonzero(new).tolist():
+                if cut > at:
+                    held.append(batch.slice(at, cut - at))
+                yield from f(pa.Table.from_batches(held))
+                held, at = [], cut
+            held.append(batch.slice(at))
+        if held:
+            yield from f(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import query, slices, stored, table
+from gritsieve.llm.common import bitmap_of, in_bitmap, query, slices, stored, table
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -123,9 +123,7 @@ def _windows(rows: DataFrame, sizes: list[int], literals: int, own_size: int = 0
             wanted = sorted({*sizes, *(n for n in lengths if 0 < n < own_size)}) if own_size else sizes
             for n_view, (size, hashes, of, place, token, at) in enumerate(windows(texts, codes, wanted, literals)):
                 if bitmap is not None:
-                    bit = hashes >> np.uint64(64 - bits)
-                    word = bitmap.value[(bit >> np.uint64(6)).astype(np.int64)]
-                    hit = np.flatnonzero((word >> (bit & np.uint64(63))) & np.uint64(1))
+                    hit = np.flatnonzero(in_bitmap(bitmap.value, hashes, bits))
                     hashes, of, place, at = hashes[hit], of[hit], place[hit], at[hit]
                 elif size < own_size:
                     hit = np.flatnonzero(np.array(lengths)[of] == size)
@@ -175,15 +173,7 @@ def contaminated(
     items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(item_text).cast("string").alias("text"))
     known = stored(_windows(items, [size], literals, own_size=size).where(F.col("n_tokens") >= shortest))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``size`` numbers
-    place = F.shiftrightunsigned("h", 64 - bits)
-    words = (
-        known.select(F.shiftright(place, 6).alias("word"), (place.bitwiseAND(F.lit(63))).alias("bit"))
-        .groupBy("word")
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("mask"))
-        .toArrow()
-    )
-    bitmap = np.zeros(1 << (bits - 6), np.uint64)
-    bitmap[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    bitmap = bitmap_of(known, bits)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     met = _windows(rows, sizes, literals, bitmap=spark.sparkContext.broadcast(bitmap), bits=bits)
     left = met.select("h", "size", F.col("key").alias("doc_id"), F.col("at").alias("doc_at"), F.col("raw").alias("doc_raw"), F.col("template"), F.pmod(F.xxhash64("key", "at"), F.lit(salts)).alias("salt"))
