@@ -1,12 +1,78 @@
-"""Clean a corpus: language, near copies, benchmark leaks, tokens."""
+"""Clean a corpus: language, near copies, benchmark leaks, tokens.
 
-STAGES = []
+Every stage takes the rows its predecessor kept and decides on all of them; all but the last
+return the columns they were given.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gritsieve.llm.common import find_package, shared_folder, stored, table
+from gritsieve.llm.hamming import near_duplicates
+from gritsieve.llm.langid import UNKNOWN, predict, train
+from gritsieve.llm.segment_bpe import VOCABULARY, decode_documents, encode_documents
+from gritsieve.llm.templates import contaminated
+
+LEAST_SCORE = 0.3  # below this no language stands out
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names the table does not use."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters and those in which no known language stands out."""
+    lang, score = free_names(docs, "lang_pred", "lang_score")
+    told = predict(docs, train(docs), names=(lang, score))
+    return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first row of each class of near copies."""
+    (at,) = free_names(docs, "at")
+    found = near_duplicates(docs, size=SHINGLE_WORDS, percent=PERCENT)
+    copies = stored(found.where("class_at <> at").select(F.col("at").alias(at)))
+    return docs.withColumn(at, F.monotonically_increasing_id()).join(copies, at, "left_anti").drop(at)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that hold a benchmark item."""
+    leaks = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids (little-endian unsigned 32-bit) and the digest of the text decoded from them."""
+    path = public_tokenizers.path(VOCABULARY)
+    return decode_documents(encode_documents(docs, path), path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_leaks", benchmark_leaks), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages over documents, one after the other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet and read again by the next."""
+    find_package(spark)
+    docs = table(spark, sf_dir, "documents")
+    folder = shared_folder(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
