@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gritsieve.operators.quantiles import DIRECT_ROWS, quantile_columns
+from gritsieve.operators.quantiles import quantile_columns
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -87,17 +87,15 @@ def numeric_facts(c: Column, quantile: dict[float, Column]) -> dict[str, Column]
     return facts
 
 
-def numeric_stats(
-    df: DataFrame, columns: Sequence[str], facts: Sequence[str] = NUMERIC_FACTS, direct_rows: int = DIRECT_ROWS
-) -> DataFrame:
-    """One row of the named statistics per numeric column, from one pass over the table."""
+def numeric_stats(df: DataFrame, columns: Sequence[str], facts: Sequence[str] = NUMERIC_FACTS) -> DataFrame:
+    """One row of the named statistics per numeric column; all columns share each pass over the table."""
     typed = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     typed = typed.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
     shares = (0.25, 0.5, 0.75) if _QUANTILE_FACTS & set(facts) else ()
     found = None
     if shares:
         # apart from the other aggregates, which compile to one loop
-        quantiles = quantile_columns(typed, columns, shares, direct_rows)
+        quantiles = quantile_columns(typed, columns, shares)
         picks = [quantiles[c, q].alias(f"q{i}_{j}") for i, c in enumerate(columns) for j, q in enumerate(shares)]
         found = typed.agg(*picks).first()
     rows = []

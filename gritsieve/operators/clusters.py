@@ -2,55 +2,106 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from heapq import heapify, heappop, heappush, heappushpop
 from operator import add
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritsieve.functions.scalars import drop_nan
+from gritsieve.operators.groups import blocks_of, running_total
 from gritsieve.operators.histogram import column_values, summarise
-from gritsieve.operators.points import micro_clusters, points
+from gritsieve.operators.points import distinct_points
+from gritsieve.session import ensure_checkpoint_dir
 
-SHIFT_POINTS = 4000
-WARD_POINTS = 1000
 
 
-def _bounded_summaries(df: DataFrame, col: str, size: int) -> pd.DataFrame:
-    """The column's micro-clusters by value; ``size`` bounds the rows that reach the driver."""
-    values = column_values(df, col)
-    return micro_clusters(values, summarise(values), size).toPandas().sort_values("x", ignore_index=True)
+def _running_extremes(df: DataFrame, order: list[str], up: list[str], down: list[str]) -> DataFrame:
+    """Replace columns by their running maxima in order (``up``) or in reverse their running minima (``down``).
+
+    Only the extremes of blocks of the first order column are taken in one task.
+    """
+    rows = blocks_of(df, order[0]).checkpoint()
+    block = rows.groupBy("__block").agg(*[F.max(c).alias(f"__{c}") for c in up], *[F.min(c).alias(f"__{c}") for c in down])
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    beyond = block.select("__block", *[F.max(f"__{c}").over(earlier).alias(f"__{c}") for c in up], *[F.min(f"__{c}").over(later).alias(f"__{c}") for c in down])
+    inside = Window.partitionBy("__block").orderBy(*order)
+    before, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({c: F.max(c).over(before) for c in up} | {c: F.min(c).over(after) for c in down}).join(beyond, "__block")
+    merged = {c: F.greatest(c, f"__{c}") for c in up} | {c: F.least(c, f"__{c}") for c in down}
+    return rows.withColumns(merged).select(*df.columns)
+
+
+def _neighbour_bandwidth(cumulative: DataFrame, n: int, quantile: float) -> float:
+    """Mean distance of a value to its (quantile * n)-th neighbour, from (x, w, upto) rows.
+
+    The nearest k rows of x are k consecutive ranks L .. L+k-1. The best L is where the sum of
+    the two outer values passes 2x; that sum changes only at ranks where a value begins on one
+    side, so sorting these ranks among the doubled values finds it for all values at once.
+    """
+    k = max(int(n * quantile), 1)
+    none = F.lit(None).cast("double")
+    first = (F.col("upto") - F.col("w")).cast("double")
+    sides = cumulative.select(first.alias("at"), F.col("x").alias("low"), none.alias("high"))
+    sides = sides.unionByName(cumulative.select((first - (k - 1)).alias("at"), none.alias("low"), F.col("x").alias("high")))
+    steps = sides.groupBy("at").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    steps = _running_extremes(steps, ["at"], ["low", "high"], []).where(F.col("at").between(0, n - k))
+    marks = steps.select((F.col("low") + F.col("high")).alias("place"), F.lit(1).alias("kind"), "low", "high", none.alias("x"), none.alias("w"))
+    wanted = cumulative.select((2 * F.col("x")).alias("place"), F.lit(0).alias("kind"), none.alias("low"), none.alias("high"), "x", "w")
+    met = _running_extremes(marks.unionByName(wanted), ["place", "kind"], ["low"], ["high"]).where("kind = 0")
+    reach = F.least(F.col("high") - F.col("x"), F.col("x") - F.col("low"))
+    return met.agg(F.sum(reach * F.col("w")) / n).first()[0]
+
 
+class _Prefixes:
+    """Numbers and sums of all values up to any position, looked up in a sorted, range-partitioned table."""
 
-def _neighbour_bandwidth(x: np.ndarray, w: np.ndarray, quantile: float) -> float:
-    """Mean distance of a value to its (quantile * n)-th neighbour."""
-    wanted = max(int(w.sum() * quantile), 1)
-    before = np.append(0.0, np.cumsum(w))
-    low, high = np.zeros_like(x), np.full_like(x, x[-1] - x[0])
-    for _ in range(60):
-        middle = (low + high) / 2
-        held = before[np.searchsorted(x, x + middle, "right")] - before[np.searchsorted(x, x - middle, "left")]
-        enough = held >= wanted
-        high, low = np.where(enough, middle, high), np.where(enough, low, middle)
-    return float((high * w).sum() / w.sum())
+    def __init__(self, cumulative: DataFrame, values_lo: float, n: int):
+        parts = int(cumulative.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.lo, self.n = values_lo, n
+        self.rows = cumulative.select("x", "upto", "sum_upto").repartitionByRange(parts, "x").sortWithinPartitions("x").checkpoint()
+        ranges = self.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min("x").alias("first")).orderBy("first").collect()
+        self.starts = np.array([r["first"] for r in ranges])
 
+    def __call__(self, below: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and sum of the values in each closed range [below, upto]."""
+        bounds = np.concatenate([np.nextafter(below, -np.inf), upto])
+        starts = self.starts
+        owner = np.searchsorted(starts, bounds, "right") - 1
 
-def _shift_to_means(x: np.ndarray, w: np.ndarray, bandwidth: float) -> list[tuple[float, float]]:
+        def run(tables):
+            batches = list(tables)
+            if any(batch.num_rows for batch in batches):
+                table = pa.Table.from_batches(batches)
+                x, n, s = (table[c].to_numpy() for c in ("x", "upto", "sum_upto"))
+                own = np.flatnonzero(owner == np.searchsorted(starts, x[0], "right") - 1)
+                at = np.searchsorted(x, bounds[own], "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[at]), pa.array(s[at])], ["i", "n", "s"])
+
+        found = self.rows.mapInArrow(run, "i long, n double, s double").toArrow()
+        n, s = np.zeros(len(bounds)), np.zeros(len(bounds))
+        n[found["i"].to_numpy()], s[found["i"].to_numpy()] = found["n"].to_numpy(), found["s"].to_numpy()
+        half = len(below)
+        held = n[half:] - n[:half]
+        return held, s[half:] - s[:half] + held * self.lo
+
+
+def _shift_to_means(within: Callable, seeds: np.ndarray, bandwidth: float) -> list[tuple[float, float]]:
     """(center, values within reach) of a flat-kernel mean shift, strongest first."""
-    before, sums = np.append(0.0, np.cumsum(w)), np.append(0.0, np.cumsum(w * x))
-    seeds = np.unique(np.round(x / bandwidth)) * bandwidth
     for _ in range(300):
-        a = np.searchsorted(x, seeds - bandwidth, "left")
-        b = np.searchsorted(x, seeds + bandwidth, "right")
-        held = before[b] - before[a]
-        moved = np.where(held > 0, (sums[b] - sums[a]) / np.maximum(held, 1e-300), seeds)
+        held, sums = within(seeds - bandwidth, seeds + bandwidth)
+        moved = np.where(held > 0, sums / np.maximum(held, 1e-300), seeds)
         done = np.abs(moved - seeds).max() < 1e-3 * bandwidth
-        seeds = moved
+        seeds = np.unique(moved)
         if done:
             break
-    held = before[np.searchsorted(x, seeds + bandwidth, "right")] - before[np.searchsorted(x, seeds - bandwidth, "left")]
+    held, _ = within(seeds - bandwidth, seeds + bandwidth)
     kept: list[tuple[float, float]] = []
     for strength, center in sorted(zip(held, seeds), reverse=True):
         if strength > 0 and all(abs(center - other) > bandwidth for other, _ in kept):
@@ -58,49 +109,143 @@ def _shift_to_means(x: np.ndarray, w: np.ndarray, bandwidth: float) -> list[tupl
     return kept
 
 
-def mean_shift_centers(
-    df: DataFrame, col: str, quantile: float = 0.2, max_points: int = SHIFT_POINTS
-) -> DataFrame:
-    """(center, n_within, bandwidth, resolution): strongest centers first removed of weaker ones.
+def mean_shift_centers(df: DataFrame, col: str, quantile: float = 0.2) -> DataFrame:
+    """(center, n_within, bandwidth): strongest centers first removed of weaker ones.
 
-    The shift runs on micro-clusters; ``resolution`` is the widest of them.
+    Bandwidth, means and counts are those of all rows. Each step looks up the ranges of all
+    seeds in one pass over the distinct values' running counts and sums. Seeds are the occupied
+    cells of one bandwidth; as the bandwidth is the mean reach to a fifth of all rows, there are
+    fewer than 3 times the square root of the rows.
     """
-    table = _bounded_summaries(df, col, max_points)
-    x, w = table["x"].to_numpy(), table["w"].to_numpy()
-    bandwidth = _neighbour_bandwidth(x, w, quantile)
-    found = [(float(x[0]), float(w.sum()))] if bandwidth <= 0 else _shift_to_means(x, w, bandwidth)
-    resolution = float((table["hi"] - table["lo"]).max())
-    rows = [(c, int(n), bandwidth, resolution) for c, n in sorted(found)]
-    return df.sparkSession.createDataFrame(rows, "center double, n_within bigint, bandwidth double, resolution double")
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    values = column_values(df, col)
+    facts = summarise(values)
+    counts = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")).checkpoint()
+    upto = running_total(counts, "x", "w", "upto").withColumn("gap", (F.col("x") - facts.lo) * F.col("w"))
+    cumulative = running_total(upto, "x", "gap", "sum_upto").drop("gap").checkpoint()
+    bandwidth = _neighbour_bandwidth(cumulative, facts.n, quantile)
+    if bandwidth <= 0:
+        found = [(facts.lo, float(facts.n))]
+    else:
+        cells = counts.groupBy(F.round(F.col("x") / bandwidth).alias("cell")).count().orderBy("cell").collect()
+        seeds = np.array([r["cell"] for r in cells]) * bandwidth
+        found = _shift_to_means(_Prefixes(cumulative, facts.lo, facts.n), seeds, bandwidth)
+    rows = [(c, int(n), bandwidth) for c, n in sorted(found)]
+    return spark.createDataFrame(rows, "center double, n_within bigint, bandwidth double")
+
+
+_PIECE = "lo double, hi double, n double, mean double, border double, cost double"
 
 
-def _ward_cuts(table: pd.DataFrame, k: int) -> list[float]:
-    """Upper borders of all but the last of k clusters.
+class _Chain:
+    """Neighbouring clusters of one stretch of the value axis, merged as far as the stretch decides.
 
-    In one dimension the cheapest Ward merge is always between neighbours.
+    A pair is merged if no neighbour of either is nearer, which Ward's method allows in any
+    order. What lies beyond an open end is unknown, so the outermost cluster there stays.
     """
-    n, mean = list(table["w"]), list(table["x"])
-    top = list(table["hi"])
-    while len(n) > k:
-        a, b = np.array(n[:-1]), np.array(n[1:])
-        cost = a * b / (a + b) * np.diff(mean) ** 2
-        i = int(np.argmin(cost))
-        total = n[i] + n[i + 1]
-        mean[i] = (n[i] * mean[i] + n[i + 1] * mean[i + 1]) / total
-        n[i], top[i] = total, top[i + 1]
-        del n[i + 1], mean[i + 1], top[i + 1]
-    return [float(t) for t in top[:-1]]
-
-
-def ward_labels(
-    df: DataFrame, col: str, k: int = 3, out: str = "label", max_points: int = WARD_POINTS
-) -> DataFrame:
-    """Each row's Ward cluster, numbered by value.
-
-    Up to ``max_points`` neighbouring groups of values are merged; the rows are then labelled
-    by the resulting borders.
+
+    def __init__(self, pieces: np.ndarray, first: bool, last: bool):
+        self.lo, self.hi, self.n, self.mean = (pieces[:, i].tolist() for i in range(4))
+        size = len(self.n)
+        self.left, self.right = list(range(-1, size - 1)), [*range(1, size), -1]
+        self.first, self.last = first, last
+        self.alive = [True] * size
+
+    def cost(self, i: int) -> float:
+        """Of merging a cluster with the next."""
+        j = self.right[i]
+        return self.n[i] * self.n[j] / (self.n[i] + self.n[j]) * (self.mean[j] - self.mean[i]) ** 2
+
+    def _may_merge(self, i: int, cost: float) -> bool:
+        j = self.right[i]
+        before, after = self.left[i], self.right[j]
+        if (before < 0 and not self.first) or (after < 0 and not self.last):
+            return False
+        return (before < 0 or self.cost(before) > cost) and (after < 0 or self.cost(j) >= cost)
+
+    def merge(self, keep: int) -> list[tuple[float, float]]:
+        """Merge all decided pairs; the ``keep`` dearest merges as (cost, border)."""
+        dearest: list[tuple[float, float]] = []
+        heap = [(self.cost(i), i, self.right[i]) for i in range(len(self.n) - 1)]
+        heapify(heap)
+        while heap:
+            cost, i, j = heappop(heap)
+            if not self.alive[i] or self.right[i] != j or self.cost(i) != cost or not self._may_merge(i, cost):
+                continue
+            if keep:
+                (heappush if len(dearest) < keep else heappushpop)(dearest, (cost, self.hi[i]))
+            total = self.n[i] + self.n[j]
+            self.mean[i] = (self.n[i] * self.mean[i] + self.n[j] * self.mean[j]) / total
+            self.n[i], self.hi[i], self.right[i], self.alive[j] = total, self.hi[j], self.right[j], False
+            if self.right[i] >= 0:
+                self.left[self.right[i]] = i
+            # the pairs beside the new cluster, and those beside them, may be decided now
+            at = i
+            for _ in range(2):
+                at = self.left[at] if at >= 0 and self.left[at] >= 0 else at
+            for _ in range(4):
+                if at < 0 or self.right[at] < 0:
+                    break
+                heappush(heap, (self.cost(at), at, self.right[at]))
+                at = self.right[at]
+        return dearest
+
+    def rest(self) -> list[tuple]:
+        return [(self.lo[i], self.hi[i], self.n[i], self.mean[i]) for i in range(len(self.n)) if self.alive[i]]
+
+
+def _ward_cuts(values: DataFrame, k: int, fan_in: int = 16) -> list[float]:
+    """Upper borders of all but the last of k Ward clusters of the column ``x``.
+
+    In one dimension a cluster is a stretch of values and every merge removes a border, so the
+    k - 1 dearest merges of the whole run are the cuts. Stretches of the axis merge what they
+    can decide by themselves; what is left of them goes on in ever fewer, longer stretches.
     """
-    cuts = _ward_cuts(_bounded_summaries(df, col, max_points), k)
+    spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    none = F.lit(None).cast("double")
+    pieces = rows.select(F.col("x").alias("lo"), F.col("x").alias("hi"), "n", F.col("x").alias("mean"), none.alias("border"), none.alias("cost"))
+    while True:
+        lowest, highest, size = pieces.where("cost IS NULL").agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).first()
+        if not size:
+            return []
+
+        def run(tables, lowest=lowest, highest=highest):
+            batches = list(tables)
+            if not batches:
+                return
+            table = pa.Table.from_batches(batches)
+            merges = table.filter(pc.is_valid(table["cost"]))
+            own = table.filter(pc.is_null(table["cost"])).select(["lo", "hi", "n", "mean"])
+            dearest = list(zip(merges["cost"].to_pylist(), merges["border"].to_pylist()))
+            rest = []
+            if own.num_rows:
+                data = np.stack([c.to_numpy() for c in own.columns], 1)
+                chain = _Chain(data, data[0, 0] == lowest, data[-1, 1] == highest)
+                dearest += chain.merge(k - 1)
+                rest = chain.rest()
+            out = [(*piece, None, None) for piece in rest]
+            out += [(border, border, 0.0, border, border, cost) for cost, border in sorted(dearest)[-(k - 1) :]] if k > 1 else []
+            yield pa.RecordBatch.from_pylist([dict(zip(_PIECE_SCHEMA.names, row)) for row in out], schema=_PIECE_SCHEMA)
+
+        ranged = pieces.repartitionByRange(parts, "lo") if parts > 1 else pieces.coalesce(1)
+        pieces = ranged.sortWithinPartitions("lo").mapInArrow(run, _PIECE).checkpoint()
+        if parts == 1:
+            break
+        parts = max(1, parts // fan_in)
+    cuts = pieces.where("cost IS NOT NULL").orderBy(F.desc("cost"), "border").limit(k - 1).select("border").collect()
+    return sorted(r["border"] for r in cuts)
+
+
+_PIECE_SCHEMA = pa.schema([(name, pa.float64()) for name in ("lo", "hi", "n", "mean", "border", "cost")])
+
+
+def ward_labels(df: DataFrame, col: str, k: int = 3, out: str = "label") -> DataFrame:
+    """Each row's Ward cluster, numbered by value: the exact merges of all values."""
+    cuts = _ward_cuts(column_values(df, col), k)
     x = drop_nan(F.col(col))
     label = reduce(add, [(x > cut).cast("int") for cut in cuts], F.lit(0))
     return df.withColumn(out, F.when(x.isNotNull(), label))
@@ -112,9 +257,7 @@ def _nearest(x: Column, units: np.ndarray) -> Column:
     return reduce(add, [(x > float(cut)).cast("int") for cut in cuts], F.lit(0))
 
 
-def self_organising_map(
-    df: DataFrame, col: str, units: int = 10, sigma: float = 0.3, epochs: int = 20, max_points: int | None = None
-) -> DataFrame:
+def self_organising_map(df: DataFrame, col: str, units: int = 10, sigma: float = 0.3, epochs: int = 20) -> DataFrame:
     """(unit, weight) of a batch-trained one-dimensional map.
 
     Per epoch one aggregate gives each unit's rows and sum; a unit moves to the mean of all
@@ -122,7 +265,7 @@ def self_organising_map(
     """
     values = column_values(df, col)
     facts = summarise(values)
-    data = points(values, facts, max_points).persist(StorageLevel.MEMORY_AND_DISK)
+    data = distinct_points(values).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         weights = facts.lo + (facts.hi - facts.lo) * (np.arange(units) + 0.5) / units
         place = np.arange(units)

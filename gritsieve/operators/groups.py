@@ -7,10 +7,9 @@ positions and running totals work on blocks whose totals are small.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -39,8 +38,10 @@ def lookup(
     """Left join of facts (one row per key, ``size`` = rows of that key) that no key can skew.
 
     Keys above ``heavy_share`` of all rows number at most ``1 / heavy_share``, so their facts
-    are broadcast. The rows they match carry a salt into the second join, which meets no
-    partner there and spreads them over all tasks; the other keys join by shuffle.
+    are broadcast. The rows they match, and rows without a key where nulls match nothing, carry
+    a salt into the second join, which meets no partner there and spreads them over all tasks;
+    the other keys join by shuffle. The other side's salt is computed from its rows: the
+    optimizer would turn a constant into a filter and shuffle by the key alone.
     """
     facts = facts.select(*[F.col(k).alias(f"__{k}") for k in keys], *values, F.col(size).alias("__size"))
     limit = F.lit(heavy_share) * facts.agg(F.sum("__size")).scalar()
@@ -51,11 +52,13 @@ def lookup(
 
     heavy = heavy.select(*renamed, *named("__heavy_"), F.lit(True).alias("__is_heavy"))
     tagged = df.join(F.broadcast(heavy), _same_key(df, heavy, keys, nulls_equal), "left").drop(*renamed)
+    spread = F.col("__is_heavy")
+    if not nulls_equal:
+        spread = reduce(or_, [tagged[k].isNull() for k in keys], F.coalesce(spread, F.lit(False)))
     tagged = tagged.withColumn(
-        "__salt",
-        F.when(F.col("__is_heavy"), F.monotonically_increasing_id() % SALTS + 1).otherwise(F.lit(0)).cast("int"),
+        "__salt", F.when(spread, F.monotonically_increasing_id() % SALTS + 1).otherwise(F.lit(0)).cast("int")
     )
-    light = light.select(*renamed, *named("__light_"), F.lit(0).alias("__zero"))
+    light = light.select(*renamed, *named("__light_"), F.when(F.col("__size") >= 0, F.lit(0)).alias("__zero"))
     joined = tagged.join(
         light, _same_key(tagged, light, keys, nulls_equal) & (tagged["__salt"] == light["__zero"]), "left"
     )
@@ -95,6 +98,18 @@ def flag_repeats(
     return firsts.withColumn(out, F.col(order) > F.col("__first")).drop("__first")
 
 
+def blocks_of(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """Add ``__block``: consecutive blocks of like numbers of rows along a numeric order."""
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("__order", F.col(order).cast("double"))
+    shares = [i / blocks for i in range(1, blocks)]
+    marks = rows.stat.approxQuantile("__order", shares, 0.1 / blocks) if shares else []
+    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
+    if len(splits) == 2:
+        return rows.withColumn("__block", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="__order", outputCol="__block").transform(rows)
+
+
 def position_in_group(
     df: DataFrame, keys: Sequence[str], order: str, out: str = "position", blocks: int | None = None
 ) -> DataFrame:
@@ -103,15 +118,7 @@ def position_in_group(
     The order axis is cut at approximate quantiles into blocks, so a heavy key spreads over
     as many tasks. Positions inside (key, block) are shifted by the sizes of earlier blocks.
     """
-    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.dropna(subset=list(keys)).withColumn("__order", F.col(order).cast("double"))
-    shares = [i / blocks for i in range(1, blocks)]
-    marks = rows.stat.approxQuantile("__order", shares, 0.1 / blocks) if shares else []
-    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
-    if len(splits) == 2:
-        rows = rows.withColumn("__block", F.lit(0.0))
-    else:
-        rows = Bucketizer(splits=splits, inputCol="__order", outputCol="__block").transform(rows)
+    rows = blocks_of(df.dropna(subset=list(keys)), order, blocks)
     inside = Window.partitionBy(*keys, "__block").orderBy(order)
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -129,28 +136,27 @@ def position_in_group(
 def running_total(
     df: DataFrame, order: str, value: str, out: str = "running_total"
 ) -> DataFrame:
-    """Sum of ``value`` over all rows up to the row's integer ``order``, ties included.
+    """Sum of ``value`` over all rows up to the row's numeric ``order``, ties included.
 
-    With S the square root of the order's span, blocks of S consecutive orders are summed on
-    their own and at most S block totals are accumulated, so no task sees the whole table.
-    The input is read three times, so it is checkpointed first.
+    Values are summed by order first, so ties are one entry; entries are cut at approximate
+    quantiles into blocks, whose sums alone are accumulated in one task; rows get their total
+    by a lookup that no order can skew. Rows without an order have no total. The input is read
+    more than once, so it is checkpointed first.
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = df.checkpoint()
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    lo, hi = lo or 0, hi or 0
-    width = math.isqrt(hi - lo) + 1
-    rows = rows.withColumn("__block", F.floor((F.col(order) - lo) / width))
-    inside = Window.partitionBy("__block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    entries = rows.where(F.col(order).isNotNull()).groupBy(order).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    entries = blocks_of(entries.checkpoint(), order)
+    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        rows.groupBy("__block")
-        .agg(F.sum(value).alias("__total"))
+    before = (
+        entries.groupBy("__block")
+        .agg(F.sum("__sum").alias("__total"))
         .select("__block", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
     )
-    return rows.withColumn("__inside", F.sum(value).over(inside)).join(totals, "__block").select(
-        *df.columns, (F.col("__inside") + F.col("__before")).alias(out)
-    )
+    totals = entries.withColumn("__inside", F.sum("__sum").over(inside)).join(before, "__block")
+    totals = totals.select(order, "__rows", (F.col("__inside") + F.col("__before")).alias(out))
+    return lookup(rows, totals, [order], [out], "__rows", nulls_equal=False)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], best: Sequence[Column]) -> DataFrame:

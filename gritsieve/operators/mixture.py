@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.functions.scalars import drop_nan, normal_pdf
 from gritsieve.operators.histogram import GRID, column_values, grid_points, summarise
-from gritsieve.operators.points import micro_clusters, points
+from gritsieve.operators.points import distinct_points
+from gritsieve.operators.quantiles import quantile_columns
 
 COMPONENTS = 3
 TOLERANCE = 1e-3
 VARIANCE_FLOOR = 1e-6
-START_POINTS = 1000
 
 
 @dataclass(frozen=True)
@@ -77,25 +77,18 @@ def _log_sum(logs: list[str]) -> str:
     return f"{top} + ln({' + '.join(f'exp({part} - {top})' for part in logs)})"
 
 
-def _start_centers(table: pd.DataFrame, k: int, seed: int) -> list[float]:
-    """k-means of a bounded summary, seeded by weighted distance."""
-    x, w = table["x"].to_numpy(), table["w"].to_numpy()
-    rng = np.random.default_rng(seed)
-    centers = [rng.choice(x, p=w / w.sum())]
-    while len(centers) < min(k, len(x)):
-        far = w * np.min([(x - c) ** 2 for c in centers], axis=0)
-        if far.sum() == 0:
-            break
-        centers.append(rng.choice(x, p=far / far.sum()))
-    centers = np.sort(np.array(centers, dtype=float))
-    for _ in range(100):
-        nearest = np.searchsorted((centers[1:] + centers[:-1]) / 2, x)
-        held = np.bincount(nearest, w, len(centers))
-        moved = np.sort(np.where(held > 0, np.bincount(nearest, w * x, len(centers)) / np.maximum(held, 1e-300), centers))
-        if np.array_equal(moved, centers):
-            break
-        centers = moved
-    return [float(c) for c in centers]
+def _start_shares(k: int, restarts: int) -> list[list[float]]:
+    """The quantile levels whose values start each fit: k even steps, shifted from restart to restart."""
+    return [[(i + (r + 1) / (restarts + 1)) / k for i in range(k)] for r in range(restarts)]
+
+
+def _start_centers(values: DataFrame, k: int, restarts: int) -> list[list[float]]:
+    """Exact quantiles of all values; equal ones are one center."""
+    levels = _start_shares(k, restarts)
+    every = sorted({share for shares in levels for share in shares})
+    quantiles = quantile_columns(values, ["x"], every)
+    found = dict(zip(every, values.agg(*[quantiles["x", share].alias(f"q{i}") for i, share in enumerate(every)]).first()))
+    return [sorted({float(found[share]) for share in shares}) for shares in levels]
 
 
 def _component_sums(
@@ -169,57 +162,44 @@ def _normal_logs(rows: int):
     return of
 
 
-def _fit(df: DataFrame, col: str, k: int, seeds: range, logs_for, max_iter: int, max_points: int | None):
+def _fit(df: DataFrame, col: str, k: int, restarts: int, logs_for, max_iter: int):
     """Prepare weighted points and starts and iterate; ``logs_for(facts)`` makes ``logs_of``."""
     values = column_values(df, col)
     facts = summarise(values)
-    data = points(values, facts, max_points).persist(StorageLevel.MEMORY_AND_DISK)
+    data = distinct_points(values).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        table = micro_clusters(values, facts, START_POINTS).toPandas().sort_values("x", ignore_index=True)
-        starts = [_start_centers(table, k, seed) for seed in seeds]
-        return facts, *_iterate(data, starts, facts.mean, facts.n, logs_for(facts), max_iter)
+        return facts, *_iterate(data, _start_centers(values, k, restarts), facts.mean, facts.n, logs_for(facts), max_iter)
     finally:
         data.unpersist()
 
 
-def fit_mixture(
-    df: DataFrame,
-    col: str,
-    k: int = COMPONENTS,
-    seed: int = 42,
-    restarts: int = 1,
-    max_iter: int = 100,
-    max_points: int | None = None,
-) -> Mixture:
-    """Maximum-likelihood mixture started from k-means; of several restarts the likeliest.
+def fit_mixture(df: DataFrame, col: str, k: int = COMPONENTS, restarts: int = 1, max_iter: int = 100) -> Mixture:
+    """Maximum-likelihood mixture; of several restarts the likeliest.
 
-    The starting centers come from a bounded summary, the fit itself from all rows. Equal values enter as one weighted point.
+    Every start and every iteration sees all rows; equal values enter as one weighted point
+    (on a continuous column these are all rows).
     """
-    wanted = (id(df), col, k, seed, restarts, max_iter, max_points)
-    if _SHARED is not None and wanted in _SHARED:
-        return _SHARED[wanted]
-    seeds = range(seed, seed + restarts)
-    _, (n, mean, variance), score = _fit(
-        df, col, k, seeds, lambda facts: _normal_logs(facts.n), max_iter, max_points
-    )
+    known, wanted = _shared.get(), (id(df), col, k, restarts, max_iter)
+    if known is not None and wanted in known:
+        return known[wanted]
+    _, (n, mean, variance), score = _fit(df, col, k, restarts, lambda facts: _normal_logs(facts.n), max_iter)
     found = _ordered(n / n.sum(), mean, np.sqrt(variance), score)
-    if _SHARED is not None:
-        _SHARED[wanted] = found
+    if known is not None:
+        known[wanted] = found
     return found
 
 
-_SHARED: dict[tuple, Mixture] | None = None
+_shared: ContextVar[dict[tuple, Mixture] | None] = ContextVar("shared_fits", default=None)
 
 
 @contextmanager
 def shared_fits():
-    """Within the block, fits of the same frame object with the same settings are made once."""
-    global _SHARED
-    _SHARED = {}
+    """Within the block, and its thread, fits of the same frame object with the same settings are made once."""
+    token = _shared.set({})
     try:
         yield
     finally:
-        _SHARED = None
+        _shared.reset(token)
 
 
 def parameters(df: DataFrame, mixture: Mixture) -> DataFrame:
@@ -262,13 +242,10 @@ def mixture_labels(df: DataFrame, col: str, k: int = COMPONENTS, out: str = "lab
     return df.withColumn(out, F.when(x.isNotNull(), mixture.label(x)))
 
 
-def kmeans_centers(
-    df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42, max_points: int | None = None
-) -> DataFrame:
+def kmeans_centers(df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42) -> DataFrame:
     """(cluster, center) in order of value."""
     values = column_values(df, col)
-    weighted = points(values, summarise(values) if max_points else None, max_points)
-    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(weighted).persist(StorageLevel.MEMORY_AND_DISK)
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(distinct_points(values)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = KMeans(k=k, seed=seed, featuresCol="features", weightCol="w").fit(data)
     finally:
@@ -330,13 +307,11 @@ class _Posterior:
         return [_normal_log(*part) for part in zip(fixed, self.means, self.variances)]
 
 
-def fit_variational(
-    df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42, max_iter: int = 100, max_points: int | None = None
-) -> _Posterior:
+def fit_variational(df: DataFrame, col: str, k: int = COMPONENTS, max_iter: int = 100) -> _Posterior:
     """Variational mixture with Dirichlet-process weights."""
     prior = lambda facts: (facts.mean, max(facts.sd**2, VARIANCE_FLOOR))
     logs_for = lambda facts: lambda *sums: _Posterior.update(*sums, *prior(facts)).log_parts()
-    facts, sums, _ = _fit(df, col, k, range(seed, seed + 1), logs_for, max_iter, max_points)
+    facts, sums, _ = _fit(df, col, k, 1, logs_for, max_iter)
     return _Posterior.update(*sums, *prior(facts))
 
 

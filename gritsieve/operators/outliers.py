@@ -1,7 +1,8 @@
 """Isolation forest over one column.
 
-In one dimension a forest's mean path length is a step function of the value. It is built
-from a bounded random pool of rows; every row is then scored by finding its step.
+In one dimension a forest's mean path length is a step function of the value. Every tree draws
+its own rows from all of them, as many as the method prescribes; every row is then scored by
+finding its step.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gritsieve.functions.scalars import drop_nan
 from gritsieve.operators.histogram import column_values
@@ -29,15 +30,14 @@ def _usual_path(n: float) -> float:
     return 1.0 if n == 2 else 2 * (math.log(n - 1) + EULER_GAMMA) - 2 * (n - 1) / n
 
 
-def _forest_steps(pool: np.ndarray, trees: int, tree_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Borders and the score of each of the intervals they make."""
+def _forest_steps(samples: list[np.ndarray], tree_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Borders and the score of each of the intervals they make, from the values each tree drew."""
     rng = np.random.default_rng(seed)
-    size = min(tree_rows, len(pool))
-    depth_limit = math.ceil(math.log2(max(size, 2)))
-    starts, jumps = [], []
-    for _ in range(trees):
-        sample = np.sort(rng.choice(pool, size, replace=False))
-        stack, before = [(0, size, 0, -np.inf)], 0.0
+    size = max(map(len, samples))
+    depth_limit = math.ceil(math.log2(max(tree_rows, 2)))
+    starts, jumps, trees = [], [], len(samples)
+    for sample in samples:
+        stack, before = [(0, len(sample), 0, -np.inf)], 0.0
         while stack:
             a, b, depth, start = stack.pop()
             low, high = sample[a], sample[b - 1]
@@ -59,19 +59,48 @@ def _forest_steps(pool: np.ndarray, trees: int, tree_rows: int, seed: int) -> tu
     return borders[1:], -(2.0 ** (-paths / max(_usual_path(size), 1e-12)))
 
 
+def _tree_samples(values: DataFrame, trees: int, tree_rows: int, seed: int) -> list[np.ndarray]:
+    """The sorted values of ``tree_rows`` rows for each tree, all rows if there are fewer.
+
+    A row enters a tree's draw with a share that lets in somewhat more than ``tree_rows`` rows,
+    of which those of lowest hash are kept: uniform over all rows, in any order of the input. As
+    many trees as the share allows side by side share a hash of the row, so a large table costs
+    one hash a row, and tasks send on only the drawn rows.
+    """
+    n = values.count()
+    if not n:
+        return []
+    share = min(1.0, (tree_rows + 6 * math.sqrt(tree_rows) + 20) / n)
+    together = max(1, int(1 / share))
+
+    def unit(*parts):
+        return F.xxhash64(F.lit(seed), *parts, F.col("__place")).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+
+    def tree(turn):
+        slot = F.floor(unit(F.lit("tree"), turn) / share)
+        return F.when(slot < together, turn * together + slot)
+
+    turns = F.sequence(F.lit(0), F.lit(-(-trees // together) - 1))
+    entered = F.filter(F.transform(turns, tree), lambda t: t < trees)
+    drawn = values.withColumn("__place", F.monotonically_increasing_id()).select("x", "__place", F.explode(entered).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(unit(F.lit("rank"), F.col("tree")), "x")
+    rows = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= tree_rows).select("tree", "x").toPandas()
+    return [np.sort(part.to_numpy()) for _, part in rows.groupby("tree")["x"]]
+
+
 def isolation_scores(
     df: DataFrame, col: str, out: str = "score", trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 42
 ) -> DataFrame:
     """Score each row; the lower, the easier a value is to isolate.
 
-    The pool has at most ``trees * tree_rows`` rows, which bounds both what one task reads
-    and the table of steps that is broadcast.
+    ``tree_rows`` rows per tree are the method's own parameter; they bound the table of steps
+    that is broadcast.
     """
     spark = df.sparkSession
-    pool = column_values(df, col).orderBy(F.rand(seed)).limit(trees * tree_rows).toPandas()["x"].to_numpy()
-    if not len(pool):
+    samples = _tree_samples(column_values(df, col), trees, tree_rows, seed)
+    if not samples:
         return df.withColumn(out, F.lit(None).cast("double"))
-    borders, scores = _forest_steps(np.sort(pool), trees, tree_rows, seed)
+    borders, scores = _forest_steps(samples, tree_rows, seed)
     steps = spark.createDataFrame(pd.DataFrame({"__step": np.arange(len(scores), dtype=float), out: scores}))
     rows = df.withColumn("__x", drop_nan(F.col(col)))
     if len(borders):

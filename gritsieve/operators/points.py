@@ -2,44 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from gritsieve.operators.histogram import Summary
-
 
 def distinct_points(values: DataFrame) -> DataFrame:
     """(x, w): distinct values and their counts; an exact stand-in for all rows."""
     return values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w"))
-
-
-def micro_clusters(values: DataFrame, facts: Summary, size: int) -> DataFrame:
-    """At most ``size`` (x, w, m2, lo, hi) summaries of neighbouring values.
-
-    Half of the borders divide the range evenly, half lie at approximate quantiles, so both
-    thin tails and dense stretches are resolved. ``x`` is the mean and ``m2`` the sum of
-    squared deviations; a summary holds only the values between its ``lo`` and ``hi``.
-    """
-    half = max(size // 2, 1)
-    shares = [i / half for i in range(1, half)]
-    marks = values.stat.approxQuantile("x", shares, 0.2 / half) if shares else []
-    marks += [facts.lo + (facts.hi - facts.lo) * share for share in shares]
-    splits = [float("-inf"), *sorted(set(marks)), float("inf")]
-    if len(splits) == 2:
-        bucketed = values.withColumn("bucket", F.lit(0.0))
-    else:
-        bucketed = Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(values)
-    return bucketed.groupBy("bucket").agg(
-        F.avg("x").alias("x"),
-        F.count(F.lit(1)).cast("double").alias("w"),
-        (F.var_pop("x") * F.count(F.lit(1))).alias("m2"),
-        F.min("x").alias("lo"),
-        F.max("x").alias("hi"),
-    ).drop("bucket")
-
-
-def points(values: DataFrame, facts: Summary, max_points: int | None = None) -> DataFrame:
-    """(x, w): all distinct values, or on request at most ``max_points`` summaries."""
-    if max_points is None:
-        return distinct_points(values)
-    return micro_clusters(values, facts, max_points).select("x", "w")

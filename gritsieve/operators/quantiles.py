@@ -1,9 +1,9 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile`` keeps every distinct value of a group in one task. For large inputs each
-wanted order statistic is first enclosed between two values by mergeable quantile sketches
-and exact counts; the scan repeats inside the enclosure until few values are left. The
-aggregate expressions returned then read only those values.
+``percentile`` keeps every distinct value of a group in one task. So each wanted order
+statistic is first enclosed between two values by mergeable quantile sketches and exact
+counts; the scan repeats inside the enclosure until no more rows are left in it than a sketch
+resolves. The aggregate expressions returned then read only those values.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-DIRECT_ROWS = 2_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -96,28 +95,23 @@ def quantile_columns(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    direct_rows: int = DIRECT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[tuple[str, float], Column]:
-    """Aggregate expressions of exact, linearly interpolated quantiles, for use in ``df.agg``.
-
-    Up to ``direct_rows`` rows the plain ``percentile`` is used.
-    """
+    """Aggregate expressions of exact, linearly interpolated quantiles, for use in ``df.agg``."""
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     result: dict[tuple[str, float], Column] = {}
     pairs: dict[tuple[str, float], tuple[_Target, _Target, float]] = {}
     targets: dict[tuple[str, int], _Target] = {}
     for i, c in enumerate(columns):
         rows = sizes[i]
-        if rows <= direct_rows:
-            together = F.percentile(F.col(c), F.array(*map(F.lit, shares)))
-            result |= {(c, share): together[j] for j, share in enumerate(shares)}
+        if not rows:
+            result |= {(c, share): F.lit(None).cast("double") for share in shares}
             continue
         for share in shares:
             position = share * (rows - 1)
             ends = [targets.setdefault((c, r), _Target(c, r, rows)) for r in (math.floor(position), math.ceil(position))]
             pairs[c, share] = (ends[0], ends[1], position - math.floor(position))
-    while open_targets := [t for t in targets.values() if t.value is None and t.rows > direct_rows]:
+    while open_targets := [t for t in targets.values() if t.value is None and t.rows > accuracy]:
         _narrow(df, open_targets, accuracy)
     for key, (lower, upper, fraction) in pairs.items():
         result[key] = lower.expression() * (1 - fraction) + upper.expression() * fraction

@@ -113,8 +113,6 @@ def test_mixture_curves_and_restarts(sample):
     parts = curves[curves.component >= 0].groupby("i")[["density", "responsibility"]].sum()
     assert np.allclose(parts["density"], whole["density"]) and np.allclose(parts["responsibility"], 1)
     assert np.isclose(np.trapezoid(whole["density"], whole["x"]), 1, atol=0.01)
-    summarised = mixture.fit_mixture(sample, "x", max_points=800)
-    assert np.allclose(summarised.means, one.means, atol=0.05)
 
 
 def test_mixture_labels(sample):
@@ -194,3 +192,61 @@ def test_registry(spark, sample):
     assert analyze.analyze_one(sample, "x", 2).columns == ["bin", "left_edge", "density"]
     with pytest.raises(ValueError):
         analyze.analyze(sample, "x", ["nope"])
+
+
+def brute_mean_shift(x, quantile=0.2):
+    n = len(x)
+    bandwidth = np.sort(np.abs(x[:, None] - x[None, :]), 1)[:, max(int(n * quantile), 1) - 1].mean()
+    within = lambda s: x[(x >= s - bandwidth) & (x <= s + bandwidth)]
+    seeds = np.unique(np.round(x / bandwidth)) * bandwidth
+    for _ in range(300):
+        moved = np.array([within(s).mean() if len(within(s)) else s for s in seeds])
+        done = np.abs(moved - seeds).max() < 1e-3 * bandwidth
+        seeds = np.unique(moved)
+        if done:
+            break
+    kept = []
+    for strength, center in sorted(((len(within(s)), s) for s in seeds), reverse=True):
+        if strength > 0 and all(abs(center - other) > bandwidth for other, _ in kept):
+            kept.append((center, strength))
+    return sorted(kept), bandwidth
+
+
+def ward_borders(x, k):
+    top, n = np.unique(x, return_counts=True)
+    top, n, mean = list(top), [float(v) for v in n], list(top)
+    while len(n) > k:
+        a, b = np.array(n[:-1]), np.array(n[1:])
+        i = int(np.argmin(a * b / (a + b) * np.diff(mean) ** 2))
+        total = n[i] + n[i + 1]
+        mean[i] = (n[i] * mean[i] + n[i + 1] * mean[i + 1]) / total
+        n[i], top[i] = total, top[i + 1]
+        del n[i + 1], mean[i + 1], top[i + 1]
+    return top[:-1]
+
+
+@pytest.mark.parametrize("kind", ["mixed", "ties", "tails"])
+def test_mean_shift_and_ward_match_brute_force(spark, kind):
+    rng = np.random.default_rng(8)
+    x = {
+        "mixed": np.concatenate([rng.normal(-5, 1, 2000), rng.normal(0, 1.5, 2200), rng.normal(5, 0.5, 800)]),
+        "ties": rng.integers(0, 12, 5000).astype(float),
+        "tails": np.append(rng.normal(size=998), [1e6, -1e5]),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(7)
+    found = clusters.mean_shift_centers(df, "x").orderBy("center").collect()
+    kept, bandwidth = brute_mean_shift(x)
+    assert np.allclose([r["center"] for r in found], [c for c, _ in kept]) and [r["n_within"] for r in found] == [n for _, n in kept]
+    assert np.isclose(found[0]["bandwidth"], bandwidth)
+    for k in (1, 3, 6):
+        labels = clusters.ward_labels(df, "x", k).toPandas()
+        assert (labels["label"] == np.searchsorted(ward_borders(x, k), labels["x"], "left")).all()
+
+
+def test_each_tree_draws_its_own_rows(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("x")).repartition(5)
+    samples = outliers._tree_samples(df, 50, 256, 1)
+    assert len(samples) == 50 and all(len(s) == 256 == len(set(s)) for s in samples)
+    assert len({v for s in samples for v in s}) > 0.4 * 50 * 256
+    assert abs(np.mean(np.concatenate(samples)) - 10_000) < 300
+    assert [len(s) for s in outliers._tree_samples(df.limit(30), 7, 256, 1)] == [30] * 7

@@ -102,7 +102,7 @@ def test_quantiles_narrowed_to_the_exact_value(spark, kind):
     }[kind]
     df = spark.createDataFrame(pd.DataFrame({"x": data}))
     shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
-    columns = quantile_columns(df, ["x"], shares, direct_rows=20, accuracy=50)
+    columns = quantile_columns(df, ["x"], shares, accuracy=50)
     found = df.agg(*[columns["x", s].alias(f"q{i}") for i, s in enumerate(shares)]).first()
     assert np.allclose(found, np.quantile(data, shares), rtol=1e-12, atol=1e-12)
 
@@ -231,3 +231,32 @@ def test_head_and_tail_and_ranks(spark):
     assert sorted(r[0] for r in relational.head_and_tail(df, 4, "id").select("id").collect()) == [0, 1, 2, 3, 4]
     assert relational.nth_row(df, 2, F.desc("id")).first()[0] == 3
     assert sorted(r["id"] for r in relational.nth_value_rows(df, 2, "v").collect()) == [1, 4]
+
+
+def test_lookup_shuffles_by_key_and_salt(spark):
+    """Heavy keys and rows without a key spread: the salt is among the exchange's keys."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS k")
+        sized = groups.group_size(df, "k")
+        plan = sized._jdf.queryExecution().executedPlan().toString()
+        shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "salt" in line]
+        assert shuffled and "(__salt" not in plan.split("SortMergeJoin")[1].split("\n")[0].split("LeftOuter")[-1]
+        rows = {r["id"]: r["group_size"] for r in sized.collect()}
+        assert all(rows[i] == (None if i % 3 == 0 else 667 if i % 3 == 1 else 1) for i in range(2000))
+        spread = sized.rdd.glom().map(len).collect()
+        assert max(spread) < 4 * sum(spread) / len(spread)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_running_total_with_a_far_order(spark):
+    """One order far from all others does not put the rest in one block."""
+    df = spark.range(20_000).selectExpr("CASE WHEN id = 0 THEN 4000000000000000000 ELSE id DIV 2 END AS o", "1 AS v", "id")
+    blocks = groups.blocks_of(df.groupBy("o").count(), "o", 8).groupBy("__block").count().collect()
+    assert len(blocks) == 8 and max(b["count"] for b in blocks) < 2 * 10_000 / 8 + 100
+    rows = groups.running_total(df, "o", "v").collect()
+    assert len(rows) == 20_000
+    assert all(r["running_total"] == (20_000 if r["o"] > 10**6 else 2 * r["o"] + 1) for r in rows)
