@@ -23,14 +23,20 @@ DICT_SCHEMA = "struct<v:array<map<string,string>>,e:int>"
 LIST_SCHEMA = "struct<v:array<array<string>>,e:int>"
 
 
-def literal_tokens_to_json(c: Column) -> Column:
-    """Python's ``\\xNN`` escapes and bare None/True/False in JSON notation."""
-    fixed = F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+def _outside_quotes(c: Column, pattern: str, replacement: str) -> Column:
+    """Replace a pattern everywhere but inside quoted text; ``$2`` is the pattern's first group."""
+    quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    return F.regexp_replace(c, rf"""\G((?:{quoted}|(?!{pattern})[^'"])*+){pattern}""", "$1" + replacement)
+
+
+def literal_to_json(c: Column) -> Column:
+    """Python's notation of lists and dicts as JSON: None, True, False, number keys, a last comma, joined texts, ``\\xNN``."""
     for word, token in (("None", "null"), ("True", "true"), ("False", "false")):
-        fixed = F.regexp_replace(fixed, rf"([:\[,]\s*){word}(?=\s*[,\]}}])", f"$1{token}")
-    # few texts need it, and looking is cheaper
-    marked = c.contains("\\x") | c.contains("None") | c.contains("True") | c.contains("False")
-    return F.when(marked, fixed).otherwise(c)
+        c = F.when(c.contains(word), _outside_quotes(c, rf"\b{word}\b", token)).otherwise(c)
+    c = _outside_quotes(c, r",\s*(?=[}\]])", "")
+    c = _outside_quotes(c, r"(?<=[{,])\s*(-?\d+(?:\.\d+)?)\s*(?=:)", '"$2"')
+    c = F.regexp_replace(c, r"(?<=[^\s\[{,:\\])''(?=[^\s,:\]}])", "")
+    return F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
 
 
 def escape_inner_apostrophes(c: Column) -> Column:
@@ -47,12 +53,19 @@ def _parse_one(c: Column, schema: str) -> Column:
     return only_if(wrapped, lambda w: (w["e"] == 1) & (F.size(w["v"]) == 1))["v"][0]
 
 
+def _last_wins(m: Column) -> Column:
+    """A map without repeated keys: each key's last value, at the place of its first."""
+    keys = F.array_distinct(F.map_keys(m))
+    value = lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"]
+    return F.when(F.size(keys) < F.size(m), F.map_from_arrays(keys, F.transform(keys, value))).otherwise(m)
+
+
 def _parse(c: Column, opening: str, schema: str) -> Column:
-    """Parse the stripped text with Python's notation and inner apostrophes made JSON."""
+    """Parse the stripped text as it is, else in Python's notation, else with its inner apostrophes repaired."""
 
     def read(s: Column) -> Column:
-        ready = escape_inner_apostrophes(literal_tokens_to_json(s))
-        return F.when(s.rlike(rf"^{opening}"), _parse_one(ready, schema))
+        tries = (s, literal_to_json(s), literal_to_json(escape_inner_apostrophes(s)))
+        return F.when(s.rlike(rf"^{opening}"), F.coalesce(*[_parse_one(t, schema) for t in tries]))
 
     return bind(strip(c), read)
 
@@ -101,7 +114,7 @@ def extract_dict(c: Column, python_fallback: bool = False) -> Column:
     """map<string,string>; values that are not text keep their JSON text."""
     if python_fallback:
         c = extract_object(c, True)
-    return _parse(c, r"\{", DICT_SCHEMA)
+    return bind(_parse(c, r"\{", DICT_SCHEMA), _last_wins)
 
 
 def is_dict(c: Column) -> Column:
@@ -112,9 +125,10 @@ def extract_records(c: Column, python_fallback: bool = False) -> Column:
     """array<map<string,string>> of a non-empty list whose elements are all dicts."""
     if python_fallback:
         c = extract_object(c, True)
-    return only_if(
+    rows = only_if(
         _parse(c, r"\[", RECORDS_SCHEMA), lambda rows: (F.size(rows) > 0) & F.forall(rows, lambda r: r.isNotNull())
     )
+    return F.transform(rows, _last_wins)
 
 
 def is_records(c: Column) -> Column:

@@ -110,8 +110,8 @@ def test_records(spark):
 
 def test_objects_and_fallback(spark):
     inputs = ["[{'a': 1,}]", r"{'a': '\101'}", "[1, 2]", "'abc'", "3", "(1, 2)", "{[]: 1}", "[", None]
-    assert values(spark, inputs, nested.extract_object(c)) == [None, None, "[1,2]"] + [None] * 6
-    assert values(spark, inputs, nested.extract_object(c, python_fallback=True)) == ['[{"a": 1}]', '{"a": "A"}', "[1,2]"] + [None] * 6
+    assert values(spark, inputs, nested.extract_object(c)) == ['[{"a":1}]', None, "[1,2]"] + [None] * 6
+    assert values(spark, inputs, nested.extract_object(c, python_fallback=True)) == ['[{"a":1}]', '{"a": "A"}', "[1,2]"] + [None] * 6
     assert values(spark, inputs, nested.extract_records(c, python_fallback=True))[0] == [{"a": "1"}]
     assert values(spark, ["[1]", "{'a': 1}", "x"], nested.object_kind(c)) == ["array", "object", None]
     assert values(spark, ["[]", "[1, 'x']", "{}", None], nested.list_length(c)) == [0, 2, None, None]
@@ -163,3 +163,17 @@ def test_registered_type(spark):
     register_type("even", lambda x: F.when(x.try_cast("int") % 2 == 0, x.try_cast("int")), "int", numeric=True)
     schema = SemanticSchema({"c": "even"})
     assert values(spark, ["2", "3"], schema.extractor("c")(c)) == [2, None]
+
+
+def test_literals_keep_quoted_words_and_the_last_of_equal_keys(spark):
+    c = F.col("c")
+    texts = [
+        "{'id': 1, 'id': 2}", "{'n': 'Yes, None, All'}", "{'name': 'a: True, b'}", "{1: 'a'}", "{'a': 'b',}", "{'n': 'it''s'}",
+        "{'a': None, 'b': 'None', 'c': True}", "{'n': 'le'Set', 'None': None}",
+    ]
+    want = [
+        {"id": "2"}, {"n": "Yes, None, All"}, {"name": "a: True, b"}, {"1": "a"}, {"a": "b"}, {"n": "its"},
+        {"a": None, "b": "None", "c": "true"}, {"n": "le'Set", "None": None},
+    ]
+    assert values(spark, texts, nested.extract_dict(c)) == want
+    assert values(spark, ["[{'id': 1,}]", "[{'id': 1, 'id': 3}, {'n': 'x, True'}]"], nested.extract_records(c)) == [[{"id": "1"}], [{"id": "3"}, {"n": "x, True"}]]
