@@ -37,12 +37,13 @@ class ChunkIds:
             words.append((data if any(sign in data for sign in self.cased) else data.lower()).split())
         flat = [c for ws in words for c in ws]
         ids = list(map(self.chunks.get, flat))
-        missing = {c for c, found in zip(flat, ids) if found is None}
-        if missing:
-            new = list(missing)
-            self.chunks.update(zip(new, self.encode([c.decode() for c in new])))
-            learnt = self.chunks.__getitem__
-            ids = [learnt(c) if found is None else found for c, found in zip(flat, ids)]
+        holes = [i for i, found in enumerate(ids) if found is None]
+        if holes:
+            new = list({flat[i] for i in holes})
+            learnt = dict(zip(new, self.encode([c.decode() for c in new])))
+            for i in holes:
+                ids[i] = learnt[flat[i]]
+            self.chunks.update(learnt)
         out, at = [], 0
         for ws in words:
             out.append(b"".join(ids[at : at + len(ws)]))

@@ -76,6 +76,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(at, step)
 
 
+_CACHE: dict[object, object] = {}
+
+
+def worker_cache(name: object, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from task to task; another operator's is let go."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32(key as text) mod a number: the fold of a row."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

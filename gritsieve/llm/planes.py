@@ -12,6 +12,7 @@ and the ids and token counts of the documents, also as planes.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 import zlib
@@ -24,9 +25,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gritsieve.llm.chunks import ChunkIds
-from gritsieve.llm.common import open_folder, query, shared_folder, slices, stored, table
+from gritsieve.llm.common import open_folder, query, shared_folder, slices, stored, table, worker_cache
+from gritsieve.llm.segment_bpe import byte_signs
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 18
@@ -129,62 +132,47 @@ def read_file(handle, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         held = held[count:]
 
 
-_ENCODERS: dict[str, ChunkIds] = {}
-
-
 def library_chunks(path: str) -> ChunkIds:
     """Chunks encoded with the tokenizers library; one per worker."""
-    if path not in _ENCODERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-
-        suffix = json.loads(tokenizer.to_str())["model"]["end_of_word_suffix"]
-        ends = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        ends[[i for t, i in tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]] = True
-        model = tokenizer.model
-
-        def pack(ids: list[int]) -> bytes:
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        def whole(texts: list[str]) -> list[bytes]:
-            return [pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def words(texts: list[str]) -> list[bytes]:
-            """Runs of Latin letters, many at a time; ids are cut after each end of a word."""
-            ids = np.array(tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) != len(texts):
-                return whole(texts)
-            data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            return [data[a:b] for a, b in zip(at, at[1:])]
-
-        def encode(texts: list[str]) -> list[bytes]:
-            out: list[bytes] = [b""] * len(texts)
-            tails = {sign: whole([sign])[0] for sign in ".,"}
-            letters, others = [], []
-            for i, t in enumerate(texts):
-                head, tail = (t[:-1], tails[t[-1]]) if t[-1] in tails else (t, b"")
-                if not suffix or not head.isalpha() or max(head) >= "\u0250" or "\u0130" in head:
-                    others.append((i, t, b""))
-                elif head.isascii() and head.islower():  # normalising and splitting leave it as it is
-                    out[i] = pack([token.id for token in model.tokenize(head)]) + tail
-                else:
-                    letters.append((i, head, tail))
-            for chosen, run in ((letters, words), (others, whole)):
-                for at in range(0, len(chosen), 500):
-                    part = chosen[at : at + 500]
-                    for (i, _, tail), ids in zip(part, run([t for _, t, _ in part])):
-                        out[i] = ids + tail
-            return out
-
-        _ENCODERS[path] = ChunkIds(encode, cased=(b"<|",))
-    return _ENCODERS[path]
+    return worker_cache(("library", path), lambda: _library_chunks(path))
+
+
+def _library_chunks(path: str) -> ChunkIds:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    model, signs = tokenizer.model, str.maketrans(dict(enumerate(byte_signs())))
+    plain = model.end_of_word_suffix is not None
+
+    def pack(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    tails = dict(zip(".,", whole([".", ","])))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        """A run of lower-case Latin letters, which normalising and splitting leave as it is, goes straight to the library's model."""
+        out: list[bytes] = [b""] * len(texts)
+        others = []
+        for i, t in enumerate(texts):
+            tail = tails.get(t[-1])
+            head = t if tail is None else t[:-1]
+            if plain and head.isalpha() and (head.isascii() or max(head) < "\u0250") and head == head.lower():
+                signed = head if head.isascii() else head.encode().decode("latin-1").translate(signs)
+                ids = pack([token.id for token in model.tokenize(signed)])
+                out[i] = ids if tail is None else ids + tail
+            else:
+                others.append(i)
+        for at in range(0, len(others), 2000):
+            part = others[at : at + 2000]
+            for i, ids in zip(part, whole([texts[i] for i in part])):
+                out[i] = ids
+        return out
+
+    return ChunkIds(encode, cased=(b"<|",))
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", parts: int | None = None, block: int = BLOCK) -> str:

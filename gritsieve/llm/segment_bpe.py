@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.chunks import ChunkIds
-from gritsieve.llm.common import query, slices, table
+from gritsieve.llm.common import query, slices, table, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 NONE = np.iinfo(np.int64).max
@@ -61,7 +60,7 @@ class Vocabulary:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
-        self.chunks = ChunkIds(self.encode_texts, cased=(b"<|",))
+        self.chunks = ChunkIds(self.encode_texts, cased=(b"<|",), limit=300_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of pairs, and which pairs have one."""
@@ -92,9 +91,9 @@ class Vocabulary:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """One per worker."""
+    return worker_cache(("vocabulary", path), lambda: Vocabulary(path))
 
 
 def merge_words(words: list[bytes], vocab: Vocabulary, cells: int = 1 << 20) -> list[bytes]:
