@@ -155,9 +155,8 @@ MESSY_CTE = f"messy AS (SELECT {', '.join(f'{e} AS {n}' for n, e in MESSY.items(
 
 def messy(spark: SparkSession, folder: str) -> DataFrame:
     """Derived in parallel; the second spread ends the derivation, so queries meet plain columns."""
-    orders = read_table(spark, folder, "orders")
-    derived = spread(orders, "o_orderkey").selectExpr(*[f"{e} AS {n}" for n, e in MESSY.items()])
-    return derived.repartition("row_id") if orders.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else derived
+    orders = spread(read_table(spark, folder, "orders"), "o_orderkey")
+    return spread(orders.selectExpr(*[f"{e} AS {n}" for n, e in MESSY.items()]), "row_id")
 
 
 def over_messy(sql: str) -> str:

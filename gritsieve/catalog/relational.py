@@ -71,30 +71,41 @@ def src_4(spark, folder):
     return spark.sql("SELECT flag, count(*) AS n FROM raw_text WHERE note IS NOT NULL GROUP BY flag")
 
 
-@query("src_5")
+def _uniform_sql(key: str, seed: str, stream: int) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', CAST({seed} AS VARCHAR), '{stream}', CAST({key} AS VARCHAR))), 1, 12) AS BIGINT) + 1) / 281474976710656.0"
+
+
+def _normal_sql(key: str, seed: str) -> str:
+    return f"sqrt(-2 * ln({_uniform_sql(key, seed, 1)})) * cos(2 * pi() * {_uniform_sql(key, seed, 2)})"
+
+
+@query("src_5", f"WITH f AS (SELECT avg(value) AS m, stddev_samp(value) AS s, count(value) AS n FROM events) SELECT round({_normal_sql('i', '42')} * s + m, 6) AS x FROM (SELECT unnest(range(n)) AS i, m, s FROM f)")
 def src_5(spark, folder):
     """A normal sample as large as the event table, with the table's mean and deviation."""
     fit = read_table(spark, folder, "events").agg(F.avg("value"), F.stddev_samp("value"), F.count("value")).first()
-    return synthetic.normal_sample(spark, fit[0], fit[1], fit[2])
+    return synthetic.normal_sample(spark, fit[0], fit[1], fit[2]).select(F.round("x", 6).alias("x"))
 
 
-@query("src_6")
+@query("src_6", f"SELECT event_id, value, round(value + 0.1 * ({_normal_sql('event_id', '42')}), 6) AS noisy FROM events")
 def src_6(spark, folder):
     events = read_table(spark, folder, "events").select("event_id", "value", c("value").alias("noisy"))
-    return synthetic.add_noise(events, "noisy")
+    return synthetic.add_noise(events, "noisy", key="event_id").withColumn("noisy", F.round("noisy", 6))
 
 
-@query("src_7")
+@query(
+    "src_7",
+    "WITH f AS (SELECT ascii(o_orderstatus) AS component, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1) "
+    f"SELECT component, i, round({_normal_sql('i', '(component + 42)')} * s + m, 3) AS x FROM (SELECT component, unnest(range(n)) AS i, m, s FROM f)",
+)
 def src_7(spark, folder):
     """A mixture sample with one component per order status, fitted to the order table."""
-    fits = read_table(spark, folder, "orders").groupBy("o_orderstatus").agg(
-        F.avg("o_totalprice"), F.stddev_samp("o_totalprice"), F.count(F.lit(1))
+    fits = read_table(spark, folder, "orders").groupBy(F.ascii("o_orderstatus").alias("component")).agg(
+        F.avg("o_totalprice").alias("mean"), F.stddev_samp("o_totalprice").alias("sd"), F.count(F.lit(1)).alias("size")
     )
-    parts = [(row[1], row[2], row[3]) for row in fits.orderBy("o_orderstatus").collect()]
-    return synthetic.mixture_sample(spark, parts)
+    return synthetic.component_rows(fits).withColumn("x", F.round("x", 3))
 
 
-@query("src_8")
+@query("src_8", "SELECT * FROM customer ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 10")
 def src_8(spark, folder):
     return files.sample_rows(read_table(spark, folder, "customer"), 10, ["c_custkey"])
 

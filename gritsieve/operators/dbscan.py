@@ -24,8 +24,14 @@ SHRINK = 1 - 1e-9
 NEIGHBOURS = (-2, -1, 0, 1, 2)
 
 
+EXACT = float(1 << 52)  # above it a double has no fraction
+
+
 def _cell(x, eps: float):
-    return F.floor(x / (eps * SHRINK)).cast("bigint")
+    """The cell's number as a double, which holds for values of any size."""
+    place = x / (eps * SHRINK)
+    near = F.abs(place) < EXACT
+    return F.when(near, F.floor(F.when(near, place)).cast("double")).otherwise(place)
 
 
 def _edge_values(points: DataFrame, k: int) -> DataFrame:
@@ -39,7 +45,7 @@ def _edge_values(points: DataFrame, k: int) -> DataFrame:
 
 def _near(points: DataFrame, others: DataFrame, eps: float) -> DataFrame:
     """Pairs of a point and one of the others within eps, found through neighbouring cells."""
-    asked = points.withColumn("at", F.explode(F.array(*[F.col("cell") + d for d in NEIGHBOURS])))
+    asked = points.withColumn("at", F.explode(F.array_distinct(F.array(*[F.col("cell") + float(d) for d in NEIGHBOURS]))))
     other = others.select(F.col("cell").alias("at"), F.col("x").alias("y"), F.col("w").alias("v"))
     return asked.join(other, "at").where(F.abs(F.col("y") - F.col("x")) <= eps)
 
@@ -47,12 +53,12 @@ def _near(points: DataFrame, others: DataFrame, eps: float) -> DataFrame:
 def dbscan_labels(
     df: DataFrame, col: str, eps: float = 0.5, min_samples: int = 5, out: str = "label"
 ) -> DataFrame:
-    """Each row's cluster, numbered by value; -1 for noise, null for missing values.
+    """Each row's cluster, numbered by value; -1 for noise and infinite values, null for missing ones.
 
     A value that is no core value joins the cluster of its nearest core value in reach.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    values = column_values(df, col)
+    values = column_values(df, col).where(F.abs("x") < float("inf"))
     points = values.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn("cell", _cell(F.col("x"), eps))
     sizes = points.groupBy("cell").agg(F.sum("w").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).checkpoint()
     edges = _edge_values(points, min_samples).join(sizes.select("cell", "n"), "cell").checkpoint()
@@ -68,7 +74,8 @@ def dbscan_labels(
     dense = sizes.where(F.col("n") >= min_samples).select("cell", "lo", "hi")
     sparse = tested.where("core").groupBy("cell").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     core_cells = dense.unionAll(sparse)
-    left = [core_cells.select((F.col("cell") + d).alias("cell"), F.col("hi").alias(f"hi{d}")) for d in (1, 2)]
+    moved = lambda d: core_cells.where(F.col("cell") + float(d) != F.col("cell"))
+    left = [moved(d).select((F.col("cell") + float(d)).alias("cell"), F.col("hi").alias(f"hi{d}")) for d in (1, 2)]
     linked = core_cells.join(left[0], "cell", "left").join(left[1], "cell", "left")
     joined = reduce(or_, [F.coalesce(F.col("lo") - F.col(f"hi{d}") <= eps, F.lit(False)) for d in (1, 2)])
     starts = linked.select("cell", (~joined).cast("bigint").alias("start"))
@@ -87,7 +94,7 @@ def dbscan_labels(
     dense_labels = sizes.where(F.col("n") >= min_samples).join(clusters, "cell").select(
         F.col("cell").alias("__cell"), F.col("cluster").alias("__dense"), "n"
     )
-    rows = df.withColumn("__x", drop_nan(F.col(col))).withColumn("__cell", _cell(F.col("__x"), eps))
+    rows = df.withColumn("__x", drop_nan(F.col(col))).withColumn("__cell", F.when(F.abs("__x") < float("inf"), _cell(F.col("__x"), eps)))
     rows = lookup(rows, dense_labels, ["__cell"], ["__dense"], "n", nulls_equal=False)
     rows = rows.join(thin_labels, "__x", "left")
     label = F.coalesce("__dense", "__thin", F.lit(NOISE)).cast("bigint")

@@ -59,13 +59,11 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows by a key if the table has fewer splits than there are cores.
+    """Spread rows by a key over as many tasks as a shuffle has.
 
-    For costly work per row on a table stored in few row groups; a table with enough splits
-    is left as it is.
+    For costly work per row on a table stored in few row groups, which Spark cannot split.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -85,4 +83,5 @@ def write_report(tables: dict[str, DataFrame], folder: str, mode: str = "error")
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly n rows (or all) in a repeatable random order of the key columns."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(digest, *keys).limit(n)

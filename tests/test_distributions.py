@@ -250,3 +250,10 @@ def test_each_tree_draws_its_own_rows(spark):
     assert len({v for s in samples for v in s}) > 0.4 * 50 * 256
     assert abs(np.mean(np.concatenate(samples)) - 10_000) < 300
     assert [len(s) for s in outliers._tree_samples(df.limit(30), 7, 256, 1)] == [30] * 7
+
+
+def test_dbscan_takes_values_of_any_size(spark):
+    x = [1.0, 2.0, 1e300, 1e300, 1e300, float("inf"), float("inf"), -1e18, -1e18, 1.2, 1.4]
+    rows = dbscan_labels(frame(spark, x), "x", eps=0.5, min_samples=2).collect()
+    got = sorted((r["x"], r["label"]) for r in rows)
+    assert got == [(-1e18, 0), (-1e18, 0), (1.0, 1), (1.2, 1), (1.4, 1), (2.0, -1), *[(1e300, 2)] * 3, *[(float("inf"), -1)] * 2]
