@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import bitmap_of, components, in_bitmap, in_groups, query, slices, stored, table
+from gritsieve.llm.common import bitmap_of, components, in_bitmap, in_groups, query, slices, stored, table, worker_cache
 
 CHUNK, ERRORS, CHUNKS = 4, 1, 9
 SYMBOLS = CHUNK * CHUNKS
@@ -36,6 +36,14 @@ class WordHashes(dict):
         return h
 
 
+def worker_words(limit: int = 500_000) -> WordHashes:
+    """The word hashes this worker has computed; begun anew when there are ``limit``."""
+    known = worker_cache("word hashes", WordHashes)
+    if len(known) > limit:
+        known.clear()
+    return known
+
+
 def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of a text's runs of ``size`` words; of all its words if it has fewer."""
     words = (text or "").encode().lower().split()
@@ -76,10 +84,8 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     """Rows (at, doc_id, text) -> (at, doc_id, n, digest, sig): size, digest and signature of each shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches):
-            if len(known) > 500_000:
-                known = WordHashes()
+            known = worker_words()
             sets = [shingles(t, size, known) for t in batch.column(2).to_pylist()]
             columns = [
                 batch.column(0),
@@ -243,12 +249,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     bitmap = spark.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("x").alias("h")), bits))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             hit = in_bitmap(bitmap.value, batch.column(2).to_numpy().view(np.uint64), bits)
             for part in slices(iter([batch.filter(pa.array(hit))])):
-                if len(known) > 500_000:
-                    known = WordHashes()
+                known = worker_words()
                 found = [shingles(t, size, known) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([signature(s).tobytes() if len(s) else None for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],

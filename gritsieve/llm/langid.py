@@ -6,6 +6,7 @@ a window is kept, and a softmax layer turns the responses into languages.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from gritsieve.llm.common import crc_mod, query, slices, table
+from gritsieve.llm.common import crc_mod, query, slices, table, worker_cache
 
 UNKNOWN = "und"
 FOLDED = bytes(48 if 48 <= b <= 57 else b for b in range(256))  # all digits alike
@@ -100,6 +101,10 @@ class ByteCNN:
                     self.weights[k] -= scale * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
         return self
 
+    def digest(self) -> str:
+        """Tells networks apart."""
+        return hashlib.sha1(b"".join(self.weights[k].tobytes() for k in sorted(self.weights))).hexdigest()
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The filters as sums of two rows: one for a pair of bytes, one for the pair two bytes on."""
         near, far = [], []
@@ -198,7 +203,7 @@ def predict(docs: DataFrame, model: ByteCNN | None, text: str = "text", names: t
     schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(model) if model else None
+        predictor = worker_cache(("languages", model.digest()), lambda: Predictor(model)) if model else None
         for batch in slices(batches, text):
             texts = batch.column(at).to_pylist()
             lettered = [i for i, t in enumerate(texts) if has_letter(t)] if predictor else []
