@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import bitmap_of, in_bitmap, query, slices, stored, table
+from gritsieve.llm.common import bitmap_of, in_bitmap, query, slices, stored, table, worker_cache
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -27,6 +27,7 @@ UNITS = (
     "inch inches foot feet yard yards mile miles meter meters metre metres gram grams pound pounds ounce ounces liter liters litre litres "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degrees"
 ).split()
+NUMBER_SET, UNIT_SET = frozenset(NUMBER_WORDS), frozenset(UNITS)
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 LITERAL_FLAG, NAME_FLAG = 1, 2
 ODD = [int(x) | 1 for x in np.random.default_rng(20).integers(1, 2**63, 64)]
@@ -35,9 +36,9 @@ ODD = [int(x) | 1 for x in np.random.default_rng(20).integers(1, 2**63, 64)]
 def canonical(token: str) -> tuple[str, str]:
     """A token's template with names kept as words, and with names as slots."""
     low = token.lower()
-    if token[0].isdecimal() or low in NUMBER_WORDS:
+    if token[0].isdecimal() or low in NUMBER_SET:
         return NUMBER, NUMBER
-    if low in UNITS:
+    if low in UNIT_SET:
         return UNIT, UNIT
     return low, NAME if token[0].isupper() else low
 
@@ -63,6 +64,14 @@ class Codes(dict):
         return code
 
 
+def worker_codes(limit: int = 300_000) -> Codes:
+    """The codes this worker has met in its tasks; begun anew when there are ``limit``."""
+    held = worker_cache("templates", lambda: [Codes()])
+    if len(held[0]) > limit:
+        held[0] = Codes()
+    return held[0]
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` values."""
     n = len(hashes) - size + 1
@@ -80,7 +89,7 @@ def windows(texts: list[str | None], codes: Codes, sizes: list[int], literals: i
     second view has only the windows that hold a name.
     """
     chunks = [(t or "").encode().split() for t in texts]
-    flat = np.fromiter((codes[c] for ws in chunks for c in ws), np.int64)
+    flat = np.fromiter(map(codes.__getitem__, (c for ws in chunks for c in ws)), np.int64)
     start, count = np.array(codes.start, np.int64), np.array(codes.count, np.int64)
     n = count[flat]
     ends = np.cumsum(n)
@@ -104,21 +113,19 @@ def windows(texts: list[str | None], codes: Codes, sizes: list[int], literals: i
             yield size, rolling(hashes, size)[at], of[at], place[at], token, at
 
 
-_SCHEMA = "h long, key long, at long, size int, raw array<string>, template array<string>, n_tokens int"
+_SCHEMA = "h long, key long, row long, at long, size int, raw array<string>, template array<string>, n_tokens int"
 
 
 def _windows(rows: DataFrame, sizes: list[int], literals: int, own_size: int = 0, bitmap=None, bits: int = 0) -> DataFrame:
-    """Windows of (key, text) rows; with a bitmap only those whose hash has its bit set.
+    """Windows of (key, row, text) rows; with a bitmap only those whose hash has its bit set.
 
     With ``own_size``, texts of fewer tokens than that give one window of their own length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for batch in slices(batches):
-            if len(codes) > 300_000:
-                codes = Codes()
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            codes = worker_codes()
+            keys, numbers, texts = (batch.column(i).to_pylist() for i in range(3))
             lengths = [sum(codes.count[codes[c]] for c in (t or "").encode().split()) for t in texts] if own_size else None
             wanted = sorted({*sizes, *(n for n in lengths if 0 < n < own_size)}) if own_size else sizes
             for n_view, (size, hashes, of, place, token, at) in enumerate(windows(texts, codes, wanted, literals)):
@@ -136,13 +143,14 @@ def _windows(rows: DataFrame, sizes: list[int], literals: int, own_size: int = 0
                         [
                             pa.array(hashes[part].view(np.int64)),
                             pa.array([keys[o] for o in of[part].tolist()], pa.int64()),
+                            pa.array([numbers[o] for o in of[part].tolist()], pa.int64()),
                             pa.array(place[part]),
                             pa.array(np.full(len(raw), size, np.int32)),
                             pa.array(raw, pa.list_(pa.string())),
                             pa.array([[canonical(t)[view] for t in r] for r in raw], pa.list_(pa.string())),
                             pa.array([lengths[o] if lengths else 0 for o in of[part].tolist()], pa.int32()),
                         ],
-                        ["h", "key", "at", "size", "raw", "template", "n_tokens"],
+                        ["h", "key", "row", "at", "size", "raw", "template", "n_tokens"],
                     )
 
     return rows.mapInArrow(run, _SCHEMA)
@@ -164,28 +172,29 @@ def contaminated(
     join the benchmark's windows by hash and salt, so that a passage many documents share is no
     single task, and are compared template by template, so neither bits nor hashes decide.
 
-    Items of fewer than ``size`` tokens are one window of their own length; those of fewer than
+    Slots are compared without regard to case. Items of fewer than ``size`` tokens are one window of their own length; those of fewer than
     ``shortest`` tokens are too short to be evidence. Null and empty texts match nothing;
-    repeated rows and equal keys share one result row; several items with an equal text are
+    rows are judged one by one, and equal keys share the row of best coverage; several items with an equal text are
     listed each; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item).cast("long").alias("key"), F.col(item_text).cast("string").alias("text"))
+    place = F.monotonically_increasing_id().alias("row")
+    items = benchmark.select(F.col(item).cast("long").alias("key"), place, F.col(item_text).cast("string").alias("text"))
     known = stored(_windows(items, [size], literals, own_size=size).where(F.col("n_tokens") >= shortest))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``size`` numbers
     bitmap = bitmap_of(known, bits)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), place, F.col(text).cast("string").alias("text"))
     met = _windows(rows, sizes, literals, bitmap=spark.sparkContext.broadcast(bitmap), bits=bits)
-    left = met.select("h", "size", F.col("key").alias("doc_id"), F.col("at").alias("doc_at"), F.col("raw").alias("doc_raw"), F.col("template"), F.pmod(F.xxhash64("key", "at"), F.lit(salts)).alias("salt"))
+    left = met.select("h", "size", F.col("key").alias("doc_id"), "row", F.col("at").alias("doc_at"), F.col("raw").alias("doc_raw"), F.col("template"), F.pmod(F.xxhash64("key", "at"), F.lit(salts)).alias("salt"))
     right = known.select("h", "size", F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("raw").alias("item_raw"), F.col("template").alias("item_template"), "n_tokens").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
     )
     pairs = left.join(right, ["h", "size", "salt"]).where("template = item_template")
     slots = F.filter(
-        F.transform(F.arrays_zip("template", "item_raw", "doc_raw"), lambda t: F.struct(t["template"].alias("kind"), t["item_raw"].alias("was"), t["doc_raw"].alias("now"))),
+        F.transform(F.arrays_zip("template", "item_raw", "doc_raw"), lambda t: F.struct(t["template"].alias("kind"), F.lower(t["item_raw"]).alias("was"), F.lower(t["doc_raw"]).alias("now"))),
         lambda t: t["kind"].isin(NUMBER, UNIT, NAME),
     )
-    lined = pairs.groupBy("doc_id", "item_id", "n_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
+    lined = pairs.groupBy("doc_id", "row", "item_id", "n_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
         F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1))).alias("places"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
     )
@@ -197,10 +206,12 @@ def contaminated(
     consistent = (of(F.col("slots"), "kind", "was") == F.size("slots")) & (of(names, "now") == F.size(names))
     found = (
         lined.where(consistent)
-        .groupBy("doc_id", "item_id", "n_tokens")
+        .groupBy("doc_id", "row", "item_id", "n_tokens")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("places"))))).alias("covered"), F.max(F.exists("slots", lambda t: t["was"] != t["now"])).alias("changed"))
     )
-    return found.where(F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("n_tokens") * share))).select("doc_id", "item_id", "covered", "n_tokens", "changed")
+    found = found.where(F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("n_tokens") * share)))
+    best = F.max(F.struct("covered", ~F.col("changed"), "n_tokens"))
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.covered", "b.n_tokens", (~F.col("b.col2")).alias("changed"))
 
 
 @query("op4_templates")
