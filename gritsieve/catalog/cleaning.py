@@ -44,13 +44,26 @@ def qlt_2(spark, folder):
     return quality.distinct_rejects(messy(spark, folder), MESSY_SCHEMA).withColumnRenamed("column", "column_name")
 
 
-_FLAT_COLUMNS = ("id", "title", "revenue", "budget", "flag", "day", "status", "note")
+_FLAT_COLUMNS = tuple(n for n in MESSY_SCHEMA.columns if n not in ("items", "info"))
+_ITEMS, _INFO = VALID_SQL["items"], VALID_SQL["info"]
 
 
-@query("qlt_3", over_messy("SELECT row_id, " + ", ".join(f"{VALID_SQL[n]} AS {n}" for n in _FLAT_COLUMNS) + " FROM messy"))
+@query(
+    "qlt_3",
+    over_messy(
+        "SELECT row_id, " + ", ".join(f"{VALID_SQL[n]} AS {n}" for n in _FLAT_COLUMNS)
+        + f", CAST(json_array_length({_ITEMS}) AS INTEGER) AS n_items, json_extract_string({_ITEMS}, '$[0].name') AS first_item, "
+        f"json_extract_string({_INFO}, '$.id') AS info_id, json_extract_string({_INFO}, '$.name') AS info_name FROM messy"
+    ),
+)
 def qlt_3(spark, folder):
-    typed, _ = quality.null_out_invalid(messy(spark, folder).select("row_id", *_FLAT_COLUMNS), MESSY_SCHEMA, "row_id")
-    return typed
+    """All columns typed, invalid cells null; of the nested ones what SQL can show alike."""
+    typed, _ = quality.null_out_invalid(messy(spark, folder), MESSY_SCHEMA, "row_id")
+    nested = [
+        F.size("items").alias("n_items"), F.col("items")[0]["name"].alias("first_item"),
+        F.col("info")["id"].alias("info_id"), F.col("info")["name"].alias("info_name"),
+    ]
+    return typed.select("row_id", *_FLAT_COLUMNS, *nested)
 
 
 _COPIED = "SELECT o_custkey, o_orderstatus, o_orderpriority, o_orderkey FROM orders"

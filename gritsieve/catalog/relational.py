@@ -124,23 +124,37 @@ def snk_1(spark, folder):
     return files.read_text_csv(spark, _written(spark, read_table(spark, folder, "conversations")))
 
 
-_REJECTED = {"id": "integer", "revenue": "float", "flag": "boolean", "day": "ymd_datetime", "items": "list_of_dict"}
+_REJECTED = tuple(MESSY_SCHEMA.columns)
 _REJECTS_SQL = " UNION ALL ".join(
     f"SELECT row_id, '{n}' AS column_name, '{MESSY_SCHEMA.columns[n]}' AS semantic_type, {n} AS value FROM messy WHERE {n} IS NOT NULL AND ({VALID_SQL[n]}) IS NULL"
     for n in _REJECTED
 )
 
 
+_SUMMARY_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS column_name, '{MESSY_SCHEMA.columns[n]}' AS semantic_type, count(*) FILTER (WHERE {n} IS NOT NULL AND ({VALID_SQL[n]}) IS NULL) AS n_rows FROM messy"
+    for n in _REJECTED
+)
+
+
 @query(
     "snk_2",
-    over_messy(f", rejects AS ({_REJECTS_SQL}) SELECT 'run' AS run_id, column_name, semantic_type, value, count(*) AS n_rows FROM rejects GROUP BY column_name, semantic_type, value"),
+    over_messy(
+        f", rejects AS ({_REJECTS_SQL}), summary AS ({_SUMMARY_SQL}) "
+        "SELECT 'reject' AS part, 'run' AS run_id, column_name, semantic_type, value, count(*) AS n_rows FROM rejects GROUP BY column_name, semantic_type, value "
+        "UNION ALL SELECT 'summary', 'run', column_name, semantic_type, CASE WHEN n_rows > 0 THEN 'invalid' ELSE 'valid' END, n_rows FROM summary"
+    ),
 )
 def snk_2(spark, folder):
-    """The error report, written as tables and read back."""
+    """The error report of all columns, both parts written as tables and read back."""
     path = scratch_folder(spark)
-    report = error_report(messy(spark, folder).select(*_REJECTED), MESSY_SCHEMA, "run")
-    files.write_report(report, path)
-    return spark.read.parquet(f"{path}/rejects").drop("started_at").withColumnRenamed("column", "column_name")
+    files.write_report(error_report(messy(spark, folder).select(*_REJECTED), MESSY_SCHEMA, "run"), path)
+    named = lambda part: spark.read.parquet(f"{path}/{part}").withColumnRenamed("column", "column_name")
+    rejects = named("rejects").select(F.lit("reject").alias("part"), "run_id", "column_name", "semantic_type", "value", "n_rows")
+    summary = named("summary").select(
+        F.lit("summary").alias("part"), "run_id", "column_name", "semantic_type", c("status").alias("value"), F.coalesce("n_invalid", F.lit(0)).alias("n_rows")
+    )
+    return rejects.unionByName(summary)
 
 
 @query("snk_3", over_messy(_REJECTS_SQL))

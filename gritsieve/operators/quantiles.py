@@ -45,25 +45,28 @@ class _Target:
         return F.percentile(F.when(self.inside(), F.col(self.column)), share)
 
 
-def _narrow(df: DataFrame, targets: list[_Target], accuracy: int) -> None:
-    """One sketch pass and one counting pass that shrink every open target's enclosure."""
-    # targets of one column and enclosure share a sketch
+def _spans(places: list[float], accuracy: int) -> list[Column]:
+    """Two levels around each place, apart by more than a sketch's error."""
+    margin = 2.0 / accuracy
+    return [F.lit(x) for p in places for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+
+
+def _sketch(df: DataFrame, targets: list[_Target], accuracy: int) -> dict[int, list[float]]:
+    """Two values around each open target, by one sketch per column and enclosure."""
     sharing: dict[tuple, list[_Target]] = {}
     for t in targets:
         sharing.setdefault((t.column, t.low, t.high), []).append(t)
-    margin = 2.0 / accuracy
     sketches = []
     for i, group in enumerate(sharing.values()):
         places = [(t.rank - t.below) / max(t.rows - 1, 1) for t in group]
-        spans = [F.lit(x) for p in places for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
         values = F.when(group[0].inside(), F.col(group[0].column))
-        sketches.append(F.percentile_approx(values, F.array(*spans), accuracy).alias(f"s{i}"))
+        sketches.append(F.percentile_approx(values, F.array(*_spans(places, accuracy)), accuracy).alias(f"s{i}"))
     row = df.agg(*sketches).first()
-    found = {}
-    for i, group in enumerate(sharing.values()):
-        for j, t in enumerate(group):
-            found[id(t)] = row[f"s{i}"][2 * j : 2 * j + 2]
+    return {id(t): row[f"s{i}"][2 * j : 2 * j + 2] for i, group in enumerate(sharing.values()) for j, t in enumerate(group)}
+
 
+def _narrow(df: DataFrame, targets: list[_Target], found: dict[int, list[float]]) -> None:
+    """Shrink every target's enclosure to one side of its two values by one counting pass."""
     counts = []
     for i, t in enumerate(targets):
         c, (a, b) = F.col(t.column), found[id(t)]
@@ -98,21 +101,28 @@ def quantile_columns(
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[tuple[str, float], Column]:
     """Aggregate expressions of exact, linearly interpolated quantiles, for use in ``df.agg``."""
-    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    first = []
+    for i, c in enumerate(columns):
+        sketch = F.percentile_approx(F.col(c), F.array(*_spans(list(shares), accuracy)), accuracy)
+        first += [F.count(c).alias(f"n{i}"), sketch.alias(f"s{i}")]
+    row = df.agg(*first).first()
     result: dict[tuple[str, float], Column] = {}
     pairs: dict[tuple[str, float], tuple[_Target, _Target, float]] = {}
     targets: dict[tuple[str, int], _Target] = {}
+    found: dict[int, list[float]] = {}
     for i, c in enumerate(columns):
-        rows = sizes[i]
+        rows = row[f"n{i}"]
         if not rows:
             result |= {(c, share): F.lit(None).cast("double") for share in shares}
             continue
-        for share in shares:
+        for j, share in enumerate(shares):
             position = share * (rows - 1)
             ends = [targets.setdefault((c, r), _Target(c, r, rows)) for r in (math.floor(position), math.ceil(position))]
+            found |= {id(t): row[f"s{i}"][2 * j : 2 * j + 2] for t in ends}
             pairs[c, share] = (ends[0], ends[1], position - math.floor(position))
     while open_targets := [t for t in targets.values() if t.value is None and t.rows > accuracy]:
-        _narrow(df, open_targets, accuracy)
+        _narrow(df, open_targets, found or _sketch(df, open_targets, accuracy))
+        found = {}
     for key, (lower, upper, fraction) in pairs.items():
         result[key] = lower.expression() * (1 - fraction) + upper.expression() * fraction
     return result
