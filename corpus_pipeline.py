@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gritsieve.llm.common import find_package, shared_folder, stored, table
 from gritsieve.llm.hamming import near_duplicates
 from gritsieve.llm.langid import UNKNOWN, predict, train
-from gritsieve.llm.segment_bpe import VOCABULARY, decode_documents, encode_documents
+from gritsieve.llm.segment_bpe import VOCABULARY, encode_and_decode
 from gritsieve.llm.templates import contaminated
 
 LEAST_SCORE = 0.3  # below this no language stands out
@@ -54,8 +54,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids (little-endian unsigned 32-bit) and the digest of the text decoded from them."""
-    path = public_tokenizers.path(VOCABULARY)
-    return decode_documents(encode_documents(docs, path), path).select(
+    return encode_and_decode(docs, public_tokenizers.path(VOCABULARY)).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         "ids",

@@ -60,7 +60,7 @@ class Vocabulary:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
-        self.chunks = ChunkIds(self.encode_texts, cased=(b"<|",), limit=300_000)
+        self.chunks = ChunkIds(self.encode_texts, cased=(b"<|",), limit=200_000)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of pairs, and which pairs have one."""
@@ -240,9 +240,27 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
 
 
+def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids, text): the ids of every text and the text decoded from them, in one pass.
+
+    As encode_documents and decode_documents one after the other, with one Python worker a task
+    in place of two that each hold the vocabulary.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for part in slices(batches):
+            ids = vocab.chunks.of_texts(part.column(1).to_pylist())
+            texts = pa.array([vocab.decode(i) for i in ids], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "text"])
+
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, text string")
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, number of ids, and the digests of the ids and of the text decoded from them."""
-    return decode_documents(encode_documents(docs, path), path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
