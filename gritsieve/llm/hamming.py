@@ -24,7 +24,7 @@ CHUNK, ERRORS, CHUNKS = 4, 1, 9
 SYMBOLS = CHUNK * CHUNKS
 WILDCARDS = [c * CHUNK + np.array(kept) for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1  # the largest distance that is sure to share a key
-BLOCK = 256
+BLOCK = 1024
 _RNG = np.random.default_rng(5)
 FACTORS = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
@@ -36,7 +36,7 @@ class WordHashes(dict):
         return h
 
 
-def worker_words(limit: int = 500_000) -> WordHashes:
+def worker_words(limit: int = 200_000) -> WordHashes:
     """The word hashes this worker has computed; begun anew when there are ``limit``."""
     known = worker_cache("word hashes", WordHashes)
     if len(known) > limit:
@@ -144,9 +144,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _links(pairs, sets, group, percent: int) -> list[tuple[int, int]]:
-    """Of pairs (i, j), nearest first, the links that join what ``group`` (a number per row) keeps apart."""
-    group, out = list(group), []
+def _joined(pairs, sets, group, percent: int) -> np.ndarray:
+    """For each row the number of its set, once the links among pairs (i, j), nearest first, have joined what ``group`` keeps apart."""
+    group = list(group)
 
     def top(i: int) -> int:
         while group[i] != i:
@@ -158,8 +158,7 @@ def _links(pairs, sets, group, percent: int) -> list[tuple[int, int]]:
         a, b = top(i), top(j)
         if a != b and linked(sets[i], sets[j], percent):
             group[b] = a
-            out.append((i, j))
-    return out
+    return np.array([top(i) for i in range(len(group))], np.int64)
 
 
 def _against(left: np.ndarray, right: np.ndarray, step: int = 64):
@@ -192,7 +191,7 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bits: int = 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bits: int = 26, block: int = BLOCK) -> DataFrame:
     """at, doc_id, n_shingles, class_at, component_id of every row.
 
     Words are separated by ASCII white space, A-Z in lower case; the set of a text holds its
@@ -212,7 +211,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
        group's largest component against all. A pair that shares a key is thus either in one
        component or confirmed not to be a link.
 
-    No step lists the pairs of a group, and no task holds more than two blocks of one. Nulls and
+    No step lists the pairs of a group, and no task holds more than two blocks (``block`` rows) of one. Nulls and
     texts without words have the empty set and are linked with nothing; null keys are passed
     over for component_id unless a class has no other; repeated keys are separate rows; a text
     of any length is one set; an empty table gives an empty result; other columns are ignored.
@@ -242,7 +241,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["p"][0].as_py())), pa.array(found)], ["p", "x"])
 
     doubtful = edges.join(groups, "p", "left_semi").select("p", "x", "sig", (~F.col("near")).alias("left"))
-    partners = in_groups(_paired(doubtful), ["p", "i", "j"], met, "p long, x long")
+    partners = in_groups(_paired(doubtful, block), ["p", "i", "j"], met, "p long, x long")
     members = stored(edges.where("near").select("p", "x").unionByName(partners).distinct())
     members = members.unionByName(members.select("p", F.col("p").alias("x")).distinct())
     wanted = members.select("x").distinct()
@@ -273,11 +272,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             start = [first[c] for c in component.tolist()]
         else:
             pairs, start = [(i, j) for i, j in _against(sig, sig) if i < j], range(len(x))
-        found = np.array(_links(pairs, values, start, percent), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(x[found[:, 0]]), pa.array(x[found[:, 1]])], ["a", "b"])
+        # every member of a joined set beside its smallest one: stars need few rounds to become components
+        top = _joined(pairs, values, start, percent)
+        number = group["component"].to_numpy() if "side" in group.schema.names else x
+        low = np.full(len(x), np.iinfo(np.int64).max)
+        np.minimum.at(low, top, number)
+        pairs = np.unique(np.stack([low[top], number], 1)[low[top] != number], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     home = members.where("x <> p").groupBy("x").agg(F.min("p").alias("p"))
-    blocks = home.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    blocks = home.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     placed = home.join(blocks, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"))
     placed = placed.unionByName(blocks.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b")))
     links = stored(in_groups(placed.join(whole, "x"), ["p", "b"], compare, "a long, b long"))
@@ -287,8 +291,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     parts = grouped.groupBy("p", "component").count()
     largest = parts.groupBy("p").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     mixed = grouped.join(largest, "p").select("p", "x", "component", (F.col("component") != F.col("largest")).alias("left"))
-    more = in_groups(_paired(mixed).join(whole, "x"), ["p", "i", "j"], compare, "a long, b long")
-    final = components(nodes, links.unionByName(stored(more)))
+    more = in_groups(_paired(mixed, block).join(whole, "x"), ["p", "i", "j"], compare, "a long, b long")
+    between = stored(more.distinct())  # of components, not of members
+    whole_classes = components(between.select(F.col("a").alias("id")).union(between.select("b")).distinct(), between)
+    final = known.join(whole_classes.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    final = final.select("id", F.coalesce("root", "component").alias("component"))
     classes = reps.select("digest", "m", "low").join(final.select(F.col("id").alias("m"), "component"), "m", "left")
     classes = classes.select("digest", "low", F.coalesce("component", "m").alias("class_at"))
     lows = classes.groupBy("class_at").agg(F.min("low").alias("component_id"))

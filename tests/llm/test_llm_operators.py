@@ -152,6 +152,9 @@ def test_token_digests(spark, odd, documents, nothing, tokenizer):
             decoded = tokenizer.decode(ids, skip_special_tokens=False)
             want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         assert sorted(map(tuple, segment_bpe.token_digests(df, PATH).collect()), key=str) == sorted(want, key=str)
+        apart = segment_bpe.decode_documents(segment_bpe.encode_documents(df, PATH), PATH)
+        together = segment_bpe.encode_and_decode(df, PATH)
+        assert sorted(map(tuple, apart.collect()), key=str) == sorted(map(tuple, together.collect()), key=str)
     assert segment_bpe.token_digests(nothing, PATH).count() == 0
 
 
@@ -285,12 +288,12 @@ def test_near_duplicates_against_brute_force(spark):
         words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.choice([3, 20, 60, 150]))]
         rows += [(100 + 50 * group + k, edited(rng, words, rng.choice([0, 0.01, 0.03, 0.06, 0.1]))) for k in range(25)]
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
-    rows += [(10_000 + k, edited(rng, words, 0.12 * rng.random())) for k in range(600)]  # more than a block
+    rows += [(10_000 + k, edited(rng, words, 0.12 * rng.random())) for k in range(600)]  # several blocks
     df = _kept(spark, table_of(spark, rows))
     in_order = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text", F.monotonically_increasing_id().alias("o")).orderBy("o").collect()]
     for size in (2, 5):
         classes, sizes = brute_classes(in_order, size, 80)
-        got = hamming.near_duplicates(df, size=size).orderBy("at").collect()
+        got = hamming.near_duplicates(df, size=size, block=100).orderBy("at").collect()
         assert [r["n_shingles"] for r in got] == sizes
         place = {r["at"]: i for i, r in enumerate(got)}
         assert [place[r["class_at"]] for r in got] == classes
