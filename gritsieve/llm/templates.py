@@ -163,9 +163,10 @@ def contaminated(
     """(doc_id, item_id, covered, n_tokens, changed): the documents that hold a benchmark item's wording.
 
     A document is listed with an item if windows that line up cover ``run`` of the item's
-    tokens or, if that is less, the ``share`` of them. Windows on one diagonal (document place
-    minus item place) must agree on the slots: a value of the item has one counterpart, and two
-    names do not become the same. ``changed`` tells whether a slot holds another value.
+    tokens or, if that is less, the ``share`` of them. Windows whose slots hold the item's own
+    values always count. Those with other values count if all windows on their diagonal (document
+    place minus item place) agree on the slots: a value of the item has one counterpart, and two
+    names do not become the same. ``changed`` tells whether a counted slot holds another value.
 
     The benchmark's window hashes fill a bitmap of 2**bits bits, the only thing broadcast, of a
     size that no table changes; document windows outside it are left where they are, the others
@@ -194,9 +195,12 @@ def contaminated(
         F.transform(F.arrays_zip("template", "item_raw", "doc_raw"), lambda t: F.struct(t["template"].alias("kind"), F.lower(t["item_raw"]).alias("was"), F.lower(t["doc_raw"]).alias("now"))),
         lambda t: t["kind"].isin(NUMBER, UNIT, NAME),
     )
+    covers = F.sequence("item_at", F.col("item_at") + F.col("size") - 1)
+    pairs = pairs.withColumn("slots", slots)
     lined = pairs.groupBy("doc_id", "row", "item_id", "n_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
+        F.flatten(F.collect_set(covers)).alias("places"),
+        F.flatten(F.collect_set(F.when(F.forall("slots", lambda t: t["was"] == t["now"]), covers))).alias("same_places"),
+        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
     )
 
     def of(chosen, *fields: str):
@@ -204,10 +208,14 @@ def contaminated(
 
     names = F.filter("slots", lambda t: t["kind"] == NAME)
     consistent = (of(F.col("slots"), "kind", "was") == F.size("slots")) & (of(names, "now") == F.size(names))
+    lined = lined.withColumn("consistent", consistent).withColumn("places", F.when(F.col("consistent"), F.col("places")).otherwise(F.col("same_places")))
     found = (
-        lined.where(consistent)
+        lined.where(F.size("places") > 0)
         .groupBy("doc_id", "row", "item_id", "n_tokens")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("places"))))).alias("covered"), F.max(F.exists("slots", lambda t: t["was"] != t["now"])).alias("changed"))
+        .agg(
+            F.size(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("places"))))).alias("covered"),
+            F.max(F.col("consistent") & F.exists("slots", lambda t: t["was"] != t["now"])).alias("changed"),
+        )
     )
     found = found.where(F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("n_tokens") * share)))
     best = F.max(F.struct("covered", ~F.col("changed"), "n_tokens"))

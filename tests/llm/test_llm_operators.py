@@ -243,6 +243,15 @@ def test_templates(spark, nothing):
     assert templates.contaminated(table_of(spark, docs), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_verbatim_windows_count_beside_conflicting_slots(spark):
+    tail = "when the old mill by the river was sold to a farmer who grew barley and rye on the wide southern fields"
+    item = f"Founded 2010 by nobody but lost again near 2010 {tail}, said Maria after Pedro had left"
+    docs = [(1, item.replace("near 2010", "near 2011")), (2, item.replace("Pedro", "Maria")), (3, item), (4, item.replace("2010", "2012"))]
+    docs.append((5, "Founded 2010 by nobody but lost again near 2011"))
+    found = templates.contaminated(table_of(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["changed"]) for r in found} == {(1, False), (2, False), (3, False), (4, True)}
+
+
 def test_templates_find_all_verbatim_items(spark):
     folder = "/root/testdata/sf0.01"
     plain = lambda t: " " + " ".join(x.lower() for x in templates.TOKEN.findall(t or "")) + " "
