@@ -9,6 +9,7 @@ question became.
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 from gritsieve.llm.common import bitmap_of, in_bitmap, query, slices, stored, table, worker_cache
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£°]")
+# Scripts written without blanks between words: Thai and Lao, Burmese, Khmer, kana, Han. There a letter with its marks is a token.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3031, 0x3035), (0x303B, 0x303C), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFD))
+_UNSPACED = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+_MARKS = "".join(chr(c) for a, b in UNSPACED if b < 0x10000 for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "M")
+_WORD = rf"[^\W\d_{_UNSPACED}]+"
+TOKEN = re.compile(rf"\d+(?:[.,]\d+)*|{_WORD}(?:['’]{_WORD})*|(?=[^\W\d_])[{_UNSPACED}][{_MARKS}]*|[%€$£°]")
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = (
     "% € $ £ ° mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hz khz mhz kb mb gb tb v w kw kwh j kj cal kcal mph kmh "
@@ -33,41 +39,42 @@ LITERAL_FLAG, NAME_FLAG = 1, 2
 ODD = [int(x) | 1 for x in np.random.default_rng(20).integers(1, 2**63, 64)]
 
 
-def canonical(token: str) -> tuple[str, str]:
-    """A token's template with names kept as words, and with names as slots."""
+def canonical(token: str) -> tuple[str, str, str]:
+    """A token's template with names kept as words, with names as slots, and with slots that keep their value."""
     low = token.lower()
     if token[0].isdecimal() or low in NUMBER_SET:
-        return NUMBER, NUMBER
+        return NUMBER, NUMBER, f"{NUMBER}={low}"
     if low in UNIT_SET:
-        return UNIT, UNIT
-    return low, NAME if token[0].isupper() else low
+        return UNIT, UNIT, f"{UNIT}={low}"
+    return low, NAME if token[0].isupper() else low, low
 
 
 class Codes(dict):
-    """Chunks between white space -> code; tokens of a code with the hashes of both templates."""
+    """Chunks between white space -> code; tokens of a code with the hashes of their templates."""
 
     def __init__(self):
         self.start, self.count = array("q"), array("q")
-        self.plain, self.named, self.flags = array("Q"), array("Q"), array("b")
+        self.plain, self.named, self.exact, self.flags = array("Q"), array("Q"), array("Q"), array("b")
         self.raw: list[str] = []
 
     def __missing__(self, chunk: bytes) -> int:
         code = self[chunk] = len(self.start)
         self.start.append(len(self.raw))
         for token in TOKEN.findall(chunk.decode()):
-            plain, named = canonical(token)
+            plain, named, exact = canonical(token)
             self.raw.append(token)
             self.plain.append(xxhash.xxh3_64_intdigest(plain))
             self.named.append(xxhash.xxh3_64_intdigest(named))
+            self.exact.append(xxhash.xxh3_64_intdigest(exact))
             self.flags.append(LITERAL_FLAG * (plain[0] != "<") | NAME_FLAG * (named == NAME))
         self.count.append(len(self.raw) - self.start[-1])
         return code
 
 
 def worker_codes(limit: int = 300_000) -> Codes:
-    """The codes this worker has met in its tasks; begun anew when there are ``limit``."""
+    """The codes this worker has met in its tasks; begun anew when there are ``limit``, or four times as many tokens."""
     held = worker_cache("templates", lambda: [Codes()])
-    if len(held[0]) > limit:
+    if len(held[0]) > limit or len(held[0].raw) > 4 * limit:
         held[0] = Codes()
     return held[0]
 
@@ -82,11 +89,23 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     return out * np.uint64(ODD[-1])
 
 
+def rolling_at(hashes: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """``rolling(hashes, size)[at]``, without the others if they are many."""
+    if 4 * len(at) > len(hashes):
+        return rolling(hashes, size)[at]
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out += hashes[at + j] * np.uint64(ODD[j])
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(ODD[-1])
+
+
 def windows(texts: list[str | None], codes: Codes, sizes: list[int], literals: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per size and template view: the size, hashes of the windows, their texts' numbers and places, tokens (a column each).
 
     A window needs ``literals`` tokens that are no placeholder (half of a shorter window); the
-    second view has only the windows that hold a name.
+    second view has only the windows that hold a name. The third view has the windows with fewer
+    literal tokens, whose placeholders keep their values: there only the exact wording meets.
     """
     chunks = [(t or "").encode().split() for t in texts]
     flat = np.fromiter(map(codes.__getitem__, (c for ws in chunks for c in ws)), np.int64)
@@ -101,16 +120,17 @@ def windows(texts: list[str | None], codes: Codes, sizes: list[int], literals: i
     flags = np.array(codes.flags, np.int8)[token]
     literal_sums = np.concatenate([[0], np.cumsum(flags & LITERAL_FLAG)])
     name_sums = np.concatenate([[0], np.cumsum((flags & NAME_FLAG) > 0)])
-    plain, named = np.array(codes.plain, np.uint64)[token], np.array(codes.named, np.uint64)[token]
+    plain, named, exact = (np.array(h, np.uint64)[token] for h in (codes.plain, codes.named, codes.exact))
     for size in sizes:
         if len(token) < size:
             continue
         least = min(literals, -(-size // 2))
         inside = of[: len(token) - size + 1] == of[size - 1 :]
         literal, names = literal_sums[size:] - literal_sums[:-size], name_sums[size:] - name_sums[:-size]
-        for hashes, kept in ((plain, inside & (literal >= least)), (named, inside & (names > 0) & (literal - names >= least))):
+        views = ((plain, inside & (literal >= least)), (named, inside & (names > 0) & (literal - names >= least)), (exact, inside & (literal < least)))
+        for hashes, kept in views:
             at = np.flatnonzero(kept)
-            yield size, rolling(hashes, size)[at], of[at], place[at], token, at
+            yield size, rolling_at(hashes, size, at), of[at], place[at], token, at
 
 
 _SCHEMA = "h long, key long, row long, at long, size int, raw array<string>, template array<string>, n_tokens int"
@@ -135,7 +155,7 @@ def _windows(rows: DataFrame, sizes: list[int], literals: int, own_size: int = 0
                 elif size < own_size:
                     hit = np.flatnonzero(np.array(lengths)[of] == size)
                     hashes, of, place, at = hashes[hit], of[hit], place[hit], at[hit]
-                view = n_view % 2
+                view = n_view % 3
                 for i in range(0, len(of), 20_000):
                     part = slice(i, i + 20_000)
                     raw = [[codes.raw[t] for t in token[a : a + size].tolist()] for a in at[part].tolist()]
@@ -173,8 +193,9 @@ def contaminated(
     join the benchmark's windows by hash and salt, so that a passage many documents share is no
     single task, and are compared template by template, so neither bits nor hashes decide.
 
-    Slots are compared without regard to case. Items of fewer than ``size`` tokens are one window of their own length; those of fewer than
-    ``shortest`` tokens are too short to be evidence. Null and empty texts match nothing;
+    Slots are compared without regard to case. Windows of fewer than ``literals`` literal tokens meet
+    only their exact wording. Items of fewer than ``size`` tokens are one window of their own length; those of fewer than
+    ``shortest`` tokens are too short to be evidence. In scripts without blanks a letter is a token. Null and empty texts match nothing;
     rows are judged one by one, and equal keys share the row of best coverage; several items with an equal text are
     listed each; empty tables give an empty result; other columns are ignored.
     """
@@ -192,7 +213,7 @@ def contaminated(
     )
     pairs = left.join(right, ["h", "size", "salt"]).where("template = item_template")
     slots = F.filter(
-        F.transform(F.arrays_zip("template", "item_raw", "doc_raw"), lambda t: F.struct(t["template"].alias("kind"), F.lower(t["item_raw"]).alias("was"), F.lower(t["doc_raw"]).alias("now"))),
+        F.transform(F.arrays_zip("template", "item_raw", "doc_raw"), lambda t: F.struct(F.substring_index(t["template"], "=", 1).alias("kind"), F.lower(t["item_raw"]).alias("was"), F.lower(t["doc_raw"]).alias("now"))),
         lambda t: t["kind"].isin(NUMBER, UNIT, NAME),
     )
     covers = F.sequence("item_at", F.col("item_at") + F.col("size") - 1)

@@ -252,6 +252,21 @@ def test_verbatim_windows_count_beside_conflicting_slots(spark):
     assert {(r["doc_id"], r["changed"]) for r in found} == {(1, False), (2, False), (3, False), (4, True)}
 
 
+def test_wording_of_few_literals_and_without_blanks_is_found(spark):
+    items = [
+        (1, "Calculate 15 + 27 - 8 * 3 + 144 / 12"),
+        (2, "12 kg 7 lb 3 oz 40 g 9 mg"),
+        (3, "中国的首都是哪一座城市请从下面四个选项中选择正确的答案"),
+        (4, "日本で一番高い山の名前は何ですか"),
+        (5, "เมืองหลวงของประเทศไทยคือเมืองอะไร"),
+    ]
+    docs = [(i, f"{'前の文章' if i > 2 else 'before '}{t}{'後' if i > 2 else ' after'}") for i, t in items]
+    docs += [(10, items[0][1].replace("144", "145")), (11, items[1][1].replace("7 lb", "8 lb")), (12, "他们昨天去了河边看见许多白色的鸟"), (13, "เมื่อวานนี้ฝนตกหนักมากในภาคเหนือ")]
+    found = templates.contaminated(table_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["changed"]) for r in found} == {(i, i, False) for i, _ in items}
+    assert templates.TOKEN.findall("ที่ 日本語 don't 3,5 km") == ["ที่", "日", "本", "語", "don't", "3,5", "km"]
+
+
 def test_templates_find_all_verbatim_items(spark):
     folder = "/root/testdata/sf0.01"
     plain = lambda t: " " + " ".join(x.lower() for x in templates.TOKEN.findall(t or "")) + " "
