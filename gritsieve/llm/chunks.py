@@ -11,16 +11,21 @@ from collections.abc import Callable, Iterable
 from itertools import islice
 
 
+# Lead bytes of U+0300 to U+036F. An ASCII letter composes with no other sign, and capitals may lack a composite their
+# small letters have, so texts with these are not folded before they are normalised.
+COMPOSING = (b"\xcc", b"\xcd")
+
+
 class ChunkIds:
     """The ids of chunks as bytes, computed in batches and remembered up to ``limit`` entries.
 
     ``encode`` takes a list of chunks and gives each one's ids as bytes; it must not tell upper
-    from lower ASCII case in texts that hold none of ``cased``. When full, the younger half is
+    from lower ASCII case in texts that hold none of ``cased`` or COMPOSING. When full, the younger half is
     forgotten: chunks met early are the frequent ones.
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], cased: tuple[bytes, ...] = (), limit: int = 800_000):
-        self.encode, self.cased, self.limit = encode, cased, limit
+        self.encode, self.cased, self.limit = encode, (*cased, *COMPOSING), limit
         self.chunks: dict[bytes, bytes] = {}
 
     def _forget(self) -> None:

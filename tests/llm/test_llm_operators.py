@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -135,6 +136,18 @@ def test_both_encoders_agree_with_the_library(tokenizer):
         assert vocabulary.decode(a).decode() == tokenizer.decode(encoded.ids, skip_special_tokens=False)
 
 
+def test_capitals_before_combining_marks(tokenizer):
+    texts = ["J\u030cet", "H\u0331alil", "T\u0308a", "T\u0344a", "W\u030aa", "Y\u030aa", "E\u0301 a\u0328\u0301 K\u0327 \u212b\u0301"]
+    texts += [chr(letter) + mark + "x y" for letter in range(65, 91) for mark in map(chr, range(0x300, 0x370))]
+    vocabulary = segment_bpe.vocabulary(PATH)
+    own, library = vocabulary.chunks.of_texts(texts), planes.library_chunks(PATH).of_texts(texts)
+    for text, a, b, encoded in zip(texts, own, library, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(a, "<u4").tolist() == np.frombuffer(b, "<u4").tolist() == encoded.ids, ascii(text)
+    # no other sign composes with an ASCII letter
+    pairs = [d.split() for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d]
+    assert all(0x300 <= int(b, 16) < 0x370 for a, b in pairs if int(a, 16) < 128)
+
+
 def test_a_small_cache_forgets_without_harm(tokenizer):
     vocabulary = segment_bpe.Vocabulary(PATH)
     vocabulary.chunks.limit = 10
