@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,20 @@ CHUNK, ERRORS, CHUNKS = 4, 1, 9
 SYMBOLS = CHUNK * CHUNKS
 WILDCARDS = [c * CHUNK + np.array(kept) for c in range(CHUNKS) for kept in combinations(range(CHUNK), CHUNK - ERRORS)]
 THRESHOLD = CHUNKS * (ERRORS + 1) - 1  # the largest distance that is sure to share a key
+MISS = 1e-9
 BLOCK = 1024
 _RNG = np.random.default_rng(5)
 FACTORS = _RNG.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _RNG.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
 
 
+def farthest(percent: int, miss: float = MISS) -> int:
+    """The least distance that two sets sharing ``percent`` of their union exceed with a chance of at most ``miss``."""
+    p = percent / 100
+    tail = lambda d: sum(comb(SYMBOLS, k) * (1 - p) ** k * p ** (SYMBOLS - k) for k in range(d + 1, SYMBOLS + 1))
+    return max(THRESHOLD, next(d for d in range(SYMBOLS + 1) if tail(d) <= miss))
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -123,12 +132,12 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
 
-def _mark_near(edges: DataFrame) -> DataFrame:
+def _mark_near(edges: DataFrame, limit: int) -> DataFrame:
     """Edges (x, p, sig, sig_p) -> (x, p, sig, near)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = (_signatures(batch.column(2)) != _signatures(batch.column(3))).sum(1) <= THRESHOLD
+            near = (_signatures(batch.column(2)) != _signatures(batch.column(3))).sum(1) <= limit
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], ["x", "p", "sig", "near"])
 
     return edges.select("x", "p", "sig", "sig_p").mapInArrow(run, "x long, p long, sig binary, near boolean")
@@ -144,8 +153,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _joined(pairs, sets, group, percent: int) -> np.ndarray:
-    """For each row the number of its set, once the links among pairs (i, j), nearest first, have joined what ``group`` keeps apart."""
+def _joined(pairs, sets, group, percent: int, far=()) -> np.ndarray:
+    """For each row the number of its set, once the links among pairs (i, j), nearest first, have joined what ``group`` keeps apart.
+
+    ``far`` has more pairs as (i, array of j); their links are few, so many of one row are counted in one pass.
+    """
     group = list(group)
 
     def top(i: int) -> int:
@@ -158,18 +170,40 @@ def _joined(pairs, sets, group, percent: int) -> np.ndarray:
         a, b = top(i), top(j)
         if a != b and linked(sets[i], sets[j], percent):
             group[b] = a
+    numbers = starts = None
+    sizes = np.array([len(s) for s in sets], np.int64)
+    for i, js in far:
+        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+        mine = top(i)
+        js = [j for j in js[100 * small >= percent * large].tolist() if top(j) != mine]
+        if len(js) >= 32:
+            if numbers is None:
+                numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                starts = np.cumsum(sizes) - sizes
+                marked = np.zeros(int(numbers.max()) + 1, np.int64)
+            own = numbers[starts[i] : starts[i] + sizes[i]]
+            marked[own] = 1
+            shared = np.add.reduceat(marked[numbers], starts)[js]
+            marked[own] = 0
+            js = [j for j, n in zip(js, shared.tolist()) if 100 * n >= percent * (sizes[i] + sizes[j] - n)]
+        for j in js:
+            a, b = top(i), top(j)
+            if a != b and linked(sets[i], sets[j], percent):
+                group[b] = a
     return np.array([top(i) for i in range(len(group))], np.int64)
 
 
-def _against(left: np.ndarray, right: np.ndarray, step: int = 64):
-    """Pairs (i, j) of near signatures, nearest first, without the whole cube of comparisons."""
-    found = []
+def _against(left: np.ndarray, right: np.ndarray, limit: int, step: int = 64):
+    """Pairs (i, j) up to THRESHOLD, nearest first, and those beyond it up to the limit as (i, array of j), without the whole cube of comparisons."""
+    found, far = [], []
     for at in range(0, len(left), step):
         d = _distances(left[at : at + step], right)
         i, j = np.nonzero(d <= THRESHOLD)
         found.append(np.stack([d[i, j], i + at, j]))
+        more = (d > THRESHOLD) & (d <= limit)
+        far.extend((i + at, np.flatnonzero(more[i]).astype(np.int32)) for i in np.flatnonzero(more.any(1)).tolist())
     all_found = np.concatenate(found, 1)
-    return all_found[1:, np.argsort(all_found[0], kind="stable")].T.tolist()
+    return all_found[1:, np.argsort(all_found[0], kind="stable")].T.tolist(), far
 
 
 def _paired(members: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -203,13 +237,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     2. Every key of the multi-index has its smallest representative as pivot, found by a minimum
        with map-side combine; a candidate is an edge (x, pivot). Whatever shares a key shares a
        pivot, so the group of a pivot holds all candidate pairs without their being listed.
-    3. A member stays in a group if some member's signature is within the threshold: the
-       pivot's, or, for members far from the pivot, another one's, compared block by block.
+    3. A member stays in a group if some member's signature is within a limit: the pivot's, or,
+       for members far from the pivot, another one's, compared block by block. A link exceeds
+       the limit with a chance of at most MISS.
     4. Each member is compared in the group of its first pivot, in blocks, on the full sets, and
        found links are joined into components.
     5. Groups that still hold several components are compared exactly: the members outside the
-       group's largest component against all. A pair that shares a key is thus either in one
-       component or confirmed not to be a link.
+       group's largest component against all. A pair that shares a key and is within the limit
+       is thus either in one component or confirmed not to be a link.
 
     No step lists the pairs of a group, and no task holds more than two blocks (``block`` rows) of one. Nulls and
     texts without words have the empty set and are linked with nothing; null keys are passed
@@ -217,7 +252,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     of any length is one set; an empty table gives an empty result; other columns are ignored.
     ``docs`` must be a repeatable read (its rows are numbered).
     """
-    spark = docs.sparkSession
+    spark, limit = docs.sparkSession, farthest(percent)
     rows = numbered(docs, key, text)
     sets = stored(_sets(rows, size))
     by_set = sets.where(F.col("digest").isNotNull()).groupBy("digest")
@@ -227,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     edges = keys.join(pivots, "key").where("m <> p").select(F.col("m").alias("x"), "p").distinct()
     signed = reps.select("m", "sig")
     edges = edges.join(signed.select(F.col("m").alias("x"), "sig"), "x").join(signed.select(F.col("m").alias("p"), F.col("sig").alias("sig_p")), "p")
-    edges = stored(_mark_near(edges))
+    edges = stored(_mark_near(edges, limit))
     groups = edges.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("n > 1 AND far > 0").select("p")
 
     def met(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -236,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         hit = np.zeros(len(left), bool)
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
-            hit[at : at + 64] = ((_distances(sig[part], sig[right]) <= THRESHOLD) & (x[part][:, None] != x[right][None, :])).any(1)
+            hit[at : at + 64] = ((_distances(sig[part], sig[right]) <= limit) & (x[part][:, None] != x[right][None, :])).any(1)
         found = x[left[hit]]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["p"][0].as_py())), pa.array(found)], ["p", "x"])
 
@@ -267,13 +302,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if "side" in group.schema.names:
             side, component = group["side"].to_numpy(), group["component"].to_numpy()
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            pairs = [(left[i], right[j]) for i, j in _against(sig[left], sig[right])]
+            near, far = _against(sig[left], sig[right], limit)
+            pairs, far = [(left[i], right[j]) for i, j in near], [(left[i], right[js]) for i, js in far]
             first = {c: i for i, c in reversed(list(enumerate(component.tolist())))}
             start = [first[c] for c in component.tolist()]
         else:
-            pairs, start = [(i, j) for i, j in _against(sig, sig) if i < j], range(len(x))
+            near, far = _against(sig, sig, limit)
+            pairs, far, start = [(i, j) for i, j in near if i < j], [(i, js[js > i]) for i, js in far], range(len(x))
         # every member of a joined set beside its smallest one: stars need few rounds to become components
-        top = _joined(pairs, values, start, percent)
+        top = _joined(pairs, values, start, percent, far)
         number = group["component"].to_numpy() if "side" in group.schema.names else x
         low = np.full(len(x), np.iinfo(np.int64).max)
         np.minimum.at(low, top, number)

@@ -345,6 +345,24 @@ def test_near_duplicates_of_nothing(nothing):
     assert hamming.near_duplicates(nothing).count() == 0
 
 
+def test_links_beyond_the_threshold_are_found():
+    assert hamming.farthest(80) == 24 and hamming.farthest(100) == hamming.THRESHOLD
+    # linked sets whose signatures differ in 20 symbols, as a pair and in a group, beside a set that is no link
+    rng = np.random.default_rng(3)
+    for n, far_rows in ((2, 1), (90, 40)):
+        base = np.sort(rng.choice(10**9, 200, False)).astype(np.uint64)
+        sets = [base if k < n - far_rows else np.sort(np.concatenate([base[:190], rng.choice(10**9, 3, False).astype(np.uint64)])) for k in range(n)]
+        other = np.sort(rng.choice(10**9, 200, False)).astype(np.uint64)
+        signs = np.stack([hamming.signature(s) for s in (sets[0], *[sets[0]] * (n - 1), other)])
+        for k in range(n - far_rows, n):
+            signs[k, rng.choice(hamming.SYMBOLS, 20, False)] ^= np.uint16(k + 1)
+        signs[n] = signs[0]
+        signs[n, :20] ^= np.uint16(7)
+        near, far = hamming._against(signs, signs, hamming.farthest(80))
+        top = hamming._joined([(i, j) for i, j in near if i < j], [*sets, other], range(n + 1), 80, [(i, js[js > i]) for i, js in far])
+        assert len(set(top[:n].tolist())) == 1 and top[n] not in top[:n]
+
+
 def test_keys_meet_below_the_threshold():
     rng = np.random.default_rng(0)
     for _ in range(300):
