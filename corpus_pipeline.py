@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import find_package, shared_folder, stored, table
+from gritsieve.llm.common import find_package, shared_folder, stored, table, written
 from gritsieve.llm.hamming import near_duplicates
 from gritsieve.llm.langid import UNKNOWN, predict, train
 from gritsieve.llm.segment_bpe import VOCABULARY, encode_and_decode
@@ -41,9 +41,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first row of each class of near copies."""
     (at,) = free_names(docs, "at")
-    found = near_duplicates(docs, size=SHINGLE_WORDS, percent=PERCENT)
+    rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "near_copies")
+    found = near_duplicates(rows, size=SHINGLE_WORDS, percent=PERCENT, at=at)
     copies = stored(found.where("class_at <> at").select(F.col("at").alias(at)))
-    return docs.withColumn(at, F.monotonically_increasing_id()).join(copies, at, "left_anti").drop(at)
+    return rows.join(copies, at, "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as Parquet in a shared folder: whatever is numbered or drawn in them is the same in every later read."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI (file, hdfs, s3, gs), for use inside tasks."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace(":", "://", 1))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import bitmap_of, components, in_bitmap, in_groups, query, slices, stored, table, worker_cache
+from gritsieve.llm.common import bitmap_of, components, in_bitmap, in_groups, query, slices, stored, table, worker_cache, written
 
 CHUNK, ERRORS, CHUNKS = 4, 1, 9
 SYMBOLS = CHUNK * CHUNKS
@@ -221,11 +221,15 @@ def _paired(members: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows as (at, doc_id, text), ``at`` being a row's place in the input."""
-    return docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """The rows as a written table (at, doc_id, text), ``at`` being a row's place in the input.
+
+    The place depends on how the input is split, which may change between reads, so it is taken once.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("at"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return written(rows, "numbered")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bits: int = 26, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bits: int = 26, block: int = BLOCK, at: str | None = None) -> DataFrame:
     """at, doc_id, n_shingles, class_at, component_id of every row.
 
     Words are separated by ASCII white space, A-Z in lower case; the set of a text holds its
@@ -250,10 +254,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     texts without words have the empty set and are linked with nothing; null keys are passed
     over for component_id unless a class has no other; repeated keys are separate rows; a text
     of any length is one set; an empty table gives an empty result; other columns are ignored.
-    ``docs`` must be a repeatable read (its rows are numbered).
+    Rows are numbered once, in a written table; ``at`` names a column of a written table that
+    numbers them already.
     """
     spark, limit = docs.sparkSession, farthest(percent)
-    rows = numbered(docs, key, text)
+    if at is None:
+        rows = numbered(docs, key, text)
+    else:
+        rows = docs.select(F.col(at).alias("at"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = stored(_sets(rows, size))
     by_set = sets.where(F.col("digest").isNotNull()).groupBy("digest")
     reps = stored(by_set.agg(F.min("at").alias("m"), F.min("doc_id").alias("low"), F.first("sig").alias("sig")))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritsieve.llm.common import open_folder, query, shared_folder, slices, stored, table
+from gritsieve.llm.common import open_folder, query, shared_folder, slices, stored, table, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"  # rows carry no capture time; a parameter of the writer
@@ -125,8 +125,8 @@ def write_warc(
     A null html has an empty payload; empty payloads are equal to each other when ``least`` is
     0; a null url leaves the field out; rows with an equal key stay separate records (of equal
     payloads, all rows with the largest key are responses); a null key raises; an empty table
-    writes a manifest without files; other columns are ignored. ``pages`` must be a repeatable
-    read, as a row's place in it tells equal rows apart.
+    writes a manifest without files; other columns are ignored. A row's
+    place in ``pages`` tells equal rows apart; it is taken once, in a written table.
     """
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -135,6 +135,7 @@ def write_warc(
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("at", F.monotonically_increasing_id())
+    rows = written(rows, "numbered")
     marks = revisits(rows, least).select("key", "at", F.lit(0).alias("kind"), F.col("refers_url").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to")
     both = rows.select("key", "at", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(marks)
 

@@ -345,6 +345,30 @@ def test_near_duplicates_of_nothing(nothing):
     assert hamming.near_duplicates(nothing).count() == 0
 
 
+def test_numbers_outlive_another_split_of_the_input(spark):
+    path = shared_folder(spark, "splits")
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=60)), f"u{i}") for i in range(300)]
+    rows += [(300 + i, rows[i][1], f"u{300 + i}") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, url string").coalesce(1).write.option("parquet.block.size", 4096).option("maxRecordsPerFile", 40).parquet(path)
+    setting = "spark.sql.files.openCostInBytes"
+    held = spark.conf.get(setting)
+    docs = spark.read.parquet(path)
+
+    def places(df):
+        return {r["doc_id"]: r["at"] for r in df.select("at", "doc_id").collect()}
+
+    try:
+        table = hamming.numbered(docs)
+        before = places(table)
+        spark.conf.set(setting, str(1 << 40))
+        assert places(docs.withColumn("at", F.monotonically_increasing_id())) != before
+        assert places(table.select("*")) == before
+        assert places(hamming.near_duplicates(table, at="at")) == before
+    finally:
+        spark.conf.set(setting, held)
+
+
 def test_links_beyond_the_threshold_are_found():
     assert hamming.farthest(80) == 24 and hamming.farthest(100) == hamming.THRESHOLD
     # linked sets whose signatures differ in 20 symbols, as a pair and in a group, beside a set that is no link
