@@ -24,6 +24,7 @@ from gritsieve.llm.common import query, slices, stored, table, union, worker_cac
 # letters A-Z lowered, all other ASCII but letters and digits a blank; bytes of other letters stay
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 GRAIN = 1_000_000_000
+VALUE_BITS = 20  # impacts stay below 1,000,000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -37,10 +38,10 @@ def weight_of(n_docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1))) if df else 0
 
 
-def impacts(tf: np.ndarray, n: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
-    """What each posting adds to a score per unit of weight, below 1,000,000."""
-    m = 10 + np.array([90 * int(x) * n_docs // n_terms for x in n], np.int64)
-    return GRAIN * tf // (1000 * tf + 8 * m)
+def impacts(tf: np.ndarray, n: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:
+    """What each posting adds to a score per unit of weight, below 1,000,000; documents of n terms have ``lengths`` postings."""
+    m = np.array([10 + 90 * x * n_docs // n_terms for x in n.tolist()], np.int64)
+    return GRAIN * tf // (1000 * tf + 8 * np.repeat(m, lengths))
 
 
 @dataclass
@@ -70,11 +71,11 @@ class Blocks:
         self.sizes = np.diff(np.r_[self.starts, len(docs)])
         places, lengths = segment.places(docs)
         block = np.repeat(np.repeat(np.arange(len(self.starts)), self.sizes), lengths)
-        keys = block * segment.size + segment.terms[places]
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        self.keys, self.maxima = keys[first], np.maximum.reduceat(segment.values[places][order], first)
+        # a coordinate and its value in one number, so that the last of equal coordinates is the largest
+        packed = np.sort((block * segment.size + segment.terms[places]) << VALUE_BITS | segment.values[places])
+        keys = packed >> VALUE_BITS
+        last = np.flatnonzero(np.r_[keys[1:] != keys[:-1], True])
+        self.keys, self.maxima = keys[last], packed[last] & ((1 << VALUE_BITS) - 1)
         self.size = segment.size
 
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -208,7 +209,7 @@ def ranked(rows: DataFrame, queries: Queries, n_docs: int, n_terms: int, k: int,
             lists, tfs = (pa.concat_arrays(part[c].chunks) for c in ("terms", "tfs"))
             lengths = np.diff(lists.offsets.to_numpy())
             values = tfs.flatten().to_numpy().astype(np.int64)
-            values = impacts(values, np.repeat(part["n"].to_numpy(), lengths), n_docs, n_terms)
+            values = impacts(values, part["n"].to_numpy(), lengths, n_docs, n_terms)
             segment = Segment(lengths, lists.flatten().to_numpy(), values, asked.size, block)
             none = part["doc_id"].is_null().to_numpy()
             ids = part["doc_id"].fill_null(NO_ID).to_numpy()
