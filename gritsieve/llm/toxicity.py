@@ -196,17 +196,17 @@ def train(
     text: str = "text",
     label_key: str = "doc_id",
     label: str = "toxic",
-    prior: float = 10_000.0,
-    least_z: float = 4.0,
+    prior: float = 0.02,
+    least_z: float = 5.0,
     loss: float = 0.25,
     vocabulary: int = 65_536,
 ) -> ToxicModel:
     """A model of all labelled documents outside the held-out fold.
 
-    Words and word beginnings are judged alike, by occurrences: prior counts are ``prior`` times
-    a feature's share of both labels together. A feature is kept if its log-odds by texts are
-    ``least_z`` standard errors above zero, so one text that repeats a word proves nothing; the
-    ``vocabulary`` surest at most, which bounds what reaches the driver and the tasks. Any other
+    Words and word beginnings are judged alike, by occurrences: each label's prior counts are
+    ``prior`` times those of both together. A feature that speaks for the label is kept if
+    the root of its log-likelihood ratio, by texts, is ``least_z``, so one text that repeats a
+    word proves nothing; the ``vocabulary`` surest at most, which bounds what reaches the driver and the tasks. Any other
     word costs ``loss``, so a passage ends where such words are too many. Three quarters of the
     texts, by hash, give the log-odds, one quarter the law's constant and the calibration.
 
@@ -223,15 +223,18 @@ def train(
     if total is None or not total["y1"] or not total["y0"]:
         return model
 
-    def odds(kind: str) -> str:
-        """Log-odds of a feature under the Dirichlet prior; {kind}a are its prior counts."""
-        n1, n0 = float(total[f"{kind}1"]) + prior, float(total[f"{kind}0"]) + prior
-        side = lambda y, n: f"ln(({y} + {kind}a) / ({n!r}D - {y} - {kind}a))"
-        return f"{side(f'{kind}1', n1)} - {side(f'{kind}0', n0)}"
+    def odds(y: str, n: str) -> str:
+        """Log-odds of a feature in a label's words under the Dirichlet prior; a is its prior count."""
+        size = total[n] + prior * (total["y1"] + total["y0"])
+        return f"ln(({y} + a) / ({float(size)!r}D - {y} - a))"
 
-    shares = [f"({k}1 + {k}0) * {prior / (total[f'{k}1'] + total[f'{k}0'])!r}D AS {k}a" for k in "dy"]
-    words = counts.where("word <> ''").selectExpr("*", *shares)
-    words = words.selectExpr("word", f"round({odds('y')}, 2) AS gain", f"({odds('d')}) / sqrt(1 / (d1 + da) + 1 / (d0 + da)) AS z")
+    def surprise(d: str, n: str) -> str:
+        """A label's part of the log-likelihood ratio against a feature that both labels' texts share alike."""
+        share = total[n] / (total["d1"] + total["d0"])
+        return f"if({d} > 0, {d} * ln({d} / ((d1 + d0) * {share!r}D)), 0D)"
+
+    words = counts.where("word <> ''").selectExpr("*", f"(y1 + y0) * {prior!r}D AS a")
+    words = words.selectExpr("word", f"round({odds('y1', 'y1')} - {odds('y0', 'y0')}, 2) AS gain", f"sqrt(2 * greatest(0D, {surprise('d1', 'd1')} + {surprise('d0', 'd0')})) AS z")
     kept = words.where((F.col("gain") > 0) & (F.col("z") >= least_z)).orderBy(F.desc("z"), "word").limit(vocabulary).collect()
     if not kept:
         return model
