@@ -24,6 +24,7 @@ from gritsieve.llm.common import query, slices, stored, table, union, worker_cac
 # letters A-Z lowered, all other ASCII but letters and digits a blank; bytes of other letters stay
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 GRAIN = 1_000_000_000
+HELD = 1 << 21  # coordinates of summaries a task keeps, 16 bytes each
 VALUE_BITS = 20  # impacts stay below 1,000,000
 NO_ID = np.iinfo(np.int64).max
 
@@ -105,9 +106,11 @@ class Segment:
         self.sketch = np.zeros((len(lengths), width), np.float32)
         some = np.flatnonzero(lengths)
         if len(some):
-            self.sketch[some] = np.add.reduceat(signs[self.terms] * values[:, None].astype(np.float32), self.offsets[:-1][some], 0)
+            for w in range(width):
+                self.sketch[some, w] = np.add.reduceat(signs[self.terms, w] * values.astype(np.float32), self.offsets[:-1][some])
         self.sketch /= np.maximum(np.linalg.norm(self.sketch, axis=1, keepdims=True), 1e-9)
         self.built: dict[int, Blocks] = {}
+        self.held = 0
         self.dense = np.zeros(size, np.int64)
 
     def places(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +118,14 @@ class Segment:
         first, lengths = self.offsets[docs], self.offsets[docs + 1] - self.offsets[docs]
         return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum()), lengths
 
-    def blocks(self, term: int) -> Blocks | None:
-        """A list is clustered when the first query has to walk it."""
+    def blocks(self, term: int) -> Blocks:
+        """A list is clustered when a query first has to walk it; summaries beyond HELD coordinates are let go and built again."""
         if term not in self.built:
             docs = self.by_term[self.cuts[term] : self.cuts[term + 1]]
-            self.built[term] = Blocks(docs, self) if len(docs) else None
+            if self.held > HELD:
+                self.built, self.held = {}, 0
+            self.built[term] = Blocks(docs, self)
+            self.held += len(self.built[term].keys)
         return self.built[term]
 
     def scores(self, docs: np.ndarray) -> np.ndarray:
@@ -272,7 +278,7 @@ def rank_documents(
     item_text: str = "text",
     k: int = 10,
     block: int = 16,
-    postings: int = 1 << 20,
+    postings: int = 1 << 18,
     block_bytes: int = 4 << 20,
     block_items: int = 1 << 14,
     seeds: int = 4096,
