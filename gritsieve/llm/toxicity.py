@@ -142,12 +142,17 @@ def logistic(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, ridge: f
     return float(weights[0]), max(0.0, float(weights[1]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label_key: str, label: str) -> DataFrame:
-    """(text, y, part) of the labelled documents outside the held-out fold; part 0 calibrates, the others teach."""
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label_key: str, label: str, sample: int) -> DataFrame:
+    """(text, y, part) of about ``sample`` labelled documents outside the held-out fold; part 0 calibrates, the others teach.
+
+    The labels are drawn by a hash of their key, so they are few enough to travel and no text is shuffled.
+    """
     marks = labels.select(F.col(label_key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
     marks = marks.where(crc_mod(F.col("k"), FOLDS) != HELD).groupBy("k").agg(F.max("y").alias("y"))
+    share = (1 << 30) * sample // max(1, marks.count())
+    marks = marks.where(F.pmod(F.xxhash64("k", F.lit("label")), F.lit(1 << 30)) < share)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return rows.join(marks, "k").select("text", "y", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part"))
+    return rows.join(F.broadcast(marks), "k").select("text", "y", F.pmod(F.xxhash64("text"), F.lit(4)).alias("part"))
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
@@ -200,8 +205,9 @@ def train(
     least_z: float = 5.0,
     loss: float = 0.25,
     vocabulary: int = 65_536,
+    sample: int = 40_000,
 ) -> ToxicModel:
-    """A model of all labelled documents outside the held-out fold.
+    """A model of about ``sample`` labelled documents outside the held-out fold, drawn by hash; all of them, if they are fewer.
 
     Words and word beginnings are judged alike, by occurrences: each label's prior counts are
     ``prior`` times those of both together. A feature that speaks for the label is kept if
@@ -214,7 +220,7 @@ def train(
     1, or without a document are left out. Without labels of both kinds every score is the
     share of marked documents, 0 where there are none.
     """
-    rows = written(labelled(docs, labels, key, text, label_key, label), "labelled")
+    rows = written(labelled(docs, labels, key, text, label_key, label, sample), "labelled")
     teaching = rows.where("part <> 0")
     counts = stored(_feature_counts(teaching))
     total = counts.where("word = ''").first()
