@@ -341,6 +341,19 @@ def covering(counts: DataFrame) -> DataFrame:
     return inside.select("lang", "n", F.expr(_part("at", "m")).alias("phrase")).groupBy("lang", "phrase").agg(F.max("n").alias("longer"))
 
 
+def ranked_by_parts(rows: DataFrame, group: str, name: str, best: list, top: int, part_rows: int = 100_000) -> DataFrame:
+    """The first ``top`` rows of each group with their rank; parts are ranked first, as often as it takes, so no task ranks a large group."""
+    n = rows.count()
+    while n > 2 * part_rows and n > 4 * top:
+        part = F.pmod(F.xxhash64(name), F.lit(n // part_rows))
+        place = F.row_number().over(Window.partitionBy(group, part).orderBy(*best))
+        rows = stored(rows.withColumn("rank", place).where(F.col("rank") <= top).drop("rank"))
+        before, n = n, rows.count()
+        if n > before // 2:  # as many groups as rows: what is left is small in each
+            break
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*best))).where(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, cover: int = 80, top: int = 2000, **how) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to 4 words.
 
@@ -353,13 +366,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     counts = stored(phrase_counts(docs, text, lang, least, **how))
     scored = scored_phrases(counts).join(covering(counts), ["lang", "phrase"], "left")
     covered = F.expr(f"CAST(longer AS DECIMAL(20, 0)) * 100BD >= CAST(a AS DECIMAL(20, 0)) * {int(cover)}BD")
-    kept = stored(scored.where(~F.coalesce(covered, F.lit(False))).drop("longer"))
-    # a language's phrases are ranked in parts first, so no task ranks them all
-    parts = max(1, kept.count() // 100_000)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
-    local = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*best))).where(F.col("rank") <= top)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
+    ranked = ranked_by_parts(stored(scored.where(~F.coalesce(covered, F.lit(False))).drop("longer")), "lang", "phrase", best, top)
     totals = counts.where("len = 0").select("lang", F.col("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
