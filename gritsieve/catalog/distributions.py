@@ -8,6 +8,7 @@ from gritsieve.catalog.base import query
 from gritsieve.catalog.statistics import rounded
 from gritsieve.operators import analyze, clusters, density, histogram, mixture, outliers
 from gritsieve.operators.dbscan import dbscan_labels
+from gritsieve.operators.kmeans1d import exact_kmeans
 from gritsieve.sources.files import read_table
 
 c = F.col
@@ -148,9 +149,21 @@ def dst_12(spark, folder):
     return dbscan_labels(_events(spark, folder).select("event_id", "value"), "value")
 
 
-@query("dst_13")
+@query(
+    "dst_13",
+    # every pair of cuts between the distinct values
+    "WITH v AS (SELECT l_quantity AS x, count(*) AS w FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1), "
+    "p AS (SELECT row_number() OVER (ORDER BY x) AS i, x, sum(w) OVER o AS n, sum(w * x) OVER o AS s, sum(w * x * x) OVER o AS q FROM v WINDOW o AS (ORDER BY x)), "
+    "z AS (SELECT 0 AS i, 0 AS n, 0 AS s, 0 AS q UNION ALL SELECT i, n, s, q FROM p), "
+    "parts AS (SELECT a.i AS lo, b.i AS hi, b.n - a.n AS n, (b.s - a.s) / (b.n - a.n) AS m, (b.q - a.q) - (b.s - a.s) * ((b.s - a.s) / (b.n - a.n)) AS cost FROM z a JOIN z b ON a.i < b.i), "
+    "best AS (SELECT c.lo AS cut1, c.hi AS cut2 FROM parts c JOIN parts l ON l.lo = 0 AND l.hi = c.lo JOIN parts r ON r.lo = c.hi AND r.hi = (SELECT max(i) FROM p) "
+    "ORDER BY round(l.cost + c.cost + r.cost, 6), cut1, cut2 LIMIT 1), "
+    "found AS (SELECT parts.* FROM parts, best WHERE (lo, hi) IN ((0, cut1), (cut1, cut2)) OR (lo = cut2 AND hi = (SELECT max(i) FROM p))) "
+    "SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS INTEGER) AS cluster, round(m, 6) AS center, CAST(found.n AS BIGINT) AS size, CAST(p.x AS DOUBLE) AS upto FROM found JOIN p ON p.i = found.hi",
+)
 def dst_13(spark, folder):
-    return mixture.kmeans_centers(_events(spark, folder), "value")
+    found = exact_kmeans(read_table(spark, folder, "lineitem"), "l_quantity", 3)
+    return found.select("cluster", F.round("center", 6).alias("center"), "size", "upto")
 
 
 @query("dst_14")

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gritsieve.functions.scalars import drop_nan, normal_pdf
 from gritsieve.operators.histogram import GRID, column_values, grid_points, summarise
+from gritsieve.operators.kmeans1d import Cells, exact_kmeans
 from gritsieve.operators.points import distinct_points
-from gritsieve.operators.quantiles import quantile_columns
 
 COMPONENTS = 3
 TOLERANCE = 1e-3
@@ -77,18 +79,81 @@ def _log_sum(logs: list[str]) -> str:
     return f"{top} + ln({' + '.join(f'exp({part} - {top})' for part in logs)})"
 
 
-def _start_shares(k: int, restarts: int) -> list[list[float]]:
-    """The quantile levels whose values start each fit: k even steps, shifted from restart to restart."""
-    return [[(i + (r + 1) / (restarts + 1)) / k for i in range(k)] for r in range(restarts)]
+ROUNDS = 3  # of oversampling
+OVERSAMPLE = 2  # candidates a round, as a multiple of k
 
 
-def _start_centers(values: DataFrame, k: int, restarts: int) -> list[list[float]]:
-    """Exact quantiles of all values; equal ones are one center."""
-    levels = _start_shares(k, restarts)
-    every = sorted({share for shares in levels for share in shares})
-    quantiles = quantile_columns(values, ["x"], every)
-    found = dict(zip(every, values.agg(*[quantiles["x", share].alias(f"q{i}") for i, share in enumerate(every)]).first()))
-    return [sorted({float(found[share]) for share in shares}) for shares in levels]
+def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1] for each value, the same wherever and whenever it is asked for."""
+    z = (x + 0.0).view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53 + 2**-54
+
+
+def _drawn(data: DataFrame, found: list[np.ndarray], size: int, salt: int) -> list[np.ndarray]:
+    """For each start ``size`` values drawn by weight times squared distance to its candidates, in one pass.
+
+    Of values with weights p, those with the least -ln(u) / p are such a draw without repeats.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0)) for _ in found]
+        for batch in batches:
+            x, w = (batch.column(c).to_numpy() for c in ("x", "w"))
+            for r, centers in enumerate(found):
+                if len(centers):
+                    near = np.abs(x[:, None] - centers[None, :]).min(1) if len(x) else x
+                    p = w * near * near
+                else:
+                    p = w
+                some = p > 0
+                keys = np.r_[best[r][0], -np.log(_uniform(x[some], salt + 1000 * r)) / p[some]]
+                values = np.r_[best[r][1], x[some]]
+                order = np.argsort(keys, kind="stable")[:size]
+                best[r] = keys[order], values[order]
+        n = [len(k) for k, _ in best]
+        columns = [np.repeat(np.arange(len(n)), n), np.concatenate([k for k, _ in best]), np.concatenate([v for _, v in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["r", "k", "x"])
+
+    place = F.row_number().over(Window.partitionBy("r").orderBy("k", "x"))
+    rows = data.select("x", "w").mapInArrow(run, "r long, k double, x double").withColumn("place", place).where(F.col("place") <= size)
+    out = [list(c) for c in found]
+    for r in rows.collect():
+        out[r["r"]].append(r["x"])
+    return [np.unique(c) for c in out]
+
+
+def _start_centers(data: DataFrame, k: int, restarts: int) -> list[list[float]]:
+    """Oversampled k-means seeding of each start: some rounds of draws by distance, candidates weighted by what is nearest, k of them best.
+
+    Start r is drawn by hashes of the values and r alone, so a fit with more restarts has all
+    starts of one with fewer, and never a worse score.
+    """
+    found = _drawn(data, [np.zeros(0) for _ in range(restarts)], 1, 1)
+    for salt in range(ROUNDS):
+        found = _drawn(data, found, OVERSAMPLE * k, 2 + salt)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(c)) for c in found]
+        for batch in batches:
+            x, w = (batch.column(c).to_numpy() for c in ("x", "w"))
+            for own, centers in zip(sums, found):
+                own += np.bincount(np.searchsorted((centers[1:] + centers[:-1]) / 2, x), w, len(centers))
+        for r, own in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r)), pa.array(np.arange(len(own))), pa.array(own)], ["r", "i", "w"])
+
+    weights = [np.zeros(len(c)) for c in found]
+    for row in data.select("x", "w").mapInArrow(run, "r long, i long, w double").groupBy("r", "i").agg(F.sum("w").alias("w")).collect():
+        weights[row["r"]][row["i"]] = row["w"]
+    out = []
+    for x, w in zip(found, weights):
+        x, w = x[w > 0], w[w > 0]
+        origin = float(x.mean())
+        cells = Cells(x, x, w, w * (x - origin), w * (x - origin) ** 2)
+        cuts = sorted({a for a in cells.solution(k)[1] if a < len(x)})
+        out.append([float(np.average(x[a:b], weights=w[a:b])) for a, b in zip(cuts, [*cuts[1:], len(x)])])
+    return out
 
 
 def _component_sums(
@@ -135,10 +200,12 @@ def _iterate(
     ``logs_of(n, mean, variance)`` gives each component's weighted log density of x. An
     iteration is one job over the weighted points, shared by all starts that still move, and
     only three sums per component reach the driver, so the plan never grows. A start rests
-    when its mean score per row changes less than the tolerance.
+    when its mean score per row changes less than the tolerance. The score returned is that of
+    the parameters returned.
     """
     states = [sums for sums, _ in _component_sums(data, [], starts, origin)]
     scores: list[float | None] = [None] * len(states)
+    scored = list(states)
     moving = list(range(len(states)))
     for _ in range(max_iter):
         logs = [logs_of(*states[j]) for j in moving]
@@ -146,12 +213,12 @@ def _iterate(
         for j, (sums, score) in zip(moving, _component_sums(data, logs, None, origin)):
             if scores[j] is None or abs(score - scores[j]) >= TOLERANCE * rows:
                 still.append(j)
-            states[j], scores[j] = sums, score
+            scored[j], scores[j], states[j] = states[j], score, sums
         moving = still
         if not moving:
             break
     best = max(range(len(states)), key=lambda j: scores[j])
-    return states[best], scores[best]
+    return scored[best], scores[best]
 
 
 def _normal_logs(rows: int):
@@ -168,7 +235,7 @@ def _fit(df: DataFrame, col: str, k: int, restarts: int, logs_for, max_iter: int
     facts = summarise(values)
     data = distinct_points(values).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return facts, *_iterate(data, _start_centers(values, k, restarts), facts.mean, facts.n, logs_for(facts), max_iter)
+        return facts, *_iterate(data, _start_centers(data, k, restarts), facts.mean, facts.n, logs_for(facts), max_iter)
     finally:
         data.unpersist()
 
@@ -242,8 +309,10 @@ def mixture_labels(df: DataFrame, col: str, k: int = COMPONENTS, out: str = "lab
     return df.withColumn(out, F.when(x.isNotNull(), mixture.label(x)))
 
 
-def kmeans_centers(df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42) -> DataFrame:
-    """(cluster, center) in order of value."""
+def kmeans_centers(df: DataFrame, col: str, k: int = COMPONENTS, seed: int = 42, exact: bool = True) -> DataFrame:
+    """(cluster, center) in order of value: the best k clusters there are, or where one run of MLlib's k-means ends."""
+    if exact:
+        return exact_kmeans(df, col, k).select("cluster", "center")
     values = column_values(df, col)
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(distinct_points(values)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -278,6 +347,8 @@ class _Posterior:
     freedom: np.ndarray
     precision: np.ndarray
     weights: np.ndarray
+    sticks: tuple[np.ndarray, np.ndarray]
+    bounds: tuple[float, ...] = ()  # the evidence lower bound, up to a constant, after each iteration
 
     @staticmethod
     def update(n: np.ndarray, mean: np.ndarray, scatter: np.ndarray, prior_mean: float, prior_variance: float):
@@ -293,26 +364,69 @@ class _Posterior:
         rest = np.append(1.0, np.cumprod(b / (a + b))[:-1])
         weights = a / (a + b) * rest
         return _Posterior(
-            _digamma(a) - both + log_rest, means, variances, freedom, precision, weights / weights.sum()
+            _digamma(a) - both + log_rest, means, variances, freedom, precision, weights / weights.sum(), (a, b)
         )
 
-    def log_parts(self) -> list[str]:
-        """Expected log density of each component, weight included."""
-        fixed = (
+    def fixed(self) -> np.ndarray:
+        """The expected log density of each component, weight included, at its mean."""
+        return (
             self.log_weights
             - 0.5 * np.log(2 * np.pi * self.variances)
             - 0.5 * np.log(self.freedom)
             + 0.5 * (math.log(2) + _digamma(0.5 * self.freedom) - 1 / self.precision)
         )
-        return [_normal_log(*part) for part in zip(fixed, self.means, self.variances)]
+
+    def log_parts(self) -> list[str]:
+        return [_normal_log(*part) for part in zip(self.fixed(), self.means, self.variances)]
+
+    def log_norms(self) -> float:
+        """The bound without its entropy: log normalisers of the sticks, the variances and the means."""
+        a, b = self.sticks
+        half = 0.5 * self.freedom
+        sticks = _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
+        spreads = _log_gamma(half) + half * math.log(2) - half * np.log(self.variances * self.freedom)
+        return float((sticks + spreads - 0.5 * np.log(self.precision)).sum())
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
+
+
+def _entropy(posterior: _Posterior, sums: Sums, score: float) -> float:
+    """-sum of r ln r over all rows, from the sums that the responsibilities r of this posterior gave."""
+    n, mean, variance = sums
+    spread = variance - VARIANCE_FLOOR + (mean - posterior.means) ** 2
+    return score - float((n * (posterior.fixed() - spread / (2 * posterior.variances))).sum())
+
+
+def fit_variational(df: DataFrame, col: str, k: int = COMPONENTS, max_iter: int = 100, tolerance: float = 1e-5) -> _Posterior:
+    """Variational mixture with Dirichlet-process weights; it rests when the bound per row gains less than the tolerance."""
+    values = column_values(df, col)
+    facts = summarise(values)
+    prior = (facts.mean, max(facts.sd**2, VARIANCE_FLOOR))
+    data = distinct_points(values).persist(StorageLevel.MEMORY_AND_DISK)
+    bounds: list[float] = []
+    try:
+        ((sums, _),) = _component_sums(data, [], _start_centers(data, k, 1), facts.mean)
+        posterior = _Posterior.update(*sums, *prior)
+        for _ in range(max_iter):
+            ((sums, score),) = _component_sums(data, [posterior.log_parts()], None, facts.mean)
+            entropy = _entropy(posterior, sums, score)
+            posterior = _Posterior.update(*sums, *prior)
+            bounds.append(entropy + posterior.log_norms())
+            if len(bounds) > 1 and bounds[-1] - bounds[-2] < tolerance * facts.n:
+                break
+    finally:
+        data.unpersist()
+    return replace(posterior, bounds=tuple(bounds))
 
 
-def fit_variational(df: DataFrame, col: str, k: int = COMPONENTS, max_iter: int = 100) -> _Posterior:
-    """Variational mixture with Dirichlet-process weights."""
-    prior = lambda facts: (facts.mean, max(facts.sd**2, VARIANCE_FLOOR))
-    logs_for = lambda facts: lambda *sums: _Posterior.update(*sums, *prior(facts)).log_parts()
-    facts, sums, _ = _fit(df, col, k, 1, logs_for, max_iter)
-    return _Posterior.update(*sums, *prior(facts))
+def bayesian_parameters(df: DataFrame, col: str, k: int = COMPONENTS, **fit) -> DataFrame:
+    """(component, weight, mean, sd, iterations, bound) of the variational mixture in order of the means."""
+    found = fit_variational(df, col, k, **fit)
+    rows = sorted(zip(found.means.tolist(), found.weights.tolist(), np.sqrt(found.variances).tolist()))
+    rows = [(i, w, m, s, len(found.bounds), found.bounds[-1]) for i, (m, w, s) in enumerate(rows)]
+    return df.sparkSession.createDataFrame(rows, "component int, weight double, mean double, sd double, iterations int, bound double")
 
 
 def bayesian_curve(df: DataFrame, col: str, k: int = COMPONENTS, size: int = GRID, **fit) -> DataFrame:

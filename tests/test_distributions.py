@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gritsieve.operators import analyze, clusters, density, histogram, mixture, outliers
+from gritsieve.operators import analyze, clusters, density, histogram, kmeans1d, mixture, outliers
 from gritsieve.operators.dbscan import dbscan_labels
 from gritsieve.sources.synthetic import add_noise, mixture_sample, normal_sample
 
@@ -257,3 +257,125 @@ def test_dbscan_takes_values_of_any_size(spark):
     rows = dbscan_labels(frame(spark, x), "x", eps=0.5, min_samples=2).collect()
     got = sorted((r["x"], r["label"]) for r in rows)
     assert got == [(-1e18, 0), (-1e18, 0), (1.0, 1), (1.2, 1), (1.4, 1), (2.0, -1), *[(1e300, 2)] * 3, *[(float("inf"), -1)] * 2]
+
+
+def test_more_restarts_never_score_lower(spark):
+    rng = np.random.default_rng(6)
+    df = frame(spark, np.concatenate([rng.normal(-4, 1, 300), rng.normal(0, 0.4, 150), rng.exponential(6, 250)]))
+    scores = [mixture.fit_mixture(df, "x", k=4, restarts=r).log_likelihood for r in range(1, 7)]
+    assert all(b >= a - 1e-6 for a, b in zip(scores, scores[1:]))
+
+
+def plain_em(x, centers, rows_tolerance=mixture.TOLERANCE, max_iter=100):
+    own = np.searchsorted((np.array(centers[1:]) + np.array(centers[:-1])) / 2, x)
+    r = np.eye(len(centers))[own]
+    last = None
+    for _ in range(max_iter):
+        n = np.maximum(r.sum(0), 1e-15)
+        mean = r.T @ x / n
+        var = ((x[:, None] - mean) ** 2 * r).sum(0) / n + mixture.VARIANCE_FLOOR
+        logs = np.log(n / len(x)) - 0.5 * np.log(2 * np.pi * var) - (x[:, None] - mean) ** 2 / (2 * var)
+        total = np.logaddexp.reduce(logs, 1)
+        r = np.exp(logs - total[:, None])
+        if last is not None and abs(total.sum() - last) < rows_tolerance * len(x):
+            break
+        last = total.sum()
+    order = np.argsort(mean)
+    return (n / n.sum())[order], mean[order], np.sqrt(var)[order], total.sum()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_mixture_equals_plain_em_from_the_same_starts(sample, k):
+    x = sample.toPandas()["x"].to_numpy()
+    starts = mixture._start_centers(mixture.distinct_points(sample), k, 3)
+    assert all(len(s) == k and s == sorted(s) for s in starts) and (k == 1 or len({tuple(s) for s in starts}) == 3)
+    weights, means, sds, score = max((plain_em(x, s) for s in starts), key=lambda f: f[3])
+    found = mixture.fit_mixture(sample, "x", k, restarts=3)
+    assert np.allclose(found.means, means) and np.allclose(found.weights, weights) and np.allclose(found.sds, sds)
+    assert found.log_likelihood == pytest.approx(score)
+
+
+def test_starts_do_not_depend_on_the_split(spark, sample):
+    one, many = (mixture._start_centers(mixture.distinct_points(sample.repartition(n)), 3, 2) for n in (1, 9))
+    assert np.allclose(one, many)
+
+
+def variational_twin(x, center, iterations):
+    """Responsibilities, posterior and bound written out over rows."""
+    k, o, prior = len(center), x.mean(), max(x.var(ddof=1), mixture.VARIANCE_FLOOR)
+    lgamma = np.vectorize(__import__("math").lgamma)
+    r = np.eye(k)[np.searchsorted((np.array(center[1:]) + np.array(center[:-1])) / 2, x)]
+    bounds = []
+    for step in range(iterations + 1):
+        n = r.sum(0) + 1e-15
+        mean = r.T @ x / n
+        scatter = ((x[:, None] - mean) ** 2 * r).sum(0) / n + mixture.VARIANCE_FLOOR
+        dof, prec = 1 + n, 1 + n
+        m = (o + n * mean) / prec
+        v = (prior + n * (scatter + (mean - o) ** 2 / prec)) / dof
+        a, b = 1 + n, 1 / k + np.array([n[i + 1 :].sum() for i in range(k)])
+        if step:
+            some = r[r > 0]
+            norm = lgamma(a) + lgamma(b) - lgamma(a + b) + lgamma(dof / 2) + dof / 2 * np.log(2) - dof / 2 * np.log(v * dof) - 0.5 * np.log(prec)
+            bounds.append(-(some * np.log(some)).sum() + norm.sum())
+        dg = mixture._digamma
+        log_w = dg(a) - dg(a + b) + np.array([(dg(b) - dg(a + b))[:i].sum() for i in range(k)])
+        logs = log_w - 0.5 * np.log(2 * np.pi * v * dof) + 0.5 * (np.log(2) + dg(dof / 2) - 1 / prec) - (x[:, None] - m) ** 2 / (2 * v)
+        r = np.exp(logs - np.logaddexp.reduce(logs, 1)[:, None])
+    return m, v, bounds
+
+
+@pytest.mark.parametrize("k", [1, 3, 4])
+def test_evidence_bound_rises_and_equals_its_definition(sample, k):
+    found = mixture.fit_variational(sample, "x", k, max_iter=25)
+    bounds = np.array(found.bounds)
+    assert (np.diff(bounds) > -1e-3).all()
+    x = sample.toPandas()["x"].to_numpy()
+    m, v, twin = variational_twin(x, mixture._start_centers(mixture.distinct_points(sample), k, 1)[0], len(bounds))
+    assert np.allclose(bounds, twin, rtol=1e-8) and np.allclose(found.means, m) and np.allclose(found.variances, v)
+    table = mixture.bayesian_parameters(sample, "x", k, max_iter=25).collect()
+    assert {r["bound"] for r in table} == {bounds[-1]} and sum(r["weight"] for r in table) == pytest.approx(1)
+
+
+def least_cost(x, k):
+    """The least sum of squares of at most k clusters of the sorted values, by trying every last cut."""
+    v, w = np.unique(x, return_counts=True)
+    o = v.mean()
+    sums = [np.r_[0, np.cumsum(w * (v - o) ** p)] for p in (0, 1, 2)]
+    best = np.r_[0.0, np.full(len(v), np.inf)]
+    for _ in range(k):
+        nxt = best.copy()
+        for j in range(1, len(v) + 1):
+            i = np.arange(j)
+            n, s, q = (t[j] - t[i] for t in sums)
+            nxt[j] = min(best[j], (best[i] + q - s * s / n).min())
+        best = nxt
+    return best[-1]
+
+
+@pytest.mark.parametrize("kind", ["normal", "parts", "tails", "few", "even"])
+def test_exact_kmeans_equals_brute_force(spark, kind, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = {
+        "normal": rng.normal(size=700),
+        "parts": np.concatenate([rng.normal(-5, 1, 300), rng.normal(5, 0.3, 300), np.full(200, 1.5)]),
+        "tails": np.append(rng.normal(size=400), [1e6, -1e5, 1e6 + 1]),
+        "few": rng.integers(0, 9, 2000).astype(float),
+        "even": np.arange(500.0),
+    }[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
+    scale = ((x - x.mean()) ** 2).sum()
+    monkeypatch.setattr(kmeans1d, "CELLS", 64)  # several rounds
+    for k in (1, 2, 4, 6):
+        found = kmeans1d.exact_kmeans(df, "x", k).orderBy("cluster").collect()
+        assert sum(r["cost"] for r in found) == pytest.approx(least_cost(x, k), abs=1e-8 * scale)
+        own = np.searchsorted([r["upto"] for r in found], x)
+        for i, r in enumerate(found):
+            assert r["size"] == (own == i).sum() and r["center"] == pytest.approx(x[own == i].mean())
+    with_missing = spark.createDataFrame([(2.0,), (None,), (float("nan"),), (2.0,)], "x double")
+    assert [tuple(r) for r in kmeans1d.exact_kmeans(with_missing, "x", 3).collect()] == [(0, 2.0, 2, 2.0, 0.0)]
+
+
+def test_kmeans_of_mllib_is_still_there(sample):
+    found = mixture.kmeans_centers(sample, "x", exact=False).collect()
+    assert len(found) == 3 and found[0]["center"] < found[2]["center"]
