@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType, VariantType
 
 from gritsieve.functions.scalars import drop_nan
+from gritsieve.sources.split_csv import read_split_csv
 
 # Cell texts that mean "missing".
 NA_TEXTS = (
@@ -23,22 +24,25 @@ def csv_column_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_text_csv(
-    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, multi_line: bool = True, number: str | None = None, whole_files: bool = False
 ) -> DataFrame:
-    """Every column as text, missing-value texts as null.
+    """Every column as text, missing-value texts as null; files are cut into ranges that many tasks read.
 
-    A file whose cells may hold line breaks cannot be split; pass ``multi_line=False`` for
-    large files without them, so that one file is read by many tasks.
+    Cells may hold line breaks; ``multi_line=False`` saves the extra scan where none does.
+    ``number`` adds a column with the row's place in the files. ``whole_files`` reads each file by one
+    task with Spark's own reader.
     """
-    reader = spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line})
     if schema is None:
-        names = csv_column_names(spark, path)
         schema = StructType()
-        for name in names:
+        for name in csv_column_names(spark, path):
             schema = schema.add(name, StringType())
-    df = reader.schema(schema).csv(path)
+    if number or (multi_line and not whole_files):
+        df = read_split_csv(spark, path, schema, {"quote": '"', "escape": '"'}, number)
+    else:
+        df = spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line}).schema(schema).csv(path)
+    numbers = [F.col(number)] if number else []
     return df.select(
-        *[F.when(~F.col(f.name).isin(*NA_TEXTS), F.col(f.name)).alias(f.name, metadata=f.metadata) for f in schema]
+        *[F.when(~F.col(f.name).isin(*NA_TEXTS), F.col(f.name)).alias(f.name, metadata=f.metadata) for f in schema], *numbers
     )
 
 
@@ -58,6 +62,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def read_numbered_table(spark: SparkSession, folder: str, name: str, number: str) -> DataFrame:
+    """A Parquet table with each row's place in its files, in the order of their paths.
+
+    One scan counts the rows of each file, a running sum over the files, a row each, says how
+    many lie before it; the place inside a file is the reader's, so numbers do not depend on splits.
+    """
+    df = read_table(spark, folder, name)
+    meta = F.col("_metadata")
+    sizes = df.groupBy(meta["file_path"].alias("__path")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__path", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rows = df.select("*", meta["file_path"].alias("__path"), meta["row_index"].alias("__at"))
+    return rows.join(offsets, "__path").select(*df.columns, (F.col("__before") + F.col("__at")).alias(number))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows by a key over as many tasks as a shuffle has.
 
