@@ -343,7 +343,7 @@ def win_1(spark, folder):
 @query("win_2", "SELECT l_partkey, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY l_partkey) AS BIGINT) AS running FROM lineitem GROUP BY l_partkey")
 def win_2(spark, folder):
     counts = read_table(spark, folder, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    return groups.running_total(counts, "l_partkey", "n", "running")
+    return groups.running_total(counts, "l_partkey", "n", "running", unique=True)
 
 
 _NULLED = "CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey END"

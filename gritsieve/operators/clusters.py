@@ -59,61 +59,98 @@ def _neighbour_bandwidth(cumulative: DataFrame, n: int, quantile: float) -> floa
     return met.agg(F.sum(reach * F.col("w")) / n).first()[0]
 
 
+BLOCK = 4096  # values of a packed block
+CACHED = 1024  # blocks the driver holds at most, 24 bytes a value
+GROUP = 256  # seeds that move together
+
+
 class _Prefixes:
-    """Numbers and sums of all values up to any position, looked up in a sorted, range-partitioned table."""
+    """Numbers and sums of all values up to any position, from packed blocks of a sorted table.
+
+    The driver knows where each block begins and fetches those that a lookup falls into; seeds
+    that hardly move find theirs at hand, so jobs follow the blocks that are new, not the lookups.
+    """
 
-    def __init__(self, cumulative: DataFrame, values_lo: float, n: int):
+    def __init__(self, cumulative: DataFrame, values_lo: float):
         parts = int(cumulative.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.lo, self.n = values_lo, n
-        self.rows = cumulative.select("x", "upto", "sum_upto").repartitionByRange(parts, "x").sortWithinPartitions("x").checkpoint()
-        ranges = self.rows.groupBy(F.spark_partition_id().alias("p")).agg(F.min("x").alias("first")).orderBy("first").collect()
-        self.starts = np.array([r["first"] for r in ranges])
+        self.lo = values_lo
+        rows = cumulative.select("x", "upto", "sum_upto").repartitionByRange(parts, "x").sortWithinPartitions("x")
+
+        def pack(batches):
+            for batch in batches:
+                for at in range(0, len(batch), BLOCK):
+                    columns = [batch.column(i).slice(at, BLOCK).to_numpy() for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array([float(columns[0][0])]), *(pa.array([c.astype("<f8").tobytes()], pa.binary()) for c in columns)], ["first", "x", "n", "s"])
+
+        self.blocks = rows.mapInArrow(pack, "first double, x binary, n binary, s binary").checkpoint()
+        self.firsts = np.sort(self.blocks.select("first").toArrow()["first"].to_numpy())
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def _fetch(self, wanted: np.ndarray) -> None:
+        new = [b for b in wanted.tolist() if b not in self.held]
+        if new:
+            if len(self.held) + len(new) > CACHED:
+                self.held = {b: self.held[b] for b in wanted.tolist() if b in self.held}
+            found = self.blocks.where(F.col("first").isin(self.firsts[new].tolist())).collect()
+            for r in found:
+                at = int(np.searchsorted(self.firsts, r["first"]))
+                self.held[at] = tuple(np.frombuffer(r[c], "<f8") for c in ("x", "n", "s"))
 
     def __call__(self, below: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count and sum of the values in each closed range [below, upto]."""
         bounds = np.concatenate([np.nextafter(below, -np.inf), upto])
-        starts = self.starts
-        owner = np.searchsorted(starts, bounds, "right") - 1
-
-        def run(tables):
-            batches = list(tables)
-            if any(batch.num_rows for batch in batches):
-                table = pa.Table.from_batches(batches)
-                x, n, s = (table[c].to_numpy() for c in ("x", "upto", "sum_upto"))
-                own = np.flatnonzero(owner == np.searchsorted(starts, x[0], "right") - 1)
-                at = np.searchsorted(x, bounds[own], "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[at]), pa.array(s[at])], ["i", "n", "s"])
-
-        found = self.rows.mapInArrow(run, "i long, n double, s double").toArrow()
+        owner = np.searchsorted(self.firsts, bounds, "right") - 1
         n, s = np.zeros(len(bounds)), np.zeros(len(bounds))
-        n[found["i"].to_numpy()], s[found["i"].to_numpy()] = found["n"].to_numpy(), found["s"].to_numpy()
+        wanted = np.unique(owner[owner >= 0])
+        self._fetch(wanted)
+        for b in wanted.tolist():
+            x, upto_n, upto_s = self.held[b]
+            own = np.flatnonzero(owner == b)
+            at = np.searchsorted(x, bounds[own], "right") - 1
+            n[own], s[own] = upto_n[at], upto_s[at]
         half = len(below)
         held = n[half:] - n[:half]
         return held, s[half:] - s[:half] + held * self.lo
 
 
-def _shift_to_means(within: Callable, seeds: np.ndarray, bandwidth: float) -> list[tuple[float, float]]:
-    """(center, values within reach) of a flat-kernel mean shift, strongest first."""
-    for _ in range(300):
-        held, sums = within(seeds - bandwidth, seeds + bandwidth)
-        moved = np.where(held > 0, sums / np.maximum(held, 1e-300), seeds)
-        done = np.abs(moved - seeds).max() < 1e-3 * bandwidth
-        seeds = np.unique(moved)
-        if done:
+def _path(within: Callable, seeds: np.ndarray, bandwidth: float, most: int = 300) -> list[np.ndarray]:
+    """Positions of the seeds shift by shift, until none moves at all."""
+    path = [seeds]
+    for _ in range(most):
+        held, sums = within(path[-1] - bandwidth, path[-1] + bandwidth)
+        moved = np.where(held > 0, sums / np.maximum(held, 1e-300), path[-1])
+        path.append(moved)
+        if (moved == path[-2]).all():
             break
-    held, _ = within(seeds - bandwidth, seeds + bandwidth)
+    return path
+
+
+def _shift_to_means(within: Callable, seeds: np.ndarray, bandwidth: float) -> list[tuple[float, float]]:
+    """(center, values within reach) of a flat-kernel mean shift, strongest first.
+
+    Seeds do not meet, so neighbours move in groups; all stop at the first shift in which none
+    of them moved by a thousandth of the bandwidth.
+    """
+    paths = [_path(within, seeds[at : at + GROUP], bandwidth) for at in range(0, len(seeds), GROUP)]
+    longest = max(map(len, paths))
+    at = lambda p, t: p[min(t, len(p) - 1)]
+    stop = next((t for t in range(1, longest) if all(np.abs(at(p, t) - at(p, t - 1)).max() < 1e-3 * bandwidth for p in paths)), longest - 1)
+    seeds = np.unique(np.concatenate([at(p, stop) for p in paths]))
+    held = np.concatenate([within(s - bandwidth, s + bandwidth)[0] for s in np.split(seeds, range(GROUP, len(seeds), GROUP))])
     kept: list[tuple[float, float]] = []
-    for strength, center in sorted(zip(held, seeds), reverse=True):
-        if strength > 0 and all(abs(center - other) > bandwidth for other, _ in kept):
-            kept.append((float(center), float(strength)))
+    centers = np.zeros(0)
+    for strength, center in sorted(zip(held.tolist(), seeds.tolist()), reverse=True):
+        if strength > 0 and (np.abs(centers - center) > bandwidth).all():
+            kept.append((center, strength))
+            centers = np.append(centers, center)
     return kept
 
 
 def mean_shift_centers(df: DataFrame, col: str, quantile: float = 0.2) -> DataFrame:
     """(center, n_within, bandwidth): strongest centers first removed of weaker ones.
 
-    Bandwidth, means and counts are those of all rows. Each step looks up the ranges of all
-    seeds in one pass over the distinct values' running counts and sums. Seeds are the occupied
+    Bandwidth, means and counts are those of all rows, looked up in the distinct values'
+    running counts and sums. Seeds are the occupied
     cells of one bandwidth; as the bandwidth is the mean reach to a fifth of all rows, there are
     fewer than 3 times the square root of the rows.
     """
@@ -122,15 +159,15 @@ def mean_shift_centers(df: DataFrame, col: str, quantile: float = 0.2) -> DataFr
     values = column_values(df, col)
     facts = summarise(values)
     counts = values.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("w")).checkpoint()
-    upto = running_total(counts, "x", "w", "upto").withColumn("gap", (F.col("x") - facts.lo) * F.col("w"))
-    cumulative = running_total(upto, "x", "gap", "sum_upto").drop("gap").checkpoint()
+    upto = running_total(counts, "x", "w", "upto", unique=True).withColumn("gap", (F.col("x") - facts.lo) * F.col("w"))
+    cumulative = running_total(upto, "x", "gap", "sum_upto", unique=True).drop("gap").checkpoint()
     bandwidth = _neighbour_bandwidth(cumulative, facts.n, quantile)
     if bandwidth <= 0:
         found = [(facts.lo, float(facts.n))]
     else:
         cells = counts.groupBy(F.round(F.col("x") / bandwidth).alias("cell")).count().orderBy("cell").collect()
         seeds = np.array([r["cell"] for r in cells]) * bandwidth
-        found = _shift_to_means(_Prefixes(cumulative, facts.lo, facts.n), seeds, bandwidth)
+        found = _shift_to_means(_Prefixes(cumulative, facts.lo), seeds, bandwidth)
     rows = [(c, int(n), bandwidth) for c, n in sorted(found)]
     return spark.createDataFrame(rows, "center double, n_within bigint, bandwidth double")
 

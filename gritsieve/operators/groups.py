@@ -134,16 +134,21 @@ def position_in_group(
 
 
 def running_total(
-    df: DataFrame, order: str, value: str, out: str = "running_total"
+    df: DataFrame, order: str, value: str, out: str = "running_total", unique: bool = False
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to the row's numeric ``order``, ties included.
 
+    With ``unique`` no order comes twice, as after an aggregate by it: one exchange by ranges
+    of the order cuts the rows into blocks and nothing has to be put back.
+
     Values are summed by order first, so ties are one entry; entries are cut at approximate
     quantiles into blocks, whose sums alone are accumulated in one task; rows get their total
     by a lookup that no order can skew. Rows without an order have no total. The input is read
     more than once, so it is checkpointed first.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    if unique:
+        return _running_total_of_entries(df, order, value, out)
     rows = df.checkpoint()
     entries = rows.where(F.col(order).isNotNull()).groupBy(order).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
     entries = blocks_of(entries.checkpoint(), order)
@@ -159,6 +164,20 @@ def running_total(
     return lookup(rows, totals, [order], [out], "__rows", nulls_equal=False)
 
 
+def _running_total_of_entries(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """Blocks are the partitions of a range exchange, kept in a checkpoint so that both readers see the same."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, order).withColumn("__block", F.spark_partition_id()).checkpoint()
+    counted = F.when(F.col(order).isNotNull(), F.col(value))
+    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__block").agg(F.sum(counted).alias("__total"))
+    before = before.select("__block", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__before"))
+    totals = rows.withColumn("__inside", F.sum(counted).over(inside)).join(before, "__block")
+    total = F.when(F.col(order).isNotNull(), F.coalesce(F.col("__inside"), F.lit(0)) + F.col("__before"))
+    return totals.select(*df.columns, total.alias(out))
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], best: Sequence[Column]) -> DataFrame:
     """The first row of each group by ``best``; with rank 1 only, Spark prunes before the shuffle."""
     rank = Window.partitionBy(*keys).orderBy(*best)

@@ -67,7 +67,7 @@ def list_length_distribution(df: DataFrame, items: str, above: int = 1) -> DataF
         .groupBy("n_items")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    return running_total(counts, "n_items", "count", "running")
+    return running_total(counts, "n_items", "count", "running", unique=True)
 
 
 def list_length_range(df: DataFrame, items: str) -> DataFrame:

@@ -260,3 +260,15 @@ def test_running_total_with_a_far_order(spark):
     rows = groups.running_total(df, "o", "v").collect()
     assert len(rows) == 20_000
     assert all(r["running_total"] == (20_000 if r["o"] > 10**6 else 2 * r["o"] + 1) for r in rows)
+
+
+def test_running_total_of_unique_orders(spark):
+    rows = [(i, i * i % 13) for i in range(500)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "o long, v long").repartition(4)
+    found = {r["o"]: r["t"] for r in groups.running_total(df, "o", "v", "t", unique=True).collect()}
+    total, want = 0, {None: None}
+    for o, v in rows[:500]:
+        total += v
+        want[o] = total
+    assert found == want
+    assert groups.running_total(df.limit(0), "o", "v", unique=True).collect() == []
