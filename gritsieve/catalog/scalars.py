@@ -19,6 +19,7 @@ from gritsieve.catalog.base import (
     records_sql,
     string_sql,
 )
+from gritsieve.functions.binding import bind
 from gritsieve.functions import nested, scalars, text
 from gritsieve.operators.analyze import analyze, register_analysis
 from gritsieve.operators.quality import columns_within, detect_types
@@ -222,7 +223,7 @@ def jsn_6(spark, folder):
 
 _messy_query("jsn_7", "info", nested.is_dict, f"({dict_sql('info')} IS NOT NULL)")
 _messy_query(
-    "jsn_8", "items", lambda x: F.when(nested.is_records(x), F.size(nested.extract_records(x))).cast("bigint"),
+    "jsn_8", "items", lambda x: bind(nested.extract_records(x), lambda rows: F.when(rows.isNotNull(), F.size(rows))).cast("bigint"),
     f"CAST(json_array_length({records_sql('items')}) AS BIGINT)",
 )
 _messy_query("jsn_9", "items", nested.is_records, f"({records_sql('items')} IS NOT NULL)")

@@ -23,18 +23,22 @@ DICT_SCHEMA = "struct<v:array<map<string,string>>,e:int>"
 LIST_SCHEMA = "struct<v:array<array<string>>,e:int>"
 
 
-def _outside_quotes(c: Column, pattern: str, replacement: str) -> Column:
-    """Replace a pattern everywhere but inside quoted text; ``$2`` is the pattern's first group."""
+def _outside_quotes(c: Column, pattern: str, replacement: str, sign: str) -> Column:
+    """Replace a pattern everywhere but inside quoted text; ``$2`` is the pattern's first group.
+
+    Only texts in which a plain search finds ``sign``, without which the pattern cannot match, are walked.
+    """
     quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
-    return F.regexp_replace(c, rf"""\G((?:{quoted}|(?!{pattern})[^'"])*+){pattern}""", "$1" + replacement)
+    walked = rf"""(?:\A(?=(?s:.*?){sign})|(?!\A)\G)"""
+    return F.regexp_replace(c, rf"""{walked}((?:{quoted}|(?!{pattern})[^'"])*+){pattern}""", "$1" + replacement)
 
 
 def literal_to_json(c: Column) -> Column:
     """Python's notation of lists and dicts as JSON: None, True, False, number keys, a last comma, joined texts, ``\\xNN``."""
     for word, token in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = F.when(c.contains(word), _outside_quotes(c, rf"\b{word}\b", token)).otherwise(c)
-    c = _outside_quotes(c, r",\s*(?=[}\]])", "")
-    c = _outside_quotes(c, r"(?<=[{,])\s*(-?\d+(?:\.\d+)?)\s*(?=:)", '"$2"')
+        c = _outside_quotes(c, rf"\b{word}\b", token, word)
+    c = _outside_quotes(c, r",\s*(?=[}\]])", "", r",\s*[}\]]")
+    c = _outside_quotes(c, r"(?<=[{,])\s*(-?\d+(?:\.\d+)?)\s*(?=:)", '"$2"', r"\d\s*:")
     c = F.regexp_replace(c, r"(?<=[^\s\[{,:\\])''(?=[^\s,:\]}])", "")
     return F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
 
@@ -64,8 +68,8 @@ def _parse(c: Column, opening: str, schema: str) -> Column:
     """Parse the stripped text as it is, else in Python's notation, else with its inner apostrophes repaired."""
 
     def read(s: Column) -> Column:
-        tries = (s, literal_to_json(s), literal_to_json(escape_inner_apostrophes(s)))
-        return F.when(s.rlike(rf"^{opening}"), F.coalesce(*[_parse_one(t, schema) for t in tries]))
+        repaired = F.when(s.rlike(r"(?U)\w'\w"), _parse_one(literal_to_json(escape_inner_apostrophes(s)), schema))
+        return F.when(s.rlike(rf"^{opening}"), F.coalesce(_parse_one(s, schema), _parse_one(literal_to_json(s), schema), repaired))
 
     return bind(strip(c), read)
 

@@ -31,8 +31,9 @@ def _running_extremes(df: DataFrame, order: list[str], up: list[str], down: list
     earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
     beyond = block.select("__block", *[F.max(f"__{c}").over(earlier).alias(f"__{c}") for c in up], *[F.min(f"__{c}").over(later).alias(f"__{c}") for c in down])
-    inside = Window.partitionBy("__block").orderBy(*order)
-    before, after = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    # both frames grow row by row: one that shrinks to the end of its block is computed anew for every row
+    growing = lambda by: Window.partitionBy("__block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = growing(order), growing([F.desc(c) for c in order])
     rows = rows.withColumns({c: F.max(c).over(before) for c in up} | {c: F.min(c).over(after) for c in down}).join(beyond, "__block")
     merged = {c: F.greatest(c, f"__{c}") for c in up} | {c: F.least(c, f"__{c}") for c in down}
     return rows.withColumns(merged).select(*df.columns)

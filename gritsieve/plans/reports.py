@@ -61,12 +61,8 @@ def with_list_length(df: DataFrame, items: str, out: str = "n_items") -> DataFra
 
 def list_length_distribution(df: DataFrame, items: str, above: int = 1) -> DataFrame:
     """(n_items, count, running): how many rows have each length above a bound, and up to it."""
-    counts = (
-        with_list_length(df.select(items), items)
-        .where(F.col("n_items") > above)
-        .groupBy("n_items")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    # lengths are filtered when counted: a filter below the aggregate would parse every list twice
+    counts = with_list_length(df.select(items), items).groupBy("n_items").agg(F.count(F.lit(1)).alias("count")).where(F.col("n_items") > above)
     return running_total(counts, "n_items", "count", "running", unique=True)
 
 
