@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gritsieve.catalog.base import date_sql, json_sql, messy, over_messy, query
+from gritsieve.catalog.base import ORACLES
 from gritsieve.functions.scalars import release_month
+from gritsieve.functions.sql import quoted, register_functions
 from gritsieve.plans import reports
+from gritsieve.sources.files import text_view
 
 c = F.col
 
@@ -86,3 +89,33 @@ def qry_5(spark, folder):
     return found.select(
         "month", F.get_json_object("item", "$.id").alias("id"), F.get_json_object("item", "$.name").alias("name"), "item_count"
     )
+
+
+def _asked(spark, folder, sql: str):
+    """A question in SQL text over the raw view."""
+    register_functions(spark)
+    text_view(messy(spark, folder), "raw_text")
+    return spark.sql(sql)
+
+
+@query("qry_3_sql", ORACLES["qry_3"])
+def qry_3_sql(spark, folder):
+    return _asked(
+        spark,
+        folder,
+        "SELECT get_json_object(item, '$.id') AS id, get_json_object(item, '$.name') AS name, CAST(round(avg(amount)) AS BIGINT) AS average "
+        "FROM (SELECT item, to_amount(revenue) AS amount FROM raw_text, LATERAL list_items(items) "
+        f"WHERE revenue RLIKE {quoted(reports.AMOUNT_TEXT)}) GROUP BY item",
+    )
+
+
+@query("qry_5_sql", ORACLES["qry_5"])
+def qry_5_sql(spark, folder):
+    return _asked(
+        spark,
+        folder,
+        "WITH named AS (SELECT month(extract_ymd_datetime(day)) AS month, item FROM raw_text, LATERAL list_items(items)), "
+        "counts AS (SELECT CAST(month AS BIGINT) AS month, item, count(*) AS item_count FROM named WHERE month IS NOT NULL GROUP BY ALL) "
+        "SELECT month, get_json_object(item, '$.id') AS id, get_json_object(item, '$.name') AS name, item_count "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY item_count DESC, item) AS place FROM counts) WHERE place = 1",
+    )

@@ -23,24 +23,32 @@ DICT_SCHEMA = "struct<v:array<map<string,string>>,e:int>"
 LIST_SCHEMA = "struct<v:array<array<string>>,e:int>"
 
 
-def _outside_quotes(c: Column, pattern: str, replacement: str, sign: str) -> Column:
-    """Replace a pattern everywhere but inside quoted text; ``$2`` is the pattern's first group.
+def _outside_quotes(pattern: str, replacement: str, sign: str) -> tuple[str, str]:
+    """Pattern and replacement that leave quoted text alone; ``$2`` is the pattern's first group.
 
     Only texts in which a plain search finds ``sign``, without which the pattern cannot match, are walked.
     """
     quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
     walked = rf"""(?:\A(?=(?s:.*?){sign})|(?!\A)\G)"""
-    return F.regexp_replace(c, rf"""{walked}((?:{quoted}|(?!{pattern})[^'"])*+){pattern}""", "$1" + replacement)
+    return rf"""{walked}((?:{quoted}|(?!{pattern})[^'"])*+){pattern}""", "$1" + replacement
+
+
+# From Python's notation of lists and dicts to JSON, step by step.
+LITERAL_REWRITES = (
+    *(_outside_quotes(rf"\b{word}\b", token, word) for word, token in (("None", "null"), ("True", "true"), ("False", "false"))),
+    _outside_quotes(r",\s*(?=[}\]])", "", r",\s*[}\]]"),
+    _outside_quotes(r"(?<=[{,])\s*(-?\d+(?:\.\d+)?)\s*(?=:)", '"$2"', r"\d\s*:"),
+    (r"(?<=[^\s\[{,:\\])''(?=[^\s,:\]}])", ""),
+    (r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2"),
+)
+INNER_APOSTROPHE = r"(?U)'(?=\w)(?<=\w')"
 
 
 def literal_to_json(c: Column) -> Column:
     """Python's notation of lists and dicts as JSON: None, True, False, number keys, a last comma, joined texts, ``\\xNN``."""
-    for word, token in (("None", "null"), ("True", "true"), ("False", "false")):
-        c = _outside_quotes(c, rf"\b{word}\b", token, word)
-    c = _outside_quotes(c, r",\s*(?=[}\]])", "", r",\s*[}\]]")
-    c = _outside_quotes(c, r"(?<=[{,])\s*(-?\d+(?:\.\d+)?)\s*(?=:)", '"$2"', r"\d\s*:")
-    c = F.regexp_replace(c, r"(?<=[^\s\[{,:\\])''(?=[^\s,:\]}])", "")
-    return F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    for pattern, replacement in LITERAL_REWRITES:
+        c = F.regexp_replace(c, pattern, replacement)
+    return c
 
 
 def escape_inner_apostrophes(c: Column) -> Column:
@@ -49,7 +57,7 @@ def escape_inner_apostrophes(c: Column) -> Column:
     Text that needs no repair keeps its meaning: a quoting apostrophe has punctuation or a
     blank on one side, and within double quotes the escape stands for the same character.
     """
-    return F.regexp_replace(c, r"(?U)'(?=\w)(?<=\w')", r"\\u0027")
+    return F.regexp_replace(c, INNER_APOSTROPHE, r"\\u0027")
 
 
 def _parse_one(c: Column, schema: str) -> Column:
