@@ -73,36 +73,37 @@ def top_k(
 
     Vectors that are null or hold null or non-finite components take no part; shorter vectors
     count as padded with zeros; of rows with an equal key each is a candidate of the others'
-    queries, none of its own key; scores beyond 64 bits stop at the limits of long. Empty
+    queries, none of its own key, and each of their different vectors is a query of its own; scores beyond 64 bits stop at the limits of long. Empty
     tables give no rows; other columns are ignored.
     """
     rows = quantised(vectors, key, vector, scale)
-    queries = stored(rows.where(F.col("id") % every == 0).dropDuplicates(["id"]))
+    queries = stored(rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"]).withColumn("q", F.monotonically_increasing_id()))
     n_blocks = -(-max(1, queries.count()) // block)
-    queries = queries.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    queries = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
     spark, parts = vectors.sparkSession, []
     for b in range(n_blocks):
-        chosen = queries.where(F.col("b") == b).select("id", "v").toArrow()
+        chosen = queries.where(F.col("b") == b).select("q", "id", "v").toArrow()
         values, lengths = _matrix(pa.concat_arrays(chosen["v"].chunks) if chosen.num_rows else pa.array([], pa.list_(pa.int64())))
-        sent = spark.sparkContext.broadcast((chosen["id"].to_numpy(), np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []))
+        sent = spark.sparkContext.broadcast((chosen["q"].to_numpy(), chosen["id"].to_numpy(), np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []))
 
         def partial(batches, sent=sent):
-            own, vectors = sent.value
+            numbers, own, vectors = sent.value
             for batch in batches:
                 ids = batch.column("id").to_numpy()
                 lists = postings(*_matrix(batch.column("v")))
-                scores_of, ids_of, query_of = [], [], []
-                for o, scores in zip(own, accumulate(vectors, lists, len(ids))):
+                scores_of, ids_of, query_of, number_of = [], [], [], []
+                for q, o, scores in zip(numbers, own, accumulate(vectors, lists, len(ids))):
                     at = select(scores, ids, o, k)
                     query_of.append(np.full(len(at), o))
+                    number_of.append(np.full(len(at), q))
                     ids_of.append(ids[at])
                     scores_of.append(scores[at])
                 if ids_of:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (query_of, ids_of, scores_of)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (number_of, query_of, ids_of, scores_of)], ["q", "query_id", "vec_id", "score"])
 
-        best = rows.mapInArrow(partial, "query_id long, vec_id long, score long")
+        best = rows.mapInArrow(partial, "q long, query_id long, vec_id long, score long")
         parts.append(best if n_blocks == 1 else stored(best))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return union(parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
-from gritsieve.llm import collocations, lexical, toxicity
+from gritsieve.llm import collocations, langid, lexical, topk, toxicity
 from gritsieve.llm.common import find_package
 
 FOLDER = "/root/testdata/sf0.01"
@@ -280,3 +280,20 @@ def test_toxicity_of_held_out_documents(spark):
     rows = told.join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").where("held_out").collect()
     hits = sum(r["predicted"] == r["toxic"] for r in rows)
     assert hits >= 0.93 * len(rows)
+
+
+def test_each_vector_of_a_repeated_query_id_is_answered(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [5.0, 1.0]), (3, [0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (1, 4096):
+        found = sorted(map(tuple, topk.top_k(df, k=2, block=block).collect()))
+        first, second = [(100, 1, 2, 5 * 1024**2), (100, 2, 1, 2 * 1024**2)], [(100, 1, 1, 3 * 1024**2), (100, 2, 2, 1024**2)]
+        assert found == sorted(first + second)
+
+
+def test_a_row_without_key_is_not_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "ein text", "de", "s", 8), (5, None, "en", "s", 0), (6, "some text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = entry_module.queries()["op3_byte_cnn"](spark, str(tmp_path)).collect()
+    assert len(found) == 3 and all(r["held_out"] in (True, False) for r in found)
+    assert not next(r["held_out"] for r in found if r["doc_id"] is None)
