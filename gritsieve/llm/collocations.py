@@ -246,7 +246,7 @@ def packed_suffixes(texts: DataFrame, heavy: dict[str, set[bytes]], pieces: int)
 COUNTED = "lang string, phrase string, len int, n long"
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, share: float = 1 / 4096, sample_bytes: int = 16 << 20, piece_bytes: int = 8 << 20, run_rows: int = 1 << 21) -> DataFrame:
+def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, share: float = 1 / 4096, sample_bytes: int = 16 << 20, piece_bytes: int = 4 << 20, run_rows: int = 1 << 21) -> DataFrame:
     """(lang, phrase, len, n): all phrases of 1 to 4 words with at least ``least`` occurrences, and, as the empty phrase, all words.
 
     A task holds about ``piece_bytes`` of text as suffixes at a time. Suffixes under a prefix
