@@ -176,6 +176,11 @@ def dst_15(spark, folder):
     return clusters.ward_labels(_events(spark, folder), "value")
 
 
+@query("dst_15_tree")
+def dst_15_tree(spark, folder):
+    return clusters.ward_tree(_events(spark, folder), "value")
+
+
 @query("dst_16")
 def dst_16(spark, folder):
     return outliers.isolation_labels(_events(spark, folder), "value")

@@ -187,6 +187,7 @@ class _Chain:
         self.lo, self.hi, self.n, self.mean = (pieces[:, i].tolist() for i in range(4))
         size = len(self.n)
         self.left, self.right = list(range(-1, size - 1)), [*range(1, size), -1]
+        self.height = pieces[:, 4].tolist() if pieces.shape[1] > 4 else [0.0] * size
         self.first, self.last = first, last
         self.alive = [True] * size
 
@@ -202,8 +203,12 @@ class _Chain:
             return False
         return (before < 0 or self.cost(before) > cost) and (after < 0 or self.cost(j) >= cost)
 
-    def merge(self, keep: int) -> list[tuple[float, float]]:
-        """Merge all decided pairs; the ``keep`` dearest merges as (cost, border)."""
+    def merge(self, keep: int, log: list[tuple] | None = None) -> list[tuple[float, float]]:
+        """Merge all decided pairs; the ``keep`` dearest merges as (cost, border).
+
+        ``log`` takes every merge as (lo, hi, n, mean, height, border, beyond): the new cluster, the dearest
+        cost in it, the highest value of its left part and the lowest of its right part.
+        """
         dearest: list[tuple[float, float]] = []
         heap = [(self.cost(i), i, self.right[i]) for i in range(len(self.n) - 1)]
         heapify(heap)
@@ -215,6 +220,9 @@ class _Chain:
                 (heappush if len(dearest) < keep else heappushpop)(dearest, (cost, self.hi[i]))
             total = self.n[i] + self.n[j]
             self.mean[i] = (self.n[i] * self.mean[i] + self.n[j] * self.mean[j]) / total
+            if log is not None:
+                self.height[i] = max(cost, self.height[i], self.height[j])
+                log.append((self.lo[i], self.hi[j], total, self.mean[i], self.height[i], self.hi[i], self.lo[j]))
             self.n[i], self.hi[i], self.right[i], self.alive[j] = total, self.hi[j], self.right[j], False
             if self.right[i] >= 0:
                 self.left[self.right[i]] = i
@@ -232,6 +240,9 @@ class _Chain:
     def rest(self) -> list[tuple]:
         return [(self.lo[i], self.hi[i], self.n[i], self.mean[i]) for i in range(len(self.n)) if self.alive[i]]
 
+    def rest_with_height(self) -> list[tuple]:
+        return [(*piece, h) for piece, h in zip(self.rest(), (h for h, a in zip(self.height, self.alive) if a))]
+
 
 def _ward_cuts(values: DataFrame, k: int, fan_in: int = 16) -> list[float]:
     """Upper borders of all but the last of k Ward clusters of the column ``x``.
@@ -289,6 +300,78 @@ def ward_labels(df: DataFrame, col: str, k: int = 3, out: str = "label") -> Data
     return df.withColumn(out, F.when(x.isNotNull(), label))
 
 
+_BRANCH = "lo double, hi double, n double, mean double, height double, border double, beyond double"
+_BRANCH_SCHEMA = pa.schema([(part.split()[0], pa.float64()) for part in _BRANCH.split(", ")])
+
+
+def _numbered_in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Rows numbered from 0 by a total order: a range exchange, then the sizes of the ranges before."""
+    ordered = df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()).checkpoint()
+    rows = ordered.withColumn("__range", F.shiftright("__place", 33)).withColumn("__inside", F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each task
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__range", before.alias("__before"))
+    return rows.join(F.broadcast(offsets), "__range").select(*df.columns, (F.col("__before") + F.col("__inside")).alias(out))
+
+
+def ward_tree(df: DataFrame, col: str, fan_in: int = 16) -> DataFrame:
+    """The whole merge tree: (step, left_lo, left_hi, right_lo, right_hi, left_step, right_step, cost, size).
+
+    A row for each of the n - 1 merges of n distinct values, numbered from 0 by cost. A cluster is a
+    stretch of values; ``left_step`` and ``right_step`` are the merges that made the two parts, null for
+    a single value; ``size`` counts rows. The k clusters of any k are cut by ``left_hi`` of the last k - 1
+    steps. Equal costs go in order of size, so that parts come before their whole; a merge never
+    costs less than its parts. Missing values take no part; fewer than two values give no row.
+
+    Stretches of the axis log the merges they can decide and pass on what is left, as ``ward_labels``
+    does; logged merges are written at once and are not carried through later rounds.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("double")
+    rest = column_values(df, col).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rest = rest.select(F.col("x").alias("lo"), F.col("x").alias("hi"), "n", F.col("x").alias("mean"), F.lit(0.0).alias("height"), none.alias("border"), none.alias("beyond"))
+    merges = rest.where(F.lit(False))
+    while True:
+        lowest, highest = rest.agg(F.min("lo"), F.max("hi")).first()
+        if lowest is None:
+            break
+
+        def run(tables, lowest=lowest, highest=highest):
+            batches = [b for b in tables if len(b)]
+            if batches:
+                data = np.stack([c.to_numpy() for c in pa.Table.from_batches(batches).columns[:5]], 1)
+                chain, log = _Chain(data, data[0, 0] == lowest, data[-1, 1] == highest), []
+                chain.merge(0, log)
+                rows = [*((*piece, None, None) for piece in chain.rest_with_height()), *log]
+                for at in range(0, len(rows), 50_000):
+                    columns = zip(*rows[at : at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in columns], schema=_BRANCH_SCHEMA)
+
+        ranged = rest.repartitionByRange(parts, "lo") if parts > 1 else rest.coalesce(1)
+        done = ranged.sortWithinPartitions("lo").mapInArrow(run, _BRANCH).checkpoint()
+        merges = merges.unionAll(done.where("border IS NOT NULL"))
+        rest = done.where("border IS NULL")
+        if parts == 1:
+            break
+        parts = max(1, parts // fan_in)
+    steps = _numbered_in_order(merges, ["height", "n", "lo"], "step")
+
+    def made(part: str, lo: str, hi: str) -> DataFrame:
+        """The step of each cluster of several values, under the names a parent knows its part by."""
+        return steps.select(F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("step").alias(f"{part}_step"))
+
+    return (
+        steps.join(made("left", "lo", "border"), ["lo", "border"], "left")
+        .join(made("right", "beyond", "hi"), ["beyond", "hi"], "left")
+        .select(
+            "step", F.col("lo").alias("left_lo"), F.col("border").alias("left_hi"), F.col("beyond").alias("right_lo"),
+            F.col("hi").alias("right_hi"), "left_step", "right_step", F.col("height").alias("cost"), F.col("n").cast("bigint").alias("size"),
+        )
+    )
+
+
 def _nearest(x: Column, units: np.ndarray) -> Column:
     """Index of the nearest of the units, which are in order of value."""
     cuts = [(a + b) / 2 for a, b in zip(units, units[1:])]

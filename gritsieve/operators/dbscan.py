@@ -88,7 +88,7 @@ def dbscan_labels(
     border = _near(tested.where("not core"), core_values, eps).groupBy("x").agg(nearest["at"].alias("cell"))
     core_thin = tested.where("core").select("x", "cell")
     thin_labels = (
-        border.unionAll(core_thin).join(clusters, "cell").select(F.col("x").alias("__x"), F.col("cluster").alias("__thin"))
+        border.unionAll(core_thin).join(clusters, "cell").select(F.col("x").alias("__value"), F.col("cluster").alias("__thin"), F.lit(1).alias("__rows"))
     )
 
     dense_labels = sizes.where(F.col("n") >= min_samples).join(clusters, "cell").select(
@@ -96,6 +96,8 @@ def dbscan_labels(
     )
     rows = df.withColumn("__x", drop_nan(F.col(col))).withColumn("__cell", F.when(F.abs("__x") < float("inf"), _cell(F.col("__x"), eps)))
     rows = lookup(rows, dense_labels, ["__cell"], ["__dense"], "n", nulls_equal=False)
-    rows = rows.join(thin_labels, "__x", "left")
+    # only values of thin cells are looked up: each has fewer than min_samples rows, and the others are spread
+    rows = rows.withColumn("__value", F.when(F.col("__dense").isNull() & F.col("__cell").isNotNull(), F.col("__x")))
+    rows = lookup(rows, thin_labels, ["__value"], ["__thin"], "__rows", nulls_equal=False)
     label = F.coalesce("__dense", "__thin", F.lit(NOISE)).cast("bigint")
     return rows.select(*df.columns, F.when(F.col("__x").isNotNull(), label).alias(out))

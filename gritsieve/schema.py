@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -102,12 +103,17 @@ def physical_numeric_columns(df: DataFrame) -> list[str]:
 
 
 def verify_column_names(expected: Sequence[str], actual: Sequence[str]) -> None:
-    """Same names in any order, else a ValueError that lists the differing positions."""
-    if len(expected) != len(actual):
-        raise ValueError(f"{len(expected)} columns expected, {len(actual)} found")
-    if set(expected) != set(actual):
-        wrong = [f"{i}: {a} != {b}" for i, (a, b) in enumerate(zip(expected, actual)) if a != b]
-        raise ValueError("column names differ: " + "; ".join(wrong))
+    """A ValueError that names the missing, unexpected and repeated columns; their order is free."""
+    wanted, found = Counter(expected), Counter(actual)
+    surplus = found - wanted
+    faults = {
+        "missing": wanted - found,
+        "unexpected": {n: c for n, c in surplus.items() if n not in wanted},
+        "repeated": {n: c for n, c in surplus.items() if n in wanted},
+    }
+    told = [f"{len(names)} {kind} ({', '.join(sorted(names))})" for kind, names in faults.items() if names]
+    if told:
+        raise ValueError("column names: " + "; ".join(told))
 
 
 def extract_columns(df: DataFrame, schema: SemanticSchema, columns: Sequence[str] | None = None) -> DataFrame:

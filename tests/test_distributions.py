@@ -243,6 +243,44 @@ def test_mean_shift_and_ward_match_brute_force(spark, kind):
         assert (labels["label"] == np.searchsorted(ward_borders(x, k), labels["x"], "left")).all()
 
 
+def ward_steps(x):
+    """Merges as (lo, left hi, right lo, hi): (cost, rows), always the cheapest pair of neighbours."""
+    lo, n = np.unique(x, return_counts=True)
+    lo, hi, n, mean, out = list(lo), list(lo), [float(v) for v in n], list(lo), {}
+    while len(n) > 1:
+        a, b = np.array(n[:-1]), np.array(n[1:])
+        costs = a * b / (a + b) * np.diff(mean) ** 2
+        i = int(np.argmin(costs))
+        out[lo[i], hi[i], lo[i + 1], hi[i + 1]] = float(costs[i]), n[i] + n[i + 1]
+        mean[i] = (n[i] * mean[i] + n[i + 1] * mean[i + 1]) / (n[i] + n[i + 1])
+        n[i], hi[i] = n[i] + n[i + 1], hi[i + 1]
+        del lo[i + 1], hi[i + 1], n[i + 1], mean[i + 1]
+    return out
+
+
+def test_ward_tree_holds_every_merge(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, 150), rng.normal(9, 2, 49), [1e4], np.repeat(3.5, 70)])
+    df = frame(spark, [*x, None, float("nan")]).repartition(7)
+    found = clusters.ward_tree(df, "x").orderBy("step").collect()
+    want = ward_steps(x)
+    assert [r["step"] for r in found] == list(range(len(np.unique(x)) - 1))
+    assert [r["cost"] for r in found] == sorted(r["cost"] for r in found)
+    for r in found:
+        cost, size = want.pop((r["left_lo"], r["left_hi"], r["right_lo"], r["right_hi"]))
+        assert r["size"] == size and np.isclose(r["cost"], cost)
+        for part in ("left", "right"):
+            lo, hi, step = r[f"{part}_lo"], r[f"{part}_hi"], r[f"{part}_step"]
+            assert (step is None) == (lo == hi)
+            if step is not None:
+                assert step < r["step"] and (found[step]["left_lo"], found[step]["right_hi"]) == (lo, hi)
+    assert not want
+    for k in range(2, len(found) + 2):
+        assert sorted(r["left_hi"] for r in found[-(k - 1) :]) == ward_borders(x, k)
+    assert clusters.ward_tree(frame(spark, [2.0, 2.0, None]), "x").count() == 0
+    assert clusters.ward_tree(df.where("x IS NULL"), "x").count() == 0
+
+
 def test_each_tree_draws_its_own_rows(spark):
     df = spark.range(20_000).select(F.col("id").cast("double").alias("x")).repartition(5)
     samples = outliers._tree_samples(df, 50, 256, 1)
@@ -252,6 +290,14 @@ def test_each_tree_draws_its_own_rows(spark):
     assert [len(s) for s in outliers._tree_samples(df.limit(30), 7, 256, 1)] == [30] * 7
 
 
+def test_dbscan_with_hot_values_and_many_nulls(spark):
+    x = [None] * 300 + [float("inf")] * 200 + [4.0] * 300 + [4.4, 9.0, 9.1, 20.0]
+    rows = dbscan_labels(frame(spark, x).repartition(5), "x", eps=0.5, min_samples=3).collect()
+    assert len(rows) == len(x)
+    got = {r["x"]: r["label"] for r in rows}
+    assert got[4.0] == got[4.4] == 0 and got[9.0] == got[9.1] == got[20.0] == -1 and got[None] is None
+
+
 def test_dbscan_takes_values_of_any_size(spark):
     x = [1.0, 2.0, 1e300, 1e300, 1e300, float("inf"), float("inf"), -1e18, -1e18, 1.2, 1.4]
     rows = dbscan_labels(frame(spark, x), "x", eps=0.5, min_samples=2).collect()

@@ -144,10 +144,15 @@ def test_movie_schema(spark):
 
 def test_verify_column_names():
     verify_column_names(["a", "b"], ["b", "a"])
-    with pytest.raises(ValueError, match="columns expected"):
-        verify_column_names(["a"], ["a", "b"])
-    with pytest.raises(ValueError, match="1: b != c"):
-        verify_column_names(["a", "b"], ["a", "c"])
+    verify_column_names([], [])
+    for actual, told in (
+        (["a"], r"1 missing \(b\)$"),
+        (["b", "c", "a"], r"^column names: 1 unexpected \(c\)$"),
+        (["a", "d", "c"], r"1 missing \(b\); 2 unexpected \(c, d\)"),
+        (["a", "b", "b"], r"^column names: 1 repeated \(b\)$"),
+    ):
+        with pytest.raises(ValueError, match=told):
+            verify_column_names(["a", "b"], actual)
 
 
 def test_detected_booleans(spark):
