@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gritsieve.operators.groups import lookup
 from gritsieve.session import ensure_checkpoint_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -104,27 +105,24 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
     Hooking with pointer jumping: each round every root takes the smallest label among its
     neighbours' labels and labels are replaced by their labels' labels. Rounds grow with the
-    logarithm of the longest chain; each is joins and minima with map-side combine, so a
-    vertex with very many edges is no single task's load. Only counters reach the driver.
+    logarithm of the longest chain; each is minima with map-side combine and lookups that spread
+    heavy keys, so a vertex with very many edges is no single task's load. Only counters reach the driver.
     """
     both = stored(
         edges.select("a", "b").where("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     )
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"), F.count("*").alias("degree")))
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("far")), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("far").alias("far"))
-        )
-        own = labels.join(near, "id").select("id", "component", F.least("component", "far").alias("low"))
+        far = labels.select(F.col("id").alias("b"), F.col("component").alias("far"), "degree")
+        near = lookup(both, far, ["b"], ["far"], "degree").groupBy(F.col("a").alias("id")).agg(F.min("far").alias("far"))
+        own = labels.join(near, "id").select("id", "component", "degree", F.least("component", "far").alias("low"))
         # the root of each label hears of the smallest label any of its members met
         roots = own.groupBy(F.col("component").alias("id")).agg(F.min("low").alias("root"))
-        met = own.join(roots, "id", "left").select("id", "component", F.least("low", "root").alias("low"))
-        jumps = met.select(F.col("id").alias("low"), F.col("low").alias("next"))
-        new = stored(met.join(jumps, "low", "left").select("id", "component", F.least("low", "next").alias("new")))
+        met = stored(own.join(roots, "id", "left").select("id", "component", "degree", F.least("low", "root").alias("low")))
+        jumps = met.groupBy("low").agg(F.count("*").alias("n")).join(met.select(F.col("id").alias("low"), F.col("low").alias("next")), "low")
+        new = stored(lookup(met, jumps, ["low"], ["next"], "n").select("id", "component", "degree", F.least("low", "next").alias("new")))
         changed = new.where("new <> component").limit(1).count()
-        labels = new.select("id", F.col("new").alias("component"))
+        labels = new.select("id", F.col("new").alias("component"), "degree")
         if not changed:
             break
     return vertices.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

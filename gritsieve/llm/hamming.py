@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritsieve.llm.common import bitmap_of, components, in_bitmap, in_groups, query, slices, stored, table, worker_cache, written
+from gritsieve.operators.groups import lookup
 
 CHUNK, ERRORS, CHUNKS = 4, 1, 9
 SYMBOLS = CHUNK * CHUNKS
@@ -209,15 +210,19 @@ def _against(left: np.ndarray, right: np.ndarray, limit: int, step: int = 64):
 def _paired(members: DataFrame, size: int = BLOCK) -> DataFrame:
     """Split groups p into bounded groups (p, i, j): block i of the rows with ``left`` against block j of all rows.
 
-    Rows get a ``side``: 0 in their block i, 1 in their block j. Groups without left rows go.
+    Rows get a ``side``: 0 in their block i, 1 in their block j. Groups without left rows or of one row go.
+    Rows learn their group's number of blocks without meeting by p alone, and are dealt by (p, block) before
+    they are repeated, so a large group is shared by all tasks.
     """
-    counts = members.groupBy("p").agg(F.ceil(F.count("*") / size).cast("int").alias("nj"), F.ceil(F.count_if("left") / size).cast("int").alias("ni")).where("ni > 0")
-    rows = members.join(counts, "p").withColumn("h", F.xxhash64("x"))
+    counts = members.groupBy("p").agg(F.count("*").alias("n"), F.count_if("left").alias("n_left")).where("n > 1 AND n_left > 0")
+    counts = counts.select("p", F.ceil(F.col("n") / size).cast("int").alias("nj"), F.ceil(F.col("n_left") / size).cast("int").alias("ni"), "n")
+    rows = lookup(members, counts, ["p"], ["ni", "nj"], "n").where("ni IS NOT NULL")
+    place = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
+    rows = rows.withColumns({"own_i": place("ni"), "own_j": place("nj")}).repartition("p", "own_j")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    i, j = F.pmod("h", F.col("ni")).cast("int"), F.pmod("h", F.col("nj")).cast("int")
-    one = rows.where("left").withColumns({"side": F.lit(0), "i": i}).withColumn("j", numbers("nj"))
-    two = rows.withColumns({"side": F.lit(1), "j": j}).withColumn("i", numbers("ni"))
-    return one.unionByName(two).drop("h", "ni", "nj")
+    one = rows.where("left").withColumns({"side": F.lit(0), "i": F.col("own_i")}).withColumn("j", numbers("nj"))
+    two = rows.withColumns({"side": F.lit(1), "j": F.col("own_j")}).withColumn("i", numbers("ni"))
+    return one.unionByName(two).drop("ni", "nj", "own_i", "own_j")
 
 
 def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +255,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
        group's largest component against all. A pair that shares a key and is within the limit
        is thus either in one component or confirmed not to be a link.
 
-    No step lists the pairs of a group, and no task holds more than two blocks (``block`` rows) of one. Nulls and
+    No step lists the pairs of a group, and no task holds more than two blocks (``block`` rows) of one. What a
+    row must know of its key, pivot, class or set comes by ``lookup``, in which no key fills a task. Nulls and
     texts without words have the empty set and are linked with nothing; null keys are passed
     over for component_id unless a class has no other; repeated keys are separate rows; a text
     of any length is one set; an empty table gives an empty result; other columns are ignored.
@@ -264,14 +270,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         rows = docs.select(F.col(at).alias("at"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     sets = stored(_sets(rows, size))
     by_set = sets.where(F.col("digest").isNotNull()).groupBy("digest")
-    reps = stored(by_set.agg(F.min("at").alias("m"), F.min("doc_id").alias("low"), F.first("sig").alias("sig")))
+    reps = stored(by_set.agg(F.min("at").alias("m"), F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.count("*").alias("rows")))
     keys = _keys(reps)
-    pivots = keys.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p")
-    edges = keys.join(pivots, "key").where("m <> p").select(F.col("m").alias("x"), "p").distinct()
+    pivots = stored(keys.groupBy("key").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1"))
+    edges = stored(lookup(keys, pivots, ["key"], ["p"], "n").where("m <> p").select(F.col("m").alias("x"), "p").distinct())
     signed = reps.select("m", "sig")
-    edges = edges.join(signed.select(F.col("m").alias("x"), "sig"), "x").join(signed.select(F.col("m").alias("p"), F.col("sig").alias("sig_p")), "p")
+    of_pivots = edges.groupBy("p").agg(F.count("*").alias("n")).join(signed.select(F.col("m").alias("p"), F.col("sig").alias("sig_p")), "p")
+    edges = lookup(edges.join(signed.select(F.col("m").alias("x"), "sig"), "x"), of_pivots, ["p"], ["sig_p"], "n")
     edges = stored(_mark_near(edges, limit))
-    groups = edges.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~F.col("near")).alias("far")).where("n > 1 AND far > 0").select("p")
 
     def met(group: pa.Table) -> Iterator[pa.RecordBatch]:
         side, x, sig = group["side"].to_numpy(), group["x"].to_numpy(), _signatures(group["sig"])
@@ -283,7 +289,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         found = x[left[hit]]
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group["p"][0].as_py())), pa.array(found)], ["p", "x"])
 
-    doubtful = edges.join(groups, "p", "left_semi").select("p", "x", "sig", (~F.col("near")).alias("left"))
+    doubtful = edges.select("p", "x", "sig", (~F.col("near")).alias("left"))
     partners = in_groups(_paired(doubtful, block), ["p", "i", "j"], met, "p long, x long")
     members = stored(edges.where("near").select("p", "x").unionByName(partners).distinct())
     members = members.unionByName(members.select("p", F.col("p").alias("x")).distinct())
@@ -326,26 +332,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     home = members.where("x <> p").groupBy("x").agg(F.min("p").alias("p"))
-    blocks = home.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    placed = home.join(blocks, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"))
+    blocks = home.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.count("*").alias("n"))
+    placed = lookup(home, blocks, ["p"], ["nb"], "n").select("p", "x", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"))
     placed = placed.unionByName(blocks.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b")))
     links = stored(in_groups(placed.join(whole, "x"), ["p", "b"], compare, "a long, b long"))
     nodes = members.select(F.col("x").alias("id")).distinct()
     known = stored(components(nodes, links))
     grouped = members.join(known.select(F.col("id").alias("x"), "component"), "x")
     parts = grouped.groupBy("p", "component").count()
-    largest = parts.groupBy("p").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = grouped.join(largest, "p").select("p", "x", "component", (F.col("component") != F.col("largest")).alias("left"))
+    largest = parts.groupBy("p").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("count").alias("n")).where("parts > 1")
+    mixed = lookup(grouped, largest, ["p"], ["largest"], "n").where("largest IS NOT NULL").select("p", "x", "component", (F.col("component") != F.col("largest")).alias("left"))
     more = in_groups(_paired(mixed, block).join(whole, "x"), ["p", "i", "j"], compare, "a long, b long")
     between = stored(more.distinct())  # of components, not of members
     whole_classes = components(between.select(F.col("a").alias("id")).union(between.select("b")).distinct(), between)
     final = known.join(whole_classes.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
     final = final.select("id", F.coalesce("root", "component").alias("component"))
-    classes = reps.select("digest", "m", "low").join(final.select(F.col("id").alias("m"), "component"), "m", "left")
-    classes = classes.select("digest", "low", F.coalesce("component", "m").alias("class_at"))
-    lows = classes.groupBy("class_at").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "class_at").select("digest", "class_at", "component_id")
-    joined = sets.join(classes, "digest", "left")
+    classes = reps.select("digest", "m", "low", "rows").join(final.select(F.col("id").alias("m"), "component"), "m", "left")
+    classes = classes.select("digest", "low", "rows", F.coalesce("component", "m").alias("class_at"))
+    lows = classes.groupBy("class_at").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    classes = lookup(classes, lows, ["class_at"], ["component_id"], "n").select("digest", "class_at", "component_id", "rows")
+    joined = lookup(sets, classes, ["digest"], ["class_at", "component_id"], "rows", nulls_equal=False)
     alone = F.col("digest").isNull()
     return joined.select(
         "at",
