@@ -207,6 +207,11 @@ def _against(left: np.ndarray, right: np.ndarray, limit: int, step: int = 64):
     return all_found[1:, np.argsort(all_found[0], kind="stable")].T.tolist(), far
 
 
+def _told(rows: DataFrame, facts: DataFrame, keys: list[str], values: list[str], size: str, nulls_equal: bool = True) -> DataFrame:
+    """Left join of facts about groups of ``size`` rows, none of which fills a task; they are written once, as the lookup reads them three times."""
+    return lookup(rows, stored(facts), keys, values, size, nulls_equal)
+
+
 def _paired(members: DataFrame, size: int = BLOCK) -> DataFrame:
     """Split groups p into bounded groups (p, i, j): block i of the rows with ``left`` against block j of all rows.
 
@@ -216,7 +221,7 @@ def _paired(members: DataFrame, size: int = BLOCK) -> DataFrame:
     """
     counts = members.groupBy("p").agg(F.count("*").alias("n"), F.count_if("left").alias("n_left")).where("n > 1 AND n_left > 0")
     counts = counts.select("p", F.ceil(F.col("n") / size).cast("int").alias("nj"), F.ceil(F.col("n_left") / size).cast("int").alias("ni"), "n")
-    rows = lookup(members, counts, ["p"], ["ni", "nj"], "n").where("ni IS NOT NULL")
+    rows = _told(members, counts, ["p"], ["ni", "nj"], "n").where("ni IS NOT NULL")
     place = lambda n: F.pmod(F.xxhash64("x"), F.col(n)).cast("int")
     rows = rows.withColumns({"own_i": place("ni"), "own_j": place("nj")}).repartition("p", "own_j")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -276,7 +281,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     edges = stored(lookup(keys, pivots, ["key"], ["p"], "n").where("m <> p").select(F.col("m").alias("x"), "p").distinct())
     signed = reps.select("m", "sig")
     of_pivots = edges.groupBy("p").agg(F.count("*").alias("n")).join(signed.select(F.col("m").alias("p"), F.col("sig").alias("sig_p")), "p")
-    edges = lookup(edges.join(signed.select(F.col("m").alias("x"), "sig"), "x"), of_pivots, ["p"], ["sig_p"], "n")
+    edges = _told(edges.join(signed.select(F.col("m").alias("x"), "sig"), "x"), of_pivots, ["p"], ["sig_p"], "n")
     edges = stored(_mark_near(edges, limit))
 
     def met(group: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -331,27 +336,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         pairs = np.unique(np.stack([low[top], number], 1)[low[top] != number], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    home = members.where("x <> p").groupBy("x").agg(F.min("p").alias("p"))
+    home = stored(members.where("x <> p").groupBy("x").agg(F.min("p").alias("p")))
     blocks = home.groupBy("p").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"), F.count("*").alias("n"))
-    placed = lookup(home, blocks, ["p"], ["nb"], "n").select("p", "x", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"))
+    placed = _told(home, blocks, ["p"], ["nb"], "n").select("p", "x", F.pmod(F.xxhash64("x"), F.col("nb")).cast("int").alias("b"))
     placed = placed.unionByName(blocks.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b")))
     links = stored(in_groups(placed.join(whole, "x"), ["p", "b"], compare, "a long, b long"))
     nodes = members.select(F.col("x").alias("id")).distinct()
     known = stored(components(nodes, links))
-    grouped = members.join(known.select(F.col("id").alias("x"), "component"), "x")
+    grouped = stored(members.join(known.select(F.col("id").alias("x"), "component"), "x"))
     parts = grouped.groupBy("p", "component").count()
     largest = parts.groupBy("p").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("parts"), F.sum("count").alias("n")).where("parts > 1")
-    mixed = lookup(grouped, largest, ["p"], ["largest"], "n").where("largest IS NOT NULL").select("p", "x", "component", (F.col("component") != F.col("largest")).alias("left"))
+    mixed = _told(grouped, largest, ["p"], ["largest"], "n").where("largest IS NOT NULL")
+    mixed = stored(mixed.select("p", "x", "component", (F.col("component") != F.col("largest")).alias("left")))
     more = in_groups(_paired(mixed, block).join(whole, "x"), ["p", "i", "j"], compare, "a long, b long")
     between = stored(more.distinct())  # of components, not of members
     whole_classes = components(between.select(F.col("a").alias("id")).union(between.select("b")).distinct(), between)
     final = known.join(whole_classes.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
     final = final.select("id", F.coalesce("root", "component").alias("component"))
     classes = reps.select("digest", "m", "low", "rows").join(final.select(F.col("id").alias("m"), "component"), "m", "left")
-    classes = classes.select("digest", "low", "rows", F.coalesce("component", "m").alias("class_at"))
+    classes = stored(classes.select("digest", "low", "rows", F.coalesce("component", "m").alias("class_at")))
     lows = classes.groupBy("class_at").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
-    classes = lookup(classes, lows, ["class_at"], ["component_id"], "n").select("digest", "class_at", "component_id", "rows")
-    joined = lookup(sets, classes, ["digest"], ["class_at", "component_id"], "rows", nulls_equal=False)
+    classes = _told(classes, lows, ["class_at"], ["component_id"], "n").select("digest", "class_at", "component_id", "rows")
+    joined = _told(sets, classes, ["digest"], ["class_at", "component_id"], "rows", nulls_equal=False)
     alone = F.col("digest").isNull()
     return joined.select(
         "at",
