@@ -26,6 +26,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"  # rows carry no capture time; a parameter of the writer
 END = b"\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+FILES = pa.schema([(n, pa.string() if n == "file" else pa.int64()) for n in ("part", "roll", "file", "first_key", "n_records", "n_bytes")])
 RECORD_FIELDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
@@ -33,18 +34,19 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_uri(page: int) -> str:
-    """A record id that follows from the page id alone."""
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(b'page:%d' % page).digest()[:16], version=5)}>"
+def record_uri(page: int | None, url: str | None = None, payload: bytes = b"") -> str:
+    """A record id that follows from the page id alone, or, without one, from url and payload."""
+    name = b"page:%d" % page if page is not None else b"url:%s\n" % (url or "").encode() + payload
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(name).digest()[:16], version=5)}>"
 
 
-def build_record(page: int, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
+def build_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
     """One record, uncompressed; a revisit keeps the payload's digest and length without it."""
     head = HTTP % len(payload)
     block = head if refers_to is not None else head + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_uri(page)),
+        ("WARC-Record-ID", record_uri(page, url, payload)),
         ("WARC-Date", date),
         ("WARC-Target-URI", url),
         ("Content-Type", "application/http;msgtype=response"),
@@ -79,8 +81,9 @@ def parse_record(data: bytes) -> tuple:
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if payload is not None and base32_sha1(payload) != digest:
         raise ValueError(f"payload of {fields['WARC-Record-ID']} is damaged")
-    page, length = int(fields["X-Page-Id"]), int(fields["X-Payload-Length"])
-    return page, fields.get("WARC-Target-URI"), kind, payload, length, digest, None if refers is None else int(refers)
+    page, length = fields.get("X-Page-Id"), int(fields["X-Payload-Length"])
+    number = lambda v: None if v is None else int(v)
+    return number(page), fields.get("WARC-Target-URI"), kind, payload, length, digest, number(refers)
 
 
 def read_members(stream, piece: int = 1 << 20) -> Iterator[bytes]:
@@ -124,14 +127,15 @@ def write_warc(
 
     A null html has an empty payload; empty payloads are equal to each other when ``least`` is
     0; a null url leaves the field out; rows with an equal key stay separate records (of equal
-    payloads, all rows with the largest key are responses); a null key raises; an empty table
-    writes a manifest without files; other columns are ignored. A row's
-    place in ``pages`` tells equal rows apart; it is taken once, in a written table.
+    payloads, all rows with the largest key are responses); rows without a key stand first, without
+    the page-id field, and are responses only if no equal payload has a key; an empty table writes a
+    manifest without files; other columns are ignored. A row's place in ``pages`` tells equal rows
+    apart; it is taken once, in a written table.
     """
     spark = pages.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(
-        F.coalesce(F.col(key).cast("long"), F.raise_error(F.lit("a page without id")).cast("long")).alias("key"),
+        F.col(key).cast("long").alias("key"),
         F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("at", F.monotonically_increasing_id())
@@ -167,7 +171,7 @@ def write_warc(
                 files[-1]["n_bytes"] += len(member)
         close()
         if files:
-            yield pa.RecordBatch.from_pylist(files)
+            yield pa.RecordBatch.from_pylist(files, schema=FILES)
 
     ordered = both.repartitionByRange(parts, "key", "at").sortWithinPartitions("key", "at", "kind")
     files = ordered.mapInArrow(run, "part long, roll long, file string, first_key long, n_records long, n_bytes long")
