@@ -9,6 +9,7 @@ left for all unseen words of the class, so that the probabilities of all words s
 
 from __future__ import annotations
 
+import math
 import zlib
 from array import array
 from collections import Counter
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,43 +235,96 @@ class NoiseContrastive:
         self._step("c", scale * np.stack([q1.T @ back, q2.T @ back]))
 
 
-def train(texts: DataFrame, model: LogBilinear, rounds: int = 4, merge: int = 16) -> LogBilinear:
-    """Fit the model on the column ``kinds`` of all rows.
+def training_runs(texts: DataFrame, lanes: int, rounds: int, most: int = 64) -> DataFrame:
+    """(turn, lane, h, kinds, n_times): the texts dealt to rounds and lanes by their content alone.
 
-    Each round takes another part of the texts by a hash; every task runs through its texts
-    from the common parameters, and the tasks' results are averaged by their numbers of tokens:
-    first within ``merge`` groups, whose means are all that reaches the driver.
+    Equal texts are counted before the shuffle and dealt in runs of at most ``most``, so that copies of one text
+    fill no lane.
+    """
+    counted = texts.groupBy("kinds").agg(F.count("*").alias("n"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("long"))))
+    h = F.xxhash64("kinds", "run")
+    return runs.select(
+        F.pmod(h, F.lit(rounds)).cast("int").alias("turn"),
+        F.pmod(F.shiftrightunsigned(h, 16), F.lit(lanes)).cast("int").alias("lane"),
+        h.alias("h"),
+        "kinds",
+        F.least(F.lit(most), F.col("n") - most * F.col("run")).cast("long").alias("n_times"),
+    )
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(lane, texts) pieces of about ``limit`` bytes; how the batches are cut makes no difference."""
+    lane, held, size = -1, [], 0
+    for batch in batches:
+        columns = (batch.column(batch.schema.names.index(c)) for c in ("lane", "kinds", "n_times"))
+        for at, kinds, n in zip(*(c.to_pylist() for c in columns)):
+            if held and (at != lane or size + len(kinds) * n > limit):
+                yield lane, held
+                held, size = [], 0
+            lane = at
+            held += [kinds] * n
+            size += len(kinds) * n
+    if held:
+        yield lane, held
+
+
+FINE = 2.0**32  # of logarithms summed as whole numbers, whose order makes no difference
+SCALE = 2.0**16  # of the parameters' sums
+
+
+def train(texts: DataFrame, model: LogBilinear, n_tokens: int, rounds: int = 4, merge: int = 16) -> LogBilinear:
+    """Fit the model on the column ``kinds`` of all rows, ``n_tokens`` tokens in all.
+
+    Each round takes another part of the texts by a hash of their content. Its lanes, whose number grows with the
+    root of the tokens, run through their texts in the order of the hash from the common parameters and with a seed
+    of their own; the results are averaged by their numbers of tokens: first within ``merge`` groups of lanes, whose
+    sums are all that reaches the driver. The sums are of whole numbers, so their order makes no difference: neither
+    the split of the input nor the number of tasks changes the model.
     """
     spark, begin = texts.sparkSession, len(model.noise)
+    lanes = max(1, math.ceil(math.sqrt(n_tokens / rounds) / 128))
+    runs = stored(training_runs(texts, lanes, rounds))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            part, n_tokens = TaskContext.get().partitionId(), 0
-            own = LogBilinear.__new__(LogBilinear)
-            own.__dict__.update({k: v.copy() for k, v in sent.value.__dict__.items()})
-            learner = NoiseContrastive(own, 1000 * turn + part)
-            for batch in slices(batches, "kinds", 1 << 20):
-                w, c1, c2 = contexts(batch.column(0).to_pylist(), begin)
+            lane, learner, n_seen = -1, None, 0
+
+            def result() -> pa.RecordBatch:
+                sums = np.rint(learner.m.values() * SCALE).astype(np.int64) * n_seen
+                return pa.RecordBatch.from_pylist([{"part": lane % merge, "n": n_seen, "params": sums.tobytes()}])
+
+            for at, kinds in pieces_of(batches):
+                if at != lane:
+                    if n_seen:
+                        yield result()
+                    own = LogBilinear.__new__(LogBilinear)
+                    own.__dict__.update({k: v.copy() for k, v in sent.value.__dict__.items()})
+                    lane, learner, n_seen = at, NoiseContrastive(own, 1_000_003 * turn + at), 0
+                w, c1, c2 = contexts(kinds, begin)
                 order = learner.rng.permutation(len(w))
-                for at in range(0, len(order), BATCH):
-                    chosen = order[at : at + BATCH]
+                for i in range(0, len(order), BATCH):
+                    chosen = order[i : i + BATCH]
                     learner.batch(w[chosen], c1[chosen], c2[chosen])
-                n_tokens += len(w)
-            if n_tokens:
-                yield pa.RecordBatch.from_pylist([{"part": part % merge, "n": float(n_tokens), "params": (own.values() * n_tokens).tobytes()}])
+                n_seen += len(w)
+            if n_seen:
+                yield result()
 
         def add(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0.0, 0.0
+            n, total, part = 0, 0, 0
             for batch in group:
-                for k, params in zip(batch.column("n").to_pylist(), batch.column("params").to_pylist()):
-                    n, total = n + k, total + np.frombuffer(params)
-            yield pa.RecordBatch.from_pylist([{"n": n, "params": total.tobytes()}])
+                for part, k, params in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "params"))):
+                    n, total = n + k, total + np.frombuffer(params, np.int64)
+            yield pa.RecordBatch.from_pylist([{"part": part, "n": n, "params": total.tobytes()}])
 
-        mine = texts.where(F.pmod(F.xxhash64("at"), F.lit(rounds)) == turn).select("kinds")
-        parts = mine.mapInArrow(run, "part long, n double, params binary").groupBy("part").applyInArrow(add, "n double, params binary").collect()
+        mine = runs.where(F.col("turn") == turn).repartitionById(lanes, "lane").sortWithinPartitions("lane", "h", "kinds", "n_times")
+        sums = mine.select("lane", "kinds", "n_times").mapInArrow(run, "part long, n long, params binary")
+        parts = sums.groupBy("part").applyInArrow(add, "part long, n long, params binary").collect()
         if parts:
-            model.set(sum(np.frombuffer(p["params"]) for p in parts) / sum(p["n"] for p in parts))
+            parts.sort(key=lambda p: p["part"])
+            total = sum(np.frombuffer(p["params"], np.int64).astype(np.float64) for p in parts)
+            model.set(total / SCALE / sum(p["n"] for p in parts))
         sent.unpersist()
     return model
 
@@ -303,6 +356,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
     other words are counted and looked up by a shuffle join on their hash, which no frequent
     word can skew.
 
+    All figures follow from the texts and keys alone, however the input is split.
+
     A null or empty text is its end alone; repeated rows and keys are scored each; a null key
     is in no fold and trains; with nothing to learn from, every count is 0 and classes are
     equally likely; an empty table gives an empty result; other columns are ignored.
@@ -335,8 +390,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", fold:
     within[BUCKETS:] = 0.0  # a class of one word
     texts = stored(encoded(rows, spark.sparkContext.broadcast(lexicon)))
     rare = texts.select("at", F.explode("rare").alias("w")).join(counts.select("w", "c"), "w")
-    rare = rare.groupBy("at").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("rare_log"), F.count("*").alias("rare_known"))
-    model = train(texts.where(~F.col("held_out")), LogBilinear(class_counts))
+    rare = rare.groupBy("at").agg((F.sum(F.rint(F.log10(F.col("c") + 1.0) * FINE).cast("long")) / FINE).alias("rare_log"), F.count("*").alias("rare_known"))
+    model = train(texts.where(~F.col("held_out")), LogBilinear(class_counts), n_train or 0)
     last, second = model.products()
     tables = spark.sparkContext.broadcast((last, second, model.b, log_normalisers(spark, model), within))
     begin = lexicon.n_classes

@@ -434,6 +434,26 @@ def test_language_model(spark, odd, nothing):
     assert lbl.score_texts(nothing).count() == 0
 
 
+def test_scores_do_not_depend_on_the_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 3").withColumn("doc_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_150)))))
+    got = []
+    for n in (3, 11):
+        scored = lbl.score_texts(_kept(spark, docs.repartition(n, F.rand(n))), common=200).collect()  # most words are rare
+        got.append(sorted(map(tuple, scored)))
+    assert len(got[0]) > 500 and got[0] == got[1]
+
+
+def test_training_runs_keep_every_text(spark):
+    texts = [b"ab", b"cd", b"", b"ab"] + [b"xyxy"] * 300
+    runs = lbl.training_runs(spark.createDataFrame([(t,) for t in texts], "kinds binary"), 5, 4).collect()
+    counted = collections.Counter()
+    for r in runs:
+        assert 0 <= r["turn"] < 4 and 0 <= r["lane"] < 5 and 0 < r["n_times"] <= 64
+        counted[bytes(r["kinds"])] += r["n_times"]
+    assert counted == collections.Counter(texts)
+
+
 def test_model_probabilities_sum_to_one(spark):
     model = lbl.LogBilinear(np.array([5.0, 3.0, 1.0, 0.0]))
     w = np.random.default_rng(0).integers(0, 4, 4096)
@@ -471,6 +491,20 @@ def test_warc(spark):
     assert warc.read_warc(spark, none).count() == 0
 
 
+def test_pages_without_an_id_are_archived(spark):
+    """They never are the response another record refers to, unless nothing with an id is equal."""
+    pages = [(None, "a", "x"), (None, "b", "y"), (4, "c", "x"), (None, None, None), (3, "d", "x"), (None, "b", "y"), (None, "e", "z")]
+    df = _kept(spark, spark.createDataFrame(pages, "page_id long, url string, html string"))
+    folders = [warc.write_warc(frame, shared_folder(spark, "warc"), parts=2) for frame in (df, df.where("page_id IS NULL"))]
+    rows = [[(r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, f).collect()] for f in folders]
+    want = [
+        (None, "a", 1, "revisit", 4), (None, "b", 1, "response", None), (4, "c", 1, "response", None), (None, None, 0, "response", None),
+        (3, "d", 1, "revisit", 4), (None, "b", 1, "response", None), (None, "e", 1, "response", None),
+    ]
+    assert sorted(rows[0], key=str) == sorted(want, key=str)
+    assert sorted(rows[1], key=str) == sorted([(k, u, n, "response", None) for k, u, n, *_ in want if k is None], key=str)
+
+
 def test_small_payloads_stay_responses(spark):
     df = _kept(spark, spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string"))
     rows = warc.read_warc(spark, warc.write_warc(df, shared_folder(spark, "warc"), least=3)).collect()
