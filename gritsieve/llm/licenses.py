@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,37 @@ KELVIN, OTHER = "K", "Å"  # the one sign outside ASCII whose lower case is a
 
 @dataclass(frozen=True)
 class Template:
-    """A licence's wording and the phrase in it that must stand word for word."""
+    """A licence's wording and the phrases in it that must stand word for word, at their distance."""
 
     label: str
     wording: str
     key: str
     base: bool = False
-
-
+    also: tuple[str, ...] = ()
+
+    def mandatory(self) -> list[tuple[int, list[str]]]:
+        """(place relative to the key phrase, words) of each mandatory phrase, the key phrase first."""
+        wording, found = self.wording.split(), [(0, self.key.split())]
+        for phrase in (a.split() for a in self.also):
+            found.append((next(i for i in range(len(wording)) if wording[i : i + len(phrase)] == phrase) - self.lead(), phrase))
+        return found
+
+    def lead(self) -> int:
+        """How many words of the wording stand before the key phrase."""
+        wording, key = self.wording.split(), self.key.split()
+        return next(i for i in range(len(wording)) if wording[i : i + len(key)] == key)
+
+    def offsets(self) -> dict[str, int]:
+        """Each mandatory word's first place relative to the key phrase: its posting."""
+        out: dict[str, int] = {}
+        for at, phrase in self.mandatory():
+            for i, word in enumerate(phrase):
+                out.setdefault(word, at + i)
+        return out
+
+
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} public license as published by the free software foundation either version {} of the license or at your option any later version"
+# The wordings of licence notices, lower-case words only.
 TEMPLATES = (
     Template("mit", "released under the mit license", "under the mit license", True),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2", True),
@@ -35,6 +59,35 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("reserved", "all rights reserved", "all rights reserved"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "permission is hereby granted free of charge to any person obtaining a copy",
+        also=("to deal in the software without restriction",),
+    ),
+    Template(
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+        "you may not use this file except in compliance with the license",
+        also=("apache license version 2 0",),
+    ),
+    Template("gpl-2", _GNU.format("general", 2), "gnu general public license as published by the free software foundation", also=("either version 2 of the license",)),
+    Template("gpl-3", _GNU.format("general", 3), "gnu general public license as published by the free software foundation", also=("either version 3 of the license",)),
+    Template("agpl-3", _GNU.format("affero general", 3), "gnu affero general public license as published by the free software foundation", also=("either version 3 of the license",)),
+    Template(
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software",
+        also=("without specific prior written permission",),
+    ),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        also=("appear in all copies",),
+    ),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
 )
 
 
@@ -51,21 +104,34 @@ def _fit(wording: list[str], lead: int):
     """The share of the wording found around a start of its key phrase, ``lead`` words in."""
 
     def share(start: Column) -> Column:
-        same = [F.when(F.coalesce(F.get("w", start + (i - lead)) == word, F.lit(False)), 1).otherwise(0) for i, word in enumerate(wording)]
-        return sum(same[1:], same[0]) / len(wording)
+        same = F.transform(_texts(wording), lambda word, i: F.coalesce(F.get("w", start + i - lead) == word, F.lit(False)))
+        return F.size(F.filter(same, lambda x: x)) / len(wording)
 
     return share
 
 
-def rare_words(docs: DataFrame, text: str = "text", templates=TEMPLATES, per_template: int = 2) -> dict[str, list[str]]:
-    """The words of each key phrase that fewest of all documents hold (ties: by word).
+def _stands(template: Template):
+    """Do all mandatory phrases stand around a start of the key phrase?"""
+
+    def verified(start: Column) -> Column:
+        held = [
+            F.when(start + at >= 0, F.slice("w", start + (at + 1), len(phrase)) == _texts(phrase)).otherwise(False)
+            for at, phrase in template.mandatory()
+        ]
+        return reduce(Column.__and__, held)
+
+    return verified
+
+
+def rarity(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> list[str]:
+    """The words of the mandatory phrases, from the one that fewest of all documents hold (ties: by word).
 
     One pass with map-side combine; what reaches the driver is a count per licence word.
     """
-    known = sorted({w for t in templates for w in t.key.split()})
+    known = sorted({w for t in templates for w in t.offsets()})
     found = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), _texts(known))).alias("word")).groupBy("word").count()
     df = {r["word"]: r["count"] for r in found.collect()}
-    return {t.label: sorted(set(t.key.split()), key=lambda w: (df.get(w, 0), w))[:per_template] for t in templates}
+    return sorted(known, key=lambda w: (df.get(w, 0), w))
 
 
 def scan_licenses(
@@ -73,40 +139,41 @@ def scan_licenses(
 ) -> DataFrame:
     """Where licence phrases stand in every text: key, n_words, a column ``places`` (label, starts).
 
-    Each row is scanned by itself, so nothing is shuffled and no group can be hot. The posting
-    of a rare word in a template is its offset in the key phrase; a document's occurrences of
-    the rare words, minus the offsets, are possible starts; the starts all of a template's rare
-    words agree on are verified against the whole key phrase. ``fit`` of a place is the share of
-    the template's wording that stands around it at the right relative positions.
+    Each row is scanned by itself, so nothing is shuffled and no group can be hot. A posting of a
+    word is its place in a template, relative to the key phrase. In each file, a template's
+    ``per_template`` words of the highest IDF are looked up: as a file without one of a template's
+    mandatory words cannot hold it, these are the same words in every file that can, and files
+    that lack them are left at once. Their occurrences minus their postings are possible starts;
+    the starts all of them agree on are verified against all mandatory phrases, word for word and
+    at their distance. ``fit`` of a place is the share of the whole wording that stands around it
+    at the right relative positions.
 
     Null and empty texts have no words and no places; repeated rows stay repeated; an empty
     table gives an empty result; other columns are ignored, whatever their names.
     """
-    rare = rare_words(docs, text, templates, per_template)
-    anchors = sorted({w for ws in rare.values() for w in ws})
+    ranked = rarity(docs, text, templates)
+    rare = [sorted(t.offsets(), key=ranked.index)[:per_template] for t in templates]
+    anchors = sorted({w for ws in rare for w in ws})
     rows = docs.select(F.col(key).alias("doc_id"), words_of(F.col(text)).alias("w"))
     rows = rows.withColumn(
         "found",
         F.when(
-            F.arrays_overlap("w", _texts(anchors)),
+            F.arrays_overlap("w", _texts([ws[0] for ws in rare])),
             F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("word"), i.alias("at")))), lambda a: a.isNotNull()),
         ),
     )
     places = []
-    for t in templates:
-        phrase, wording = t.key.split(), t.wording.split()
-        lead = next(i for i in range(len(wording)) if wording[i : i + len(phrase)] == phrase)
-
-        def offsets(word, phrase=phrase):
-            return F.transform(F.filter("found", lambda a: a["word"] == word), lambda a: a["at"] - F.lit(phrase.index(word)))
+    for t, words in zip(templates, rare):
+        postings = t.offsets()
 
-        starts = offsets(rare[t.label][0])
-        for word in rare[t.label][1:]:
-            starts = F.array_intersect(starts, offsets(word))
-        exact = F.filter(starts, lambda s: F.when(s >= 0, F.slice("w", s + 1, len(phrase)) == _texts(phrase)).otherwise(False))
+        def starts_of(word, postings=postings):
+            return F.transform(F.filter("found", lambda a: a["word"] == word), lambda a: a["at"] - F.lit(postings[word]))
 
-        found = F.array_sort(F.coalesce(exact, F.array().cast("array<int>")))
-        places.append(F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), found.alias("starts"), F.transform(found, _fit(wording, lead)).alias("fits")))
+        starts = starts_of(words[0])
+        for word in words[1:]:
+            starts = F.array_intersect(starts, starts_of(word))
+        found = F.array_sort(F.coalesce(F.filter(starts, _stands(t)), F.array().cast("array<int>")))
+        places.append(F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), found.alias("starts"), F.transform(found, _fit(t.wording.split(), t.lead())).alias("fits")))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNotNull(), F.array(*places)).alias("places"))
 
 
@@ -142,9 +209,9 @@ def _sql() -> str:
 
     starts, fits = {}, []
     for n, t in enumerate(TEMPLATES):
-        size, wording = len(t.key.split()), t.wording.split()
-        lead = next(i for i in range(len(wording)) if " ".join(wording[i : i + size]) == t.key)
-        starts[n] = f"list_filter(range(len(w)), lambda i: w[i + 1] = '{t.key.split()[0]}' AND w[i + 1 : i + {size}] = {literal(t.key)}) AS s{n}"
+        lead, wording = t.lead(), t.wording.split()
+        held = " AND ".join(f"i + {at} >= 0 AND w[i + {at + 1} : i + {at + len(phrase)}] = {literal(' '.join(phrase))}" for at, phrase in t.mandatory())
+        starts[n] = f"list_filter(range(len(w)), lambda i: w[i + 1] = '{t.key.split()[0]}' AND {held}) AS s{n}"
         same = " + ".join(f"CASE WHEN i + {i - lead} >= 0 AND w[i + {i - lead + 1}] = '{word}' THEN 1 ELSE 0 END" for i, word in enumerate(wording))
         fits.append(f"list_transform(s{n}, lambda i: CAST({same} AS DOUBLE) / {len(wording)})")
     base = [n for n, t in enumerate(TEMPLATES) if t.base]

@@ -561,6 +561,40 @@ def test_licenses(spark, nothing):
     assert licenses.license_report(licenses.scan_licenses(nothing)).count() == 0
 
 
+NOTICES = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights""",
+    "apache-2": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.""",
+    "gpl-2": """This program is free software; you can redistribute it and/or modify it under the terms of the
+// GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or""",
+    "gpl-3": """it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "agpl-3": """GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License""",
+    "bsd,bsd-3": """Redistribution and use in source and binary forms, with or without modification, are permitted.
+ Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+ derived from this software without specific prior written permission.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+ granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_standard_notices(spark):
+    """Whole notices have their label; without one mandatory word, or with a word more between the phrases, they have none."""
+    rows = [(i, text) for i, text in enumerate(NOTICES.values())]
+    far = NOTICES["gpl-3"].replace("either version", "in either version")
+    spoilt = [(100, NOTICES["mit"].replace("without restriction", "with restriction")), (101, far), (102, NOTICES["unlicense"].replace("and", "or"))]
+    df = table_of(spark, rows + spoilt)
+    for frame in (df, df.where("doc_id IN (3, 101)"), df.unionByName(table_of(spark, [(200 + i, "gnu affero unencumbered fee restriction") for i in range(20)]))):
+        got = {r["doc_id"]: r for r in licenses.license_report(licenses.scan_licenses(frame)).collect()}
+        for i, label in enumerate(NOTICES):
+            assert i not in got or got[i]["labels"] == label
+        assert all(r["labels"] == "" and r["score"] == 0 for k, r in got.items() if k >= 100)
+    assert got[7]["score"] == 1 and 0.5 < got[3]["score"] < 1 and got[1]["base_labels"] == "apache-2"
+
+
 def test_license_scan_stays_in_the_jvm(documents):
     plan = licenses.license_report(licenses.scan_licenses(documents))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
