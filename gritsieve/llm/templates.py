@@ -178,7 +178,7 @@ def _windows(rows: DataFrame, sizes: list[int], literals: int, own_size: int = 0
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    size: int = 8, literals: int = 4, shortest: int = 5, run: int = 13, share: float = 0.5, bits: int = 26, salts: int = 16,
+    size: int = 8, literals: int = 4, shortest: int = 5, run: int = 13, share: float = 0.5, bits: int = 26, salts: int = 16, at: str | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, covered, n_tokens, changed): the documents that hold a benchmark item's wording.
 
@@ -196,7 +196,8 @@ def contaminated(
     Slots are compared without regard to case. Windows of fewer than ``literals`` literal tokens meet
     only their exact wording. Items of fewer than ``size`` tokens are one window of their own length; those of fewer than
     ``shortest`` tokens are too short to be evidence. In scripts without blanks a letter is a token. Null and empty texts match nothing;
-    rows are judged one by one, and equal keys share the row of best coverage; several items with an equal text are
+    rows are judged one by one, and equal keys share the row of best coverage, unless ``at`` names a column of unique
+    numbers: then each row has its own result, with its number as ``at``, whatever its key; several items with an equal text are
     listed each; empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -205,7 +206,8 @@ def contaminated(
     known = stored(_windows(items, [size], literals, own_size=size).where(F.col("n_tokens") >= shortest))
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most ``size`` numbers
     bitmap = bitmap_of(known, bits)
-    rows = docs.select(F.col(key).cast("long").alias("key"), place, F.col(text).cast("string").alias("text"))
+    own_place = place if at is None else F.col(at).cast("long").alias("row")
+    rows = docs.select(F.col(key).cast("long").alias("key"), own_place, F.col(text).cast("string").alias("text"))
     met = _windows(rows, sizes, literals, bitmap=spark.sparkContext.broadcast(bitmap), bits=bits)
     left = met.select("h", "size", F.col("key").alias("doc_id"), "row", F.col("at").alias("doc_at"), F.col("raw").alias("doc_raw"), F.col("template"), F.pmod(F.xxhash64("key", "at"), F.lit(salts)).alias("salt"))
     right = known.select("h", "size", F.col("key").alias("item_id"), F.col("at").alias("item_at"), F.col("raw").alias("item_raw"), F.col("template").alias("item_template"), "n_tokens").withColumn(
@@ -239,6 +241,8 @@ def contaminated(
         )
     )
     found = found.where(F.col("covered") >= F.least(F.lit(run), F.ceil(F.col("n_tokens") * share)))
+    if at is not None:
+        return found.select(F.col("row").alias("at"), "doc_id", "item_id", "covered", "n_tokens", "changed")
     best = F.max(F.struct("covered", ~F.col("changed"), "n_tokens"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.covered", "b.n_tokens", (~F.col("b.col2")).alias("changed"))
 
