@@ -32,14 +32,17 @@ def free_names(docs: DataFrame, *wanted: str) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters and those in which no known language stands out."""
+    """Rejects texts without letters (null and empty ones too) and those in which no known language stands out.
+
+    Rows are judged one by one; where nothing is labelled, no language is known and no row stays.
+    """
     lang, score = free_names(docs, "lang_pred", "lang_score")
     told = predict(docs, train(docs), names=(lang, score))
     return told.where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each class of near copies."""
+    """Keeps the first row of each class of near copies; texts without words are in no class and stay."""
     (at,) = free_names(docs, "at")
     rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "near_copies")
     found = near_duplicates(rows, size=SHINGLE_WORDS, percent=PERCENT, at=at)
@@ -48,9 +51,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
-    leaks = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rejects the rows that hold a benchmark item, each by its own text, whatever its doc_id (null or repeated)."""
+    (at,) = free_names(docs, "at")
+    rows = written(docs.withColumn(at, F.monotonically_increasing_id()), "benchmark_leaks")
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), at=at)
+    leaks = stored(found.select(F.col("at").alias(at)).distinct())
+    return rows.join(leaks, at, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
