@@ -67,3 +67,12 @@ def test_stages_keep_the_columns(spark, corpus):
     nothing = docs.where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, corpus).count() == 0
+
+
+def test_leaks_are_rows(spark, corpus):
+    """A leaking row goes whatever its doc_id; clean rows that share the doc_id stay."""
+    item = spark.read.parquet(f"{corpus}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, f"see {item} here"), (None, "a clean row"), (7, item), (7, "another clean row"), (7, "another clean row"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit("clash")).repartition(3)
+    kept = corpus_pipeline.benchmark_leaks(spark, docs, corpus).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
