@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gritsieve.schema import SemanticSchema, register_type
 from gritsieve.functions.scalars import extract_category
@@ -159,6 +161,12 @@ def messy(spark: SparkSession, folder: str) -> DataFrame:
     return spread(orders.selectExpr(*[f"{e} AS {n}" for n, e in MESSY.items()]), "row_id")
 
 
+def tagged(parts: dict[str, DataFrame]) -> DataFrame:
+    """Tables of different columns as one, each row with its part's name."""
+    named = [df.select(F.lit(name).alias("part"), "*") for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 def over_messy(sql: str) -> str:
     """Put the messy table in front of a check."""
     return f"WITH {MESSY_CTE}{',' if sql.lstrip().startswith(',') else ''} {sql.lstrip().lstrip(',')}"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritsieve.catalog.base import MESSY, MESSY_SCHEMA, VALID_SQL, messy, over_messy, query
+from gritsieve.catalog.base import MESSY, MESSY_SCHEMA, ORACLES, VALID_SQL, messy, over_messy, query, scratch_folder, tagged
 from gritsieve.operators import duplicates, quality
 from gritsieve.plans.cleaning import clean
 from gritsieve.sources.files import read_table
+from gritsieve.streaming.validation import running_rejects, running_summary, validate_stream
 
 c = F.col
 
@@ -44,6 +45,27 @@ def qlt_2(spark, folder):
     return quality.distinct_rejects(messy(spark, folder), MESSY_SCHEMA).withColumnRenamed("column", "column_name")
 
 
+def _streamed(spark, folder) -> str:
+    """The messy table read as a stream in several batches; the folder of what was summed up."""
+    seen = scratch_folder(spark)
+    messy(spark, folder).repartition(8, "row_id").write.parquet(f"{seen}/rows")
+    stream = spark.readStream.schema(messy(spark, folder).schema).option("maxFilesPerTrigger", 3).parquet(f"{seen}/rows")
+    validate_stream(stream, MESSY_SCHEMA, f"{seen}/sums", f"{seen}/log", ("id", "revenue", "budget")).awaitTermination()
+    return f"{seen}/sums"
+
+
+@query("qlt_2_stream", ORACLES["qlt_2"])
+def qlt_2_stream(spark, folder):
+    """The distinct rejects of a stream, merged over its batches."""
+    return running_rejects(spark, _streamed(spark, folder)).withColumnRenamed("column", "column_name")
+
+
+@query("qlt_1_stream", ORACLES["qlt_1"])
+def qlt_1_stream(spark, folder):
+    """The validation summary of a stream, merged over its batches."""
+    return running_summary(spark, _streamed(spark, folder)).withColumnRenamed("column", "column_name")
+
+
 _FLAT_COLUMNS = tuple(n for n in MESSY_SCHEMA.columns if n not in ("items", "info"))
 _ITEMS, _INFO = VALID_SQL["items"], VALID_SQL["info"]
 
@@ -92,23 +114,53 @@ def qlt_7(spark, folder):
 
 _CLEANED = ("title", "flag", "day", "status")
 _CLEANED_NUMBERS = ("id", "revenue", "budget")
+_KEPT = (*_CLEANED_NUMBERS, *_CLEANED, "items", "info")
+_NESTED_SQL = (
+    f"CAST(json_array_length({_ITEMS}) AS INTEGER) AS n_items, json_extract_string({_ITEMS}, '$[0].name') AS first_item, "
+    f"json_extract_string({_INFO}, '$.id') AS info_id, json_extract_string({_INFO}, '$.name') AS info_name"
+)
+
+
+def _nested() -> list:
+    """Of the nested columns what SQL can show alike."""
+    return [
+        F.size("items").alias("n_items"), F.col("items")[0]["name"].alias("first_item"),
+        F.col("info")["id"].alias("info_id"), F.col("info")["name"].alias("info_name"),
+    ]
 
 
 @query(
     "qlt_8",
     over_messy(
-        f", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(n for n in MESSY if n != 'row_id')} ORDER BY row_id) AS rn FROM messy) WHERE rn = 1), "
-        "typed AS (SELECT row_id, " + ", ".join(f"{VALID_SQL[n]} AS {n}" for n in (*_CLEANED, *_CLEANED_NUMBERS)) + " FROM firsts) "
-        "SELECT row_id, " + ", ".join(_CLEANED) + ", "
+        f", numbered AS (SELECT *, row_number() OVER (PARTITION BY {', '.join(n for n in MESSY if n != 'row_id')} ORDER BY row_id) AS rn FROM messy), "
+        "firsts AS (SELECT * FROM numbered WHERE rn = 1), "
+        "typed AS (SELECT row_id, " + ", ".join(f"{VALID_SQL[n]} AS {n}" for n in (*_CLEANED, *_CLEANED_NUMBERS)) + f", {_NESTED_SQL} FROM firsts) "
+        "SELECT 'table' AS part, row_id, " + ", ".join(_CLEANED) + ", "
         + ", ".join(f"round(({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER (), 6) AS {n}" for n in _CLEANED_NUMBERS)
-        + " FROM typed"
+        + ", n_items, first_item, info_id, info_name FROM typed"
+        + "".join(
+            f" UNION ALL BY NAME SELECT 'rejects' AS part, row_id, '{n}' AS column_name, '{MESSY_SCHEMA.columns[n]}' AS semantic_type, {n} AS value FROM firsts WHERE {_bad(n)}"
+            for n in _KEPT
+        )
+        + " UNION ALL BY NAME SELECT 'duplicates' AS part, row_id FROM numbered WHERE rn > 1"
+        + "".join(
+            f" UNION ALL BY NAME SELECT 'dropped' AS part, '{n}' AS column_name FROM firsts HAVING count(*) - count({n}) > 0.5 * count(*)"
+            for n in MESSY_SCHEMA.columns
+        )
     ),
 )
 def qlt_8(spark, folder):
-    """The whole cleaning run; of its result the columns SQL can show alike."""
-    table = clean(messy(spark, folder), MESSY_SCHEMA, "row_id").table
+    """The whole cleaning run: its table with all columns, rejects, duplicates and dropped columns, as tagged rows."""
+    found = clean(messy(spark, folder), MESSY_SCHEMA, "row_id")
     numbers = [F.round(n, 6).alias(n) for n in _CLEANED_NUMBERS]
-    return table.select("row_id", *_CLEANED, *numbers)
+    dropped = spark.createDataFrame([(n,) for n in found.dropped_columns], "column_name string")
+    parts = {
+        "table": found.table.select("row_id", *_CLEANED, *numbers, *_nested()),
+        "rejects": found.rejects.withColumnRenamed("column", "column_name"),
+        "duplicates": found.duplicates.select("row_id"),
+        "dropped": dropped,
+    }
+    return tagged(parts)
 
 
 # -- duplicates --------------------------------------------------------------------------

@@ -328,9 +328,12 @@ def sch_7(spark, folder):
     return df.agg(F.count(F.lit(1)).alias("rows_checked"))
 
 
-_DETECTED = ("boolean", "integer", "float", "string", "ymd_datetime")
-_DETECT_SQL = {"boolean": boolean_sql, "integer": integer_sql, "float": float_sql, "string": string_sql, "ymd_datetime": date_sql}
-_DETECT_COLUMNS = ("id", "title", "revenue", "flag", "day", "status", "note", "blank")
+_DETECT_SQL = {
+    "boolean": boolean_sql, "integer": integer_sql, "float": float_sql, "string": string_sql, "ymd_datetime": date_sql,
+    "list_of_dict": records_sql, "dict": dict_sql, "order_status": lambda n: VALID_SQL["status"].replace("status", n),
+}
+_DETECTED = tuple(_DETECT_SQL)
+_DETECT_COLUMNS = tuple(MESSY_SCHEMA.columns)
 
 
 @query(

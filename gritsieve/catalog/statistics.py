@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gritsieve.catalog.base import MESSY_SCHEMA, VALID_SQL, float_sql, integer_sql, messy, over_messy, query
-from gritsieve.operators import aggregates as agg, duplicates, profile, scaling
+from gritsieve.catalog.base import MESSY_SCHEMA, VALID_SQL, float_sql, integer_sql, messy, over_messy, query, tagged
+from gritsieve.operators import aggregates as agg, duplicates, profile, scaling, states
 from gritsieve.operators.histogram import histogram
 from gritsieve.operators.preview import grid
 from gritsieve.operators.quality import distinct_rejects
@@ -162,7 +162,7 @@ def agg_15(spark, folder):
     return messy(spark, folder).agg(*[F.count_if(c(n).isNull()).alias(n) for n in MESSY_SCHEMA.columns])
 
 
-_DESCRIBED = ("title", "flag", "status", "note", "blank")
+_DESCRIBED = tuple(MESSY_SCHEMA.columns)
 
 
 @query(
@@ -241,7 +241,18 @@ def prf_1(spark, folder):
     return rounded(found).withColumnRenamed("column", "column_name")
 
 
-_PROFILED = ("id", "title", "flag", "status", "note")
+_EXACT_STATE = ("count", "missing", "mean", "std", "variance", "skewness", "kurtosis", "min", "max", "range")
+
+
+@query("prf_1_states", " UNION ALL ".join(f"SELECT column_name, {', '.join(f'{chr(34)}{f}{chr(34)}' for f in _EXACT_STATE)} FROM ({stats_sql(n, 'lineitem', n)}) a" for n in LINE_NUMBERS))
+def prf_1_states(spark, folder):
+    """The numeric profile merged from the states of seven parts; its exact columns (a test bounds the others)."""
+    lines = _lines(spark, folder, *LINE_NUMBERS, "l_orderkey").withColumn("part", F.pmod("l_orderkey", F.lit(7)))
+    merged = states.merge_states(states.column_states(lines, LINE_NUMBERS, by=["part"]))
+    return rounded(states.profile_of(merged).select("column", *_EXACT_STATE)).withColumnRenamed("column", "column_name")
+
+
+_PROFILED = tuple(MESSY_SCHEMA.columns)
 
 
 def _text_profile_sql(n: str) -> str:
@@ -267,23 +278,29 @@ _TYPED = f"(SELECT CAST({integer_sql('id')} AS DOUBLE) AS id, {float_sql('revenu
     "prf_3",
     over_messy(
         f", typed AS (SELECT * FROM {_TYPED}) "
-        + " UNION ALL ".join(f"SELECT a.*, {unique_sql(n, 'typed')} FROM ({stats_sql(n, 'typed', n)}) a" for n in ("id", "revenue", "budget"))
+        + " UNION ALL ".join(f"SELECT 'numeric' AS part, a.*, {unique_sql(n, 'typed')} FROM ({stats_sql(n, 'typed', n)}) a" for n in ("id", "revenue", "budget"))
+        + "".join(f" UNION ALL BY NAME SELECT 'text' AS part, a.* FROM ({_text_profile_sql(n)}) a" for n in _PROFILED)
     ),
 )
 def prf_3(spark, folder):
-    parts = profile.all_columns_profile(messy(spark, folder).select("id", "revenue", "budget"), MESSY_SCHEMA)
-    return rounded(parts["numeric"]).withColumnRenamed("column", "column_name")
+    """The profile of all columns, both parts as tagged rows."""
+    parts = profile.all_columns_profile(messy(spark, folder).select(*_PROFILED), MESSY_SCHEMA)
+    parts["numeric"] = rounded(parts["numeric"])
+    return tagged(parts).withColumnRenamed("column", "column_name")
 
 
+# The column types of the declared semantic types, in table order.
 _TABLE_DTYPES = {
-    "id": ("bigint", "integer"), "title": ("string", "string"), "flag": ("boolean", "boolean"),
-    "status": ("string", "order_status"), "homepage": ("string", "string"), "blank": ("string", "string"),
+    "id": ("bigint", "integer"), "title": ("string", "string"), "revenue": ("double", "float"), "budget": ("bigint", "integer"),
+    "flag": ("boolean", "boolean"), "day": ("date", "ymd_datetime"), "status": ("string", "order_status"),
+    "items": ("array<map<string,string>>", "list_of_dict"), "info": ("map<string,string>", "dict"),
+    "homepage": ("string", "string"), "note": ("string", "string"), "blank": ("string", "string"),
 }
 
 
-def _columns_table_sql(names, table="messy") -> str:
-    return " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS position, '{n}' AS column_name, '{_TABLE_DTYPES[n][0]}' AS dtype, '{_TABLE_DTYPES[n][1]}' AS semantic_type, "
+def _columns_table_sql(names, table="messy", part="") -> str:
+    return " UNION ALL BY NAME ".join(
+        f"SELECT {part}CAST({i} AS INTEGER) AS position, '{n}' AS column_name, '{_TABLE_DTYPES[n][0]}' AS dtype, '{_TABLE_DTYPES[n][1]}' AS semantic_type, "
         f"count(DISTINCT {n}) AS n_unique, {_null_percent_sql(n).replace(f' AS {n}', ' AS null_percent')} FROM {table}"
         for i, n in enumerate(names)
     )
@@ -295,18 +312,42 @@ def prf_4(spark, folder):
     return found.withColumnRenamed("column", "column_name")
 
 
+def _cell_sql(n: str) -> str:
+    """Display text of a text cell: digits to the right, other texts to the left, cut to 8 characters."""
+    text = rf"regexp_replace(coalesce({n}, ''), '^\s+|\s+$', '', 'g')"
+    cut = f"CASE WHEN length({text}) > 8 THEN left({text}, 7) || '…' ELSE {text} END"
+    return f"CASE WHEN regexp_full_match({n}, '[0-9]+') THEN lpad({n}, 10, ' ') ELSE rpad({cut}, 10, ' ') END AS {n}"
+
+
+_SHOWN = ("id", "title", "homepage", "note", "blank")
+
+
+def _preview_sql(part: str, table: str) -> str:
+    return (
+        f"SELECT '{part}' AS part, row_id, {', '.join(map(_cell_sql, _SHOWN))} FROM "
+        f"(SELECT *, row_number() OVER (ORDER BY row_id) AS a, row_number() OVER (ORDER BY row_id DESC) AS b FROM {table}) WHERE a <= 3 OR b <= 3"
+    )
+
+
 @query(
     "prf_5",
     over_messy(
-        ", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY status, title ORDER BY row_id) AS rn FROM messy) WHERE rn = 1) "
-        + _columns_table_sql([n for n in _TABLE_DTYPES if n not in ("homepage", "blank")], "firsts")
+        ", firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY status, title ORDER BY row_id) AS rn FROM messy) WHERE rn = 1), "
+        "pairs AS (SELECT status, title, count(*) AS n, min(row_id) AS row_id FROM messy WHERE status IS NOT NULL GROUP BY status, title HAVING count(*) > 1) "
+        + _preview_sql("preview", "messy") + " UNION ALL BY NAME " + _preview_sql("preview_after", "firsts")
+        + " UNION ALL BY NAME SELECT 'shape' AS part, count(*) AS rows, CAST(12 AS BIGINT) AS columns FROM messy"
+        + " UNION ALL BY NAME SELECT 'duplicates' AS part, status, arg_min(title, row_id) AS title, min(row_id) AS row_id, CAST(sum(n) AS BIGINT) AS \"count\" FROM pairs GROUP BY status"
+        + " UNION ALL BY NAME " + _columns_table_sql(_TABLE_DTYPES, "firsts", "'columns_before' AS part, ")
+        + " UNION ALL BY NAME " + _columns_table_sql([n for n in _TABLE_DTYPES if n not in ("homepage", "note", "blank")], "firsts", "'columns_after' AS part, ")
     ),
 )
 def prf_5(spark, folder):
-    """The last part of the table profile: columns after removing duplicates and sparse columns."""
+    """All parts of the table profile as tagged rows; of the previews the cells SQL can show alike."""
     df = messy(spark, folder).select("row_id", *_TABLE_DTYPES)
     parts = profile.table_profile(df, MESSY_SCHEMA, "row_id", keys=("status", "title"), percent=60)
-    return parts["columns_after"].withColumnRenamed("column", "column_name")
+    for name in ("preview", "preview_after"):
+        parts[name] = parts[name].select("row_id", *_SHOWN)
+    return tagged(parts).withColumnRenamed("column", "column_name")
 
 
 @query(
