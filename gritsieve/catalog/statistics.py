@@ -314,7 +314,7 @@ def prf_4(spark, folder):
 
 def _cell_sql(n: str) -> str:
     """Display text of a text cell: digits to the right, other texts to the left, cut to 8 characters."""
-    text = rf"regexp_replace(coalesce({n}, ''), '^\s+|\s+$', '', 'g')"
+    text = f"translate(coalesce({n}, ''), chr(10) || chr(9), '  ')"
     cut = f"CASE WHEN length({text}) > 8 THEN left({text}, 7) || '…' ELSE {text} END"
     return f"CASE WHEN regexp_full_match({n}, '[0-9]+') THEN lpad({n}, 10, ' ') ELSE rpad({cut}, 10, ' ') END AS {n}"
 
