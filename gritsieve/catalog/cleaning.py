@@ -46,10 +46,12 @@ def qlt_2(spark, folder):
 
 
 def _streamed(spark, folder) -> str:
-    """The messy table read as a stream in several batches; the folder of what was summed up."""
+    """The messy table, a file per task, read as a stream in three batches; the folder of what was summed up."""
     seen = scratch_folder(spark)
-    messy(spark, folder).repartition(8, "row_id").write.parquet(f"{seen}/rows")
-    stream = spark.readStream.schema(messy(spark, folder).schema).option("maxFilesPerTrigger", 3).parquet(f"{seen}/rows")
+    rows = messy(spark, folder)
+    rows.write.parquet(f"{seen}/rows")
+    files = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{seen}/rows")
     validate_stream(stream, MESSY_SCHEMA, f"{seen}/sums", f"{seen}/log", ("id", "revenue", "budget")).awaitTermination()
     return f"{seen}/sums"
 

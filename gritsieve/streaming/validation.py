@@ -18,8 +18,11 @@ from gritsieve.schema import SemanticSchema, extract_columns
 
 
 def write_batch(batch: DataFrame, number: int, folder: str, schema: SemanticSchema, profiled: Sequence[str] = ()) -> None:
-    """The tables of one batch; writing a batch again changes nothing."""
-    kept = batch.persist()
+    """The tables of one batch; writing a batch again changes nothing.
+
+    A batch comes in as many parts as it has file splits, often few; its rows are dealt to all tasks first.
+    """
+    kept = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))).persist()
     counts = [F.struct(F.lit(c).alias("column"), F.lit(schema.columns.get(c)).cast("string").alias("semantic_type"), F.count(c).alias("n_values")) for c in batch.columns]
     tables = {
         "rejects": distinct_rejects(kept, schema),
