@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gritsieve.operators.aggregates import all_valid, null_counts
 from gritsieve.schema import SemanticSchema, extract_columns, semantic_type, semantic_types
+from gritsieve.session import ensure_checkpoint_dir
+
 
 def _long_rejects(df: DataFrame, schema: SemanticSchema, *keep) -> DataFrame:
     """One row per non-null cell that fails its column's type."""
@@ -28,40 +30,71 @@ def cell_rejects(df: DataFrame, schema: SemanticSchema, row_id: str) -> DataFram
     return _long_rejects(df, schema, F.col(row_id).alias("row_id")).select("row_id", "cell.*")
 
 
-def distinct_rejects(df: DataFrame, schema: SemanticSchema) -> DataFrame:
-    """Each distinct bad value of each column with its number of rows."""
-    bad = _long_rejects(df, schema).select("cell.*")
-    return bad.groupBy("column", "semantic_type", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+def _passes(name: str, kinds: Sequence[str]) -> Column:
+    """Is ``value`` valid under the type in column ``name``?"""
+    test = F.lit(True)
+    for kind in kinds:
+        test = F.when(F.col(name) == kind, semantic_type(kind).is_valid(F.col("value"))).otherwise(test)
+    return test
 
 
-def validation_summary(df: DataFrame, schema: SemanticSchema) -> DataFrame:
-    """Per column: status, and numbers of non-null, invalid and distinct bad cells.
+def cell_counts(df: DataFrame, schema: SemanticSchema) -> DataFrame:
+    """(column, semantic_type, value, n_rows, is_bad): the distinct bad values and, under null, the good cells of each column.
 
-    Every column has exactly one status: 'valid', 'invalid' or 'unregistered'. Cells are
-    read once for the numbers of values and once for the rejects.
+    Rows are read once. Cells of costly types are judged after equal texts have become one row;
+    ``is_bad`` is an aggregate, so that no filter on it moves that test back to the cells.
     """
-    facts = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(schema.columns.get(c)).cast("string").alias("semantic_type"),
-            F.count(c).alias("n_values"),
-        )
-        for c in df.columns
-    ]
-    counts = df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
-    bad = distinct_rejects(df, schema).groupBy("column").agg(
-        F.sum("n_rows").alias("n_invalid"), F.count(F.lit(1)).alias("n_distinct_bad")
+    known = schema.known(df)
+    costly = sorted({t for t in map(schema.column_type, known) if semantic_type(t).costly})
+    empty = F.lit(None).cast(df.schema[known[0]].dataType if known else "string")
+    cells = []
+    for c in df.columns:
+        kind = schema.columns.get(c)
+        unjudged = kind in costly
+        value = empty if kind is None else F.col(c) if unjudged else F.when(~semantic_type(kind).is_valid(F.col(c)), F.col(c))
+        names = (F.lit(c).alias("column"), F.lit(kind).cast("string").alias("semantic_type"))
+        cells.append(F.when(F.col(c).isNotNull(), F.struct(*names, value.alias("value"), F.lit(unjudged).alias("unjudged"))))
+    rows = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
+    counts = rows.groupBy("column", "semantic_type", "value", "unjudged").agg(F.count(F.lit(1)).alias("n_rows"))
+    if costly:
+        bad = F.when(~F.col("unjudged") | ~_passes("semantic_type", costly), F.col("value"))
+        counts = counts.select("column", "semantic_type", bad.alias("value"), "n_rows")
+    is_bad = F.some(F.col("value").isNotNull())
+    return counts.groupBy("column", "semantic_type", "value").agg(F.sum("n_rows").alias("n_rows"), is_bad.alias("is_bad"))
+
+
+def _rejects_of(cells: DataFrame) -> DataFrame:
+    return cells.where("is_bad").drop("is_bad")
+
+
+def _summary_of(cells: DataFrame, columns: Sequence[str], schema: SemanticSchema) -> DataFrame:
+    names = cells.sparkSession.createDataFrame([(c, schema.columns.get(c)) for c in columns], "column string, semantic_type string")
+    seen = cells.groupBy("column").agg(
+        F.sum("n_rows").alias("n_values"),
+        F.sum(F.when(F.col("is_bad"), F.col("n_rows"))).alias("n_invalid"),
+        F.count_if("is_bad").alias("n_distinct_bad"),
     )
     status = (
         F.when(F.col("semantic_type").isNull(), "unregistered")
         .when(F.col("n_invalid") > 0, "invalid")
         .otherwise("valid")
     )
-    return counts.join(bad, "column", "left").select(
-        "column", "semantic_type", status.alias("status"), "n_values",
-        F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
-        F.coalesce("n_distinct_bad", F.lit(0)).alias("n_distinct_bad"),
-    )
+    numbers = [F.coalesce(n, F.lit(0)).alias(n) for n in ("n_values", "n_invalid", "n_distinct_bad")]
+    return names.join(seen, "column", "left").select("column", "semantic_type", status.alias("status"), *numbers)
+
+
+def distinct_rejects(df: DataFrame, schema: SemanticSchema) -> DataFrame:
+    """Each distinct bad value of each column with its number of rows."""
+    return _rejects_of(cell_counts(df, schema))
+
+
+def validation_summary(df: DataFrame, schema: SemanticSchema) -> DataFrame:
+    """Per column: status, and numbers of non-null, invalid and distinct bad cells.
+
+    Every column has exactly one status: 'valid', 'invalid' or 'unregistered'. Rows are read
+    once for all numbers.
+    """
+    return _summary_of(cell_counts(df, schema), df.columns, schema)
 
 
 def null_out_invalid(df: DataFrame, schema: SemanticSchema, row_id: str) -> tuple[DataFrame, DataFrame]:
@@ -76,12 +109,14 @@ def keep_valid(df: DataFrame, col: str, kind: str) -> DataFrame:
 
 
 def error_report(df: DataFrame, schema: SemanticSchema, run_id: str | None = None) -> dict[str, DataFrame]:
-    """Summary and distinct rejects, stamped with the run's id and start time."""
+    """Summary and distinct rejects, stamped with the run's id and start time; both from one checkpointed count of the cells."""
+    ensure_checkpoint_dir(df.sparkSession)
     run_id = run_id or uuid.uuid4().hex
     stamp = [F.lit(run_id).alias("run_id"), F.current_timestamp().alias("started_at")]
+    cells = cell_counts(df, schema).checkpoint()
     return {
-        "summary": validation_summary(df, schema).select(*stamp, "*"),
-        "rejects": distinct_rejects(df, schema).select(*stamp, "*"),
+        "summary": _summary_of(cells, df.columns, schema).select(*stamp, "*"),
+        "rejects": _rejects_of(cells).select(*stamp, "*"),
     }
 
 

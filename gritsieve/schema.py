@@ -20,6 +20,7 @@ class SemanticType:
     extract: Callable[[Column], Column]
     spark_type: str
     numeric: bool = False
+    costly: bool = False
 
     def is_valid(self, c: Column) -> Column:
         return self.extract(c).isNotNull()
@@ -29,10 +30,13 @@ _REGISTRY: dict[str, SemanticType] = {}
 
 
 def register_type(
-    name: str, extract: Callable[[Column], Column], spark_type: str, numeric: bool = False
+    name: str, extract: Callable[[Column], Column], spark_type: str, numeric: bool = False, costly: bool = False
 ) -> SemanticType:
-    """Add or replace a type; ``extract`` maps a text column to a typed one, null if invalid."""
-    _REGISTRY[name] = SemanticType(name, extract, spark_type, numeric)
+    """Add or replace a type; ``extract`` maps a text column to a typed one, null if invalid.
+
+    Of a ``costly`` type equal texts are judged once where only their counts matter.
+    """
+    _REGISTRY[name] = SemanticType(name, extract, spark_type, numeric, costly)
     return _REGISTRY[name]
 
 
@@ -47,9 +51,9 @@ def semantic_types() -> dict[str, SemanticType]:
 
 
 register_type("boolean", scalars.extract_boolean, "boolean")
-register_type("dict", nested.extract_dict, "map<string,string>")
+register_type("dict", nested.extract_dict, "map<string,string>", costly=True)
 register_type("integer", scalars.extract_integer, "bigint", numeric=True)
-register_type("list_of_dict", nested.extract_records, "array<map<string,string>>")
+register_type("list_of_dict", nested.extract_records, "array<map<string,string>>", costly=True)
 register_type("string", text.extract_string, "string")
 register_type("float", scalars.extract_float, "double", numeric=True)
 register_type("ymd_datetime", scalars.extract_date, "date")
