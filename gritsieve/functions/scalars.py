@@ -18,9 +18,14 @@ FIRST_DAY, LAST_DAY = "1677-09-22", "2262-04-11"
 STATUS_LABELS = ("Rumored", "Planned", "In Production", "Post Production", "Released", "Canceled")
 
 
+def _matched(c: Column, pattern: str, group: int = 0) -> Column:
+    """What a whole-text pattern finds, else null; a cast of ``regexp_extract``'s empty text would throw for every such cell."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
 def extract_integer(c: Column, signed: bool = False) -> Column:
     """Digits, or digits followed by a zero fraction; anything else is null."""
-    return F.regexp_extract(strip(c), SIGNED_INTEGER_TEXT if signed else INTEGER_TEXT, 1).try_cast("bigint")
+    return _matched(strip(c), SIGNED_INTEGER_TEXT if signed else INTEGER_TEXT, 1).try_cast("bigint")
 
 
 def is_integer(c: Column) -> Column:
@@ -29,7 +34,7 @@ def is_integer(c: Column) -> Column:
 
 def extract_float(c: Column) -> Column:
     """Decimal, exponent and infinity texts; the text ``nan`` is a missing value."""
-    return F.regexp_extract(strip(c), FLOAT_TEXT, 0).try_cast("double")
+    return _matched(strip(c), FLOAT_TEXT).try_cast("double")
 
 
 def is_float(c: Column) -> Column:
@@ -53,7 +58,7 @@ def is_boolean(c: Column, exact: bool = False) -> Column:
 
 
 def extract_date(c: Column) -> Column:
-    day = F.regexp_extract(strip(c), YMD_TEXT, 0).try_cast("date")
+    day = _matched(strip(c), YMD_TEXT).try_cast("date")
     return F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), day)
 
 

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from gritsieve.operators.aggregates import all_valid, null_counts
+from gritsieve.operators.aggregates import all_valid, frequencies, null_counts
 from gritsieve.schema import SemanticSchema, extract_columns, semantic_type, semantic_types
 from gritsieve.session import ensure_checkpoint_dir
 
@@ -123,19 +124,32 @@ def error_report(df: DataFrame, schema: SemanticSchema, run_id: str | None = Non
 def detect_types(
     df: DataFrame, types: Sequence[str] | None = None, skip: Sequence[str] = ()
 ) -> DataFrame:
-    """(column, semantic_type, fits): which types all of a column's values have, in one pass."""
+    """(column, semantic_type, fits): which types all of a column's values have, in one pass.
+
+    Each distinct text of a column is tested once; columns that are no text are tested row by row.
+    """
     types = list(types) if types is not None else list(semantic_types())
+    named = [c for c in df.columns if c not in skip]
+    texts = [c for c in named if isinstance(df.schema[c].dataType, StringType)]
     facts = [
         F.struct(
             F.lit(c).alias("column"),
             F.lit(t).alias("semantic_type"),
             all_valid(F.col(c), semantic_type(t).is_valid(F.col(c))).alias("fits"),
         )
-        for c in df.columns
-        if c not in skip
+        for c in named
+        if c not in texts
         for t in types
     ]
-    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    if not texts or not types:
+        return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+    # counts, as the optimizer drops the distinct values before an aggregate that repeats do not change
+    tests = [(F.count_if(~semantic_type(t).is_valid(F.col("value"))) == 0).alias(f"t{i}") for i, t in enumerate(types)]
+    seen = frequencies(df, texts).groupBy("column").agg(*tests)
+    told = [F.struct(F.lit(t).alias("semantic_type"), F.coalesce(f"t{i}", F.lit(True)).alias("fits")) for i, t in enumerate(types)]
+    names = df.sparkSession.createDataFrame([(c,) for c in texts], "column string")
+    found = names.join(seen, "column", "left").select("column", F.inline(F.array(*told)))
+    return found if not facts else found.unionByName(df.agg(F.array(*facts).alias("facts")).select(F.inline("facts")))
 
 
 def columns_within(df: DataFrame, allowed: Sequence[str], skip: Sequence[str] = ()) -> DataFrame:
