@@ -117,16 +117,24 @@ def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.withColumnRenamed("median", "q50")
 
 
-def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """count, unique, most frequent value (smallest on a tie) and its frequency."""
+def describe_text(df: DataFrame, columns: Sequence[str], bad: Column | None = None) -> DataFrame:
+    """count, unique, most frequent value (smallest on a tie) and its frequency.
+
+    ``bad``, a test of (column, value), adds the numbers of bad and of distinct bad values; it is made once for each distinct value.
+    """
     top = F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))
-    seen = frequencies(df, columns).groupBy("column").agg(
+    values, faults = frequencies(df, columns), {}
+    if bad is not None:
+        values = values.withColumn("bad", bad)
+        faults = {"n_invalid": F.sum(F.when(F.col("bad"), F.col("n"))), "n_distinct_bad": F.count_if("bad")}
+    seen = values.groupBy("column").agg(
         F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
-        top["value"].alias("top"), (-top["n"]).alias("freq"),
+        top["value"].alias("top"), (-top["n"]).alias("freq"), *[f.alias(n) for n, f in faults.items()],
     )
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(seen, "column", "left").select(
-        "column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"), "top", "freq"
+        "column", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("unique", F.lit(0)).alias("unique"), "top", "freq",
+        *[F.coalesce(n, F.lit(0)).alias(n) for n in faults],
     )
 
 

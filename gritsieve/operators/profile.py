@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from gritsieve.operators import aggregates as agg
 from gritsieve.operators.duplicates import find_duplicates, remove_duplicates
 from gritsieve.operators.preview import grid
-from gritsieve.operators.quality import droppable_columns, validation_summary
-from gritsieve.schema import SemanticSchema, extract_columns
+from gritsieve.operators.quality import droppable_columns
+from gritsieve.schema import SemanticSchema, extract_columns, semantic_type
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -34,8 +34,10 @@ def column_profile(df: DataFrame, col: str, schema: SemanticSchema, k: int = 10)
 
 def text_profile(df: DataFrame, schema: SemanticSchema) -> DataFrame:
     """Every text column's count, distinct count, top value and number of bad values."""
-    errors = validation_summary(df, schema).select("column", "n_invalid", "n_distinct_bad")
-    return agg.describe_text(df, df.columns).join(errors, "column", "left")
+    bad = F.lit(False)
+    for c in schema.known(df):
+        bad = F.when(F.col("column") == c, ~semantic_type(schema.column_type(c)).is_valid(F.col("value"))).otherwise(bad)
+    return agg.describe_text(df, df.columns, bad)
 
 
 def all_columns_profile(df: DataFrame, schema: SemanticSchema) -> dict[str, DataFrame]:
