@@ -26,7 +26,7 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def _firsts(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+def first_rows(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
     """The order values of each group's first row."""
     return df.groupBy(*_group_keys(df, columns)).agg(F.min(order).alias(order)).select(order)
 
@@ -42,13 +42,13 @@ def drop_exact_duplicates(
     if order is None:
         return df.dropDuplicates(list(columns) if columns else None)
     columns = columns or [c for c in df.columns if c != order]
-    return df.join(_firsts(df, columns, order), order, "left_semi")
+    return df.join(first_rows(df, columns, order), order, "left_semi")
 
 
 def repeated_rows(df: DataFrame, order: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The rows ``drop_exact_duplicates`` removes."""
     columns = columns or [c for c in df.columns if c != order]
-    return df.join(_firsts(df, columns, order), order, "left_anti")
+    return df.join(first_rows(df, columns, order), order, "left_anti")
 
 
 def find_duplicates(df: DataFrame, order: str, keys: Sequence[str] = ("id", "title")) -> DataFrame:

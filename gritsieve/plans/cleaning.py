@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gritsieve.operators.aggregates import null_counts
-from gritsieve.operators.duplicates import drop_exact_duplicates, repeated_rows
+from gritsieve.operators.duplicates import first_rows
 from gritsieve.operators.quality import blank_columns, null_out_invalid, sparse_columns
 from gritsieve.operators.scaling import autoscale
 from gritsieve.schema import SemanticSchema
@@ -28,14 +28,15 @@ def clean(df: DataFrame, schema: SemanticSchema, order: str, max_missing: float
     """Clean an all-text table.
 
     ``order`` is a unique row number: it decides which copy of equal rows is kept and
-    identifies rejected cells. The table without duplicates is read by the null counts, the
-    scaler's fit, the result and the rejects, so it is checkpointed once. Validation and
+    identifies rejected cells. The table, each row told whether it is a first copy, is read by
+    the null counts, the scaler's fit, the result and the rejects, so it is checkpointed once. Validation and
     scaling are part of the result's plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
     data = [c for c in df.columns if c != order]
-    duplicates = repeated_rows(df, order, data)
-    unique = drop_exact_duplicates(df, order, data).checkpoint()
+    firsts = first_rows(df, data, order).distinct().select(order, F.lit(True).alias("__first"))
+    told = df.join(firsts, order, "left").checkpoint()
+    unique, duplicates = told.where("__first").drop("__first"), told.where("__first IS NULL").drop("__first")
     nulls = null_counts(unique)
     gone = set(blank_columns(unique, nulls)) | set(sparse_columns(unique, max_missing, nulls))
     dropped = [c for c in data if c in gone]
