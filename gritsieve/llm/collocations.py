@@ -44,13 +44,13 @@ class Numbers:
         for w in set(words).difference(number):
             self.words.append(w)
             number[w] = len(self.words)
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
 
 def suffixes(ids: np.ndarray) -> np.ndarray:
     """(n, DEPTH): the words from each word on, 0 from the end of its piece."""
-    out = np.zeros((len(ids), DEPTH), np.int64)
-    padded = np.r_[ids, np.zeros(DEPTH, np.int64)]
+    out = np.zeros((len(ids), DEPTH), np.int32)
+    padded = np.r_[ids, np.zeros(DEPTH, ids.dtype)]
     inside = np.ones(len(ids), bool)
     for d in range(DEPTH):
         column = padded[d : d + len(ids)]
@@ -62,15 +62,19 @@ def suffixes(ids: np.ndarray) -> np.ndarray:
 def merged(rows: np.ndarray, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Equal suffixes as one, their counts added."""
     base = n_words + 1
+    key = lambda d: rows[:, d].astype(np.int64)  # the numbers of words are 32 bits wide, their products 64
     if base < 1 << 15:
-        keys = ((rows[:, 0] * base + rows[:, 1]) * base + rows[:, 2]) * base + rows[:, 3]
+        keys = ((key(0) * base + key(1)) * base + key(2)) * base + key(3)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
     else:
-        order = np.lexsort((rows[:, 2] * base + rows[:, 3], rows[:, 0] * base + rows[:, 1]))
-        sorted_rows = rows[order]
-        new = np.r_[True, (sorted_rows[1:] != sorted_rows[:-1]).any(1)] if len(rows) else np.zeros(0, bool)
+        order = np.lexsort((key(2) * base + key(3), key(0) * base + key(1)))
+        new = np.zeros(len(rows), bool)
+        new[:1] = True
+        for d in range(DEPTH):
+            column = rows[order, d]
+            new[1:] |= column[1:] != column[:-1]
     first = np.flatnonzero(new)
     return rows[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
@@ -198,6 +202,7 @@ def packed_suffixes(texts: DataFrame, heavy: dict[str, set[bytes]], pieces: int)
             for lang, words in _by_lang(batch):
                 numbers = Numbers()
                 rows = suffixes(numbers.of(words))
+                del words
                 if not len(rows):
                     continue
                 known[(lang, b"")] = known.get((lang, b""), 0) + len(rows)
@@ -263,15 +268,18 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
 
     def sort_run(lang: str, held: list[tuple], whole: bool) -> list[tuple[str, str, int, int]]:
         numbers = Numbers()
-        parts, weights = [], []
-        for words, ids, counts in held:
+        total, at = sum(len(counts) for _, _, counts in held) // 4, 0
+        rows, weights = np.empty((total, DEPTH), np.int32), np.empty(total, np.int64)
+        while held:  # what is unpacked is let go
+            words, ids, counts = held.pop()
             own = words.split(b"\n")
-            n = np.frombuffer(counts, "<u4").astype(np.int64)
+            n = len(counts) // 4
             kind = "<u2" if len(own) < 1 << 16 else "<u4"
             local = np.frombuffer(ids, kind).reshape(DEPTH, -1).T
-            parts.append(np.r_[0, numbers.of(own)][local])
-            weights.append(n)
-        rows, counts = merged(np.concatenate(parts), np.concatenate(weights), len(numbers.words))
+            rows[at : at + n] = np.r_[np.int32(0), numbers.of(own)][local]
+            weights[at : at + n] = np.frombuffer(counts, "<u4")
+            at += n
+        rows, counts = merged(rows, weights, len(numbers.words))
         hot, out = sent.value.get(lang, set()), []
         for phrase, n in frequent_prefixes(rows, counts, least if whole else 1):
             text = b" ".join([numbers.words[i - 1] for i in phrase])
@@ -302,7 +310,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         if held and (out := sort_run(at[1], held, whole)):
             yield batch_of(out)
 
-    dealt = rows.repartition("route").sortWithinPartitions("route", "lang")
+    # a task for each route: hashed or joined by adaptive execution, many routes would make one large Arrow batch
+    dealt = rows.repartitionById(pieces, F.col("route").cast("int")).sortWithinPartitions("route", "lang")
     found = dealt.mapInArrow(run, COUNTED).groupBy("lang", "phrase", "len").agg(F.sum("n").alias("n"))
     return found.where((F.col("n") >= least) | (F.col("len") == 0))
 

@@ -1,8 +1,13 @@
 """How often cells are judged and tables derived."""
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gritsieve import schema as schemas
+from gritsieve.functions import nested
+from gritsieve.llm import collocations
 from gritsieve.operators import quality
 from gritsieve.operators.profile import text_profile
 from gritsieve.plans.cleaning import clean
@@ -86,3 +91,22 @@ def test_clean_derives_its_table_twice_at_most(spark):
     found = clean(rows.select("row_id", same("a").alias("a")), SemanticSchema({"a": "string"}), "row_id")
     assert found.table.count() == 32 and found.duplicates.count() == 10
     assert calls.value <= 2 * 42
+
+
+def test_suffixes_are_narrow_and_each_route_has_a_task(spark):
+    df = spark.createDataFrame([("a b c. a b", "en")], "text string, lang string")
+    counts = collocations.phrase_counts(df, least=1)
+    assert "RepartitionByExpression [direct" in counts._jdf.queryExecution().toString()
+    assert {(r["phrase"], r["n"]) for r in counts.where("len > 1").collect()} == {("a b", 2), ("b c", 1), ("a b c", 1)}
+    ids = np.random.default_rng(1).choice([0, 1, 7, 60_000, 2_000_000], 3000).astype(np.int32)
+    rows = collocations.suffixes(ids)
+    assert rows.dtype == np.int32
+    merged, n = collocations.merged(rows, np.ones(len(rows), np.int64), 2_000_000)
+    assert dict(zip(map(tuple, merged.tolist()), n.tolist())) == Counter(map(tuple, rows.tolist()))
+
+
+def test_texts_that_cannot_be_json_are_not_parsed_as_such(spark):
+    texts = ["{'a': None}", "{'a': 'le'Set'}", "{'a': '\\x9a'}", "{'a': 'None'}", '{"a": "d\'or True"}', "{'a': '\\\\x'}", '{"a": NaN}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(nested._no_json(F.col("t"))).collect()] == [True, True, True, False, False, False, False]
+    assert [r[0] for r in df.select(nested.extract_dict(F.col("t"))["a"]).collect()][:6] == [None, "le'Set", "\x9a", "None", "d'or True", "\\x"]
