@@ -31,37 +31,36 @@ def cell_rejects(df: DataFrame, schema: SemanticSchema, row_id: str) -> DataFram
     return _long_rejects(df, schema, F.col(row_id).alias("row_id")).select("row_id", "cell.*")
 
 
-def _passes(name: str, kinds: Sequence[str]) -> Column:
-    """Is ``value`` valid under the type in column ``name``?"""
-    test = F.lit(True)
-    for kind in kinds:
-        test = F.when(F.col(name) == kind, semantic_type(kind).is_valid(F.col("value"))).otherwise(test)
-    return test
+def _is_bad(schema: SemanticSchema, columns: Sequence[str]) -> Column:
+    """Does ``value`` fail the type of the column named in ``column``?"""
+    bad = F.lit(False)
+    for kind in sorted({schema.columns[c] for c in columns if c in schema.columns}):
+        own = F.col("column").isin(*[c for c in columns if schema.columns.get(c) == kind])
+        bad = F.when(own, ~semantic_type(kind).is_valid(F.col("value"))).otherwise(bad)
+    return bad
+
+
+def _kind(schema: SemanticSchema, columns: Sequence[str]) -> Column:
+    """The type of the column named in ``column``; null if it has none."""
+    kind = F.lit(None).cast("string")
+    for c in columns:
+        if c in schema.columns:
+            kind = F.when(F.col("column") == c, F.lit(schema.columns[c])).otherwise(kind)
+    return kind
 
 
 def cell_counts(df: DataFrame, schema: SemanticSchema) -> DataFrame:
     """(column, semantic_type, value, n_rows, is_bad): the distinct bad values and, under null, the good cells of each column.
 
-    Rows are read once. Cells of costly types are judged after equal texts have become one row;
-    ``is_bad`` is an aggregate, so that no filter on it moves that test back to the cells.
+    Rows are read once and each distinct value is judged once; ``is_bad`` is an aggregate, so
+    that no filter on it moves that test back to the cells.
     """
-    known = schema.known(df)
-    costly = sorted({t for t in map(schema.column_type, known) if semantic_type(t).costly})
-    empty = F.lit(None).cast(df.schema[known[0]].dataType if known else "string")
-    cells = []
-    for c in df.columns:
-        kind = schema.columns.get(c)
-        unjudged = kind in costly
-        value = empty if kind is None else F.col(c) if unjudged else F.when(~semantic_type(kind).is_valid(F.col(c)), F.col(c))
-        names = (F.lit(c).alias("column"), F.lit(kind).cast("string").alias("semantic_type"))
-        cells.append(F.when(F.col(c).isNotNull(), F.struct(*names, value.alias("value"), F.lit(unjudged).alias("unjudged"))))
-    rows = df.select(F.explode(F.array(*cells)).alias("cell")).where("cell is not null").select("cell.*")
-    counts = rows.groupBy("column", "semantic_type", "value", "unjudged").agg(F.count(F.lit(1)).alias("n_rows"))
-    if costly:
-        bad = F.when(~F.col("unjudged") | ~_passes("semantic_type", costly), F.col("value"))
-        counts = counts.select("column", "semantic_type", bad.alias("value"), "n_rows")
+    cells = [F.col(c) if c in schema.columns else F.when(F.col(c).isNotNull(), F.lit("")).alias(c) for c in df.columns]
+    counts = frequencies(df.select(*cells), df.columns)
+    bad = F.when(_is_bad(schema, df.columns), F.col("value"))
+    judged = counts.select("column", _kind(schema, df.columns).alias("semantic_type"), bad.alias("value"), "n")
     is_bad = F.some(F.col("value").isNotNull())
-    return counts.groupBy("column", "semantic_type", "value").agg(F.sum("n_rows").alias("n_rows"), is_bad.alias("is_bad"))
+    return judged.groupBy("column", "semantic_type", "value").agg(F.sum("n").alias("n_rows"), is_bad.alias("is_bad"))
 
 
 def _rejects_of(cells: DataFrame) -> DataFrame:
